@@ -1,4 +1,4 @@
-"""Row numbers over a whole table without one task seeing the whole table."""
+"""Row numbers and first-n over a table without one task seeing all of it."""
 
 from __future__ import annotations
 
@@ -8,27 +8,29 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from runlens.session import materialize
 
-# up to this many rows a plain top-n with one final merge is cheaper
-TOP_N_LIMIT = 100_000
+# up to this many rows one task may order and number them
+SINGLE_TASK_ROWS = 1_000
 _ROW_BITS = 33  # layout of monotonically_increasing_id: partition, then row
 
 
-def with_row_index(df: DataFrame, order_by: Sequence[str], out: str = "idx") -> DataFrame:
-    """Add the 0-based position of each row in the order of ``order_by``.
+def row_index(keys: DataFrame, out: str = "idx") -> DataFrame:
+    """``keys`` with the 0-based position of each row in their order.
 
-    The order columns must identify a row. Rows are range-partitioned on them
-    (a hot prefix is split because the full key is unique), numbered inside
-    their partition, written once, and shifted by the sizes of the partitions
-    before. The written table fixes the partition borders for both readers.
+    ``keys`` holds only order columns, which must identify a row. They are
+    range-partitioned (a hot prefix is split, because the full key is unique),
+    numbered inside their partition, written once, and shifted by the sizes of
+    the partitions before. The written table fixes the partition borders for
+    both of its readers.
     """
+    names = keys.columns
     ranged = (
-        df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
+        keys.repartitionByRange(*names).sortWithinPartitions(*names)
         .withColumn("_id", F.monotonically_increasing_id())
     )
     stored = materialize(ranged, "row-index")
     part = F.shiftright("_id", _ROW_BITS)
     row = F.col("_id").bitwiseAND((1 << _ROW_BITS) - 1)
-    # one row per range partition, so the unpartitioned window stays small
+    # one row per range partition, so this window and broadcast stay small
     starts = (
         stored.groupBy(part.alias("_part")).agg((F.max(row) + 1).alias("_n"))
         .withColumn("_start", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n"))
@@ -37,18 +39,42 @@ def with_row_index(df: DataFrame, order_by: Sequence[str], out: str = "idx") ->
     return (
         stored.withColumn("_part", part)
         .join(F.broadcast(starts), "_part")
-        .withColumn(out, (F.col("_start") + row).cast("long"))
-        .drop("_id", "_part", "_start")
+        .select(*names, (F.col("_start") + row).cast("long").alias(out))
     )
 
 
-def first_n(df: DataFrame, order_by: Sequence[str], n: int | None,
-            out: str = "idx") -> DataFrame:
-    """The first ``n`` rows in order with their position; all rows for None."""
+def with_row_index(df: DataFrame, order_by: Sequence[str], out: str = "idx",
+                   at_most: int | None = None) -> DataFrame:
+    """Add the position of each row.
+
+    Only the key columns are ordered; the other columns move once, in the join.
+    ``at_most`` is a known bound on the number of rows.
+    """
+    if at_most is not None and at_most <= SINGLE_TASK_ROWS:
+        return df.withColumn(out, (F.row_number().over(
+            Window.orderBy(*order_by)) - 1).cast("long"))
+    return df.join(row_index(df.select(*order_by), out), list(order_by))
+
+
+def first_n(df: DataFrame, order_by: Sequence[str], n: int | None) -> DataFrame:
+    """The first ``n`` rows in order; all rows for None.
+
+    The n-th key is found from the key columns alone and becomes a plain
+    filter, which reaches the scan: text columns are read only where it holds.
+    """
     if n is None:
-        return with_row_index(df, order_by, out)
-    if n > TOP_N_LIMIT:
-        return with_row_index(df, order_by, out).where(F.col(out) < n)
-    top = df.orderBy(*order_by).limit(n)
-    return top.withColumn(out, (F.row_number().over(
-        Window.orderBy(*order_by)) - 1).cast("long"))
+        return df
+    keys = df.select(*order_by)
+    if n <= SINGLE_TASK_ROWS:
+        head = keys.orderBy(*order_by).limit(n)
+    else:
+        head = row_index(keys, "_idx").where(F.col("_idx") < n)
+    last = head.agg(F.max(F.struct(*order_by)).alias("k")).first()["k"]
+    if last is None:
+        return df.where(F.lit(False))
+    limits = [F.lit(last[c]) for c in order_by]
+    inside = F.col(order_by[0]) <= limits[0]
+    if len(order_by) > 1:
+        inside = inside & (F.struct(*order_by) <= F.struct(*[
+            v.alias(c) for v, c in zip(limits, order_by)]))
+    return df.where(inside)

@@ -1,42 +1,63 @@
 """Experiment matrices and the configs still to run.
 
-Factors are small lists, so they are exploded from literals: a narrow step
-that keeps the partitioning of the prompts and needs no join.
+Factors are small lists: they are exploded from literals or joined by domain,
+narrow steps that keep the partitioning of the prompts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import product
 
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from runlens.functions.config import config_hash
-from runlens.schemas import (DRAFT_LENGTHS, MAX_NEW_TOKENS, MODEL_PAIRS, NUM_RUNS, SEED,
-                             TEMPERATURES)
+from runlens.schemas import (DOMAINS, DRAFT_LENGTHS, MAX_NEW_TOKENS, MODEL_PAIRS, NUM_RUNS,
+                             SEED, TEMPERATURES)
+from runlens.session import small_table
 
 
-def _factor(df: DataFrame, name: str, values: Sequence, kind: str) -> DataFrame:
-    return df.withColumn(name, F.explode(F.array(
-        *[F.lit(v).cast(kind) for v in values])))
+# a dimension of this many configs is a few MB at most
+MAX_BROADCAST_CONFIGS = 20_000
 
 
 def run_matrix(prompts: DataFrame, temperatures: Sequence[float] = TEMPERATURES,
                num_runs: int = NUM_RUNS) -> DataFrame:
     """Prompts x temperatures x runs."""
-    return _factor(prompts, "temperature", temperatures, "double").withColumn(
-        "run_idx", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(num_runs - 1).cast("long"))))
+    temps = F.array(*[F.lit(float(t)) for t in temperatures])
+    runs = F.sequence(F.lit(0).cast("long"), F.lit(num_runs - 1).cast("long"))
+    return (prompts.withColumn("temperature", F.explode(temps))
+            .withColumn("run_idx", F.explode(runs)))
+
+
+def config_dimension(spark: SparkSession,
+                     draft_lengths: Sequence[int | None] = DRAFT_LENGTHS,
+                     temperatures: Sequence[float] = TEMPERATURES,
+                     max_new_tokens: int = MAX_NEW_TOKENS, seed: int = SEED) -> DataFrame:
+    """Every pair x domain x K x temperature with its fingerprint."""
+    rows = [
+        {"model_pair_name": pair[0], "K": k, "temperature": float(t),
+         "max_new_tokens": max_new_tokens, "prompt_domain": domain, "seed": seed}
+        for pair, domain, k, t in product(MODEL_PAIRS, DOMAINS, draft_lengths, temperatures)]
+    schema = pa.schema([("model_pair_name", pa.string()), ("K", pa.int64()),
+                        ("temperature", pa.float64()), ("max_new_tokens", pa.int64()),
+                        ("prompt_domain", pa.string()), ("seed", pa.int64())])
+    return with_config_hash(small_table(spark, rows, schema))
 
 
 def config_matrix(prompts: DataFrame, draft_lengths: Sequence[int | None] = DRAFT_LENGTHS,
-                  temperatures: Sequence[float] = TEMPERATURES,
-                  max_new_tokens: int = MAX_NEW_TOKENS, seed: int = SEED) -> DataFrame:
-    """Prompts x model pairs x draft lengths x temperatures, as configs."""
-    out = _factor(prompts, "model_pair_name", [p[0] for p in MODEL_PAIRS], "string")
-    out = _factor(out, "K", draft_lengths, "bigint")
-    out = _factor(out, "temperature", temperatures, "double")
-    return (out.withColumn("max_new_tokens", F.lit(max_new_tokens).cast("long"))
-            .withColumn("prompt_domain", F.col("domain"))
-            .withColumn("seed", F.lit(seed).cast("long")))
+                  temperatures: Sequence[float] = TEMPERATURES, **fixed: int) -> DataFrame:
+    """Prompts with every config of their domain, fingerprint included.
+
+    Fingerprints are made once per config and joined by domain, instead of
+    hashing each of the many (prompt, config) rows.
+    """
+    dim = config_dimension(prompts.sparkSession, draft_lengths, temperatures, **fixed)
+    size = len(MODEL_PAIRS) * len(DOMAINS) * len(draft_lengths) * len(temperatures)
+    if size <= MAX_BROADCAST_CONFIGS:
+        dim = F.broadcast(dim)
+    return prompts.join(dim, prompts["domain"] == dim["prompt_domain"]).drop("domain")
 
 
 def with_config_hash(df: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from runlens.session import materialize
+from runlens.session import broadcast_if_small, materialize
 
 EOS = "</s>"
 WORD = r"\S+"
@@ -19,12 +19,14 @@ def words(text: Column) -> Column:
 def bigram_counts(texts: DataFrame, text: str, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, prev, next, n) over whole texts; each text ends with EOS."""
     w = F.col("_w")
-    pairs = F.zip_with(
-        w, F.concat(F.slice(w, F.lit(2), F.size(w)), F.array(F.lit(EOS))),
-        lambda a, b: F.struct(a.alias("prev"), b.alias("next")))
+    pairs = F.arrays_zip(w.alias("prev"), F.concat(
+        F.slice(w, F.lit(2), F.size(w)), F.array(F.lit(EOS))).alias("next"))
     return (
-        texts.select(*keys, words(F.col(text)).alias("_w")).where(F.size("_w") > 0)
+        texts.select(*keys, words(F.col(text)).alias("_w"))
         .select(*keys, F.inline(pairs))
+        # an empty text zips to one row without a first token; testing the row
+        # instead of the list keeps the tokeniser out of a pushed-down filter
+        .where(F.col("prev").isNotNull())
         .groupBy(*keys, "prev", "next").agg(F.count("*").alias("n")))
 
 
@@ -80,15 +82,19 @@ def corpus_overlap(texts: DataFrame, text: str, keys: Sequence[str]) -> DataFram
     and add nothing, so an inner join on the next token is enough. Both
     normalisers come from aggregates, never from a window over a whole corpus.
     """
-    keys = list(keys)
-    bigrams = bigram_counts(texts, text, keys)
-    unigrams = bigrams.groupBy(*keys, "next").agg(F.sum("n").alias("_nq"))
-    totals = bigrams.groupBy(*keys).agg(F.sum("n").alias("_all"))
-    context = bigrams.groupBy(*keys, "prev").agg(F.sum("n").alias("_np"))
+    # four readers follow: count the corpus once and keep the counts; the
+    # packed key is never null, so texts without a key value stay in
+    packed = texts.select(F.struct(*keys).alias("_k"), text)
+    bigrams = materialize(bigram_counts(packed, text, ["_k"]), "bigrams")
+    totals = bigrams.groupBy("_k").agg(F.sum("n").alias("_all"))
+    draft = (
+        bigrams.groupBy("_k", "next").agg(F.sum("n").alias("_nq"))
+        .join(broadcast_if_small(totals), "_k")
+        .select("_k", "next", (F.col("_nq") / F.col("_all")).alias("q")))
+    context = bigrams.groupBy("_k", "prev").agg(F.sum("n").alias("_np"))
     p = F.col("n") / F.col("_np")
-    q = F.col("_nq") / F.col("_all")
     return (
-        bigrams.join(unigrams, [*keys, "next"]).join(context, [*keys, "prev"])
-        .join(totals, keys)
-        .groupBy(*keys, F.col("prev").alias("context"))
-        .agg(F.max("_np").alias("n"), F.sum(F.least(p, q)).alias("alpha")))
+        bigrams.join(draft, ["_k", "next"]).join(context, ["_k", "prev"])
+        .groupBy("_k", F.col("prev").alias("context"))
+        .agg(F.max("_np").alias("n"), F.sum(F.least(p, F.col("q"))).alias("alpha"))
+        .select("_k.*", "context", "n", "alpha"))

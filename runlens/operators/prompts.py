@@ -9,8 +9,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from runlens.functions import text as tx
-from runlens.operators.indexing import first_n
+from runlens.operators.indexing import first_n, with_row_index
 from runlens.schemas import DOMAINS, SUMMARY_MAX_TOKENS, SUMMARY_SUFFIX, domain_rank
+from runlens.session import small_table
 
 
 @dataclass(frozen=True)
@@ -53,27 +54,28 @@ def build_prompts(sources: dict[str, TextSource], n_per_domain: int | None = 50,
                   tokenizer: Tokenizer = Tokenizer()) -> DataFrame:
     """Concatenate the first n texts of each domain into one prompt table.
 
-    Selection comes before tokenising, because no optimiser rule moves a
-    row-number filter below it. Summaries are cut and given their instruction.
+    Selection comes before tokenising, because no optimiser rule moves it
+    there; numbering comes after, so a cut text is moved and not a whole one.
+    Summaries are cut and given their instruction.
     """
     parts = []
     for domain in DOMAINS:
         if domain not in sources:
             continue
         src = sources[domain]
-        order = tuple(f"_o{i}" for i in range(len(src.order_by)))
-        texts = src.table.select(
-            F.col(src.text).alias("raw_text"),
-            *[F.col(c).alias(o) for c, o in zip(src.order_by, order)])
-        picked = first_n(texts, order, n_per_domain).select("idx", "raw_text")
+        order = [f"_o{i}" for i in range(len(src.order_by))]
+        picked = first_n(src.table, src.order_by, n_per_domain)
+        text = F.col(src.text)
         if domain == "summarization":
-            picked = picked.withColumn("raw_text", F.concat(
-                tokenizer.truncate(F.col("raw_text"), SUMMARY_MAX_TOKENS),
-                F.lit(SUMMARY_SUFFIX)))
-        parts.append(picked.select(
+            text = F.concat(tokenizer.truncate(text, SUMMARY_MAX_TOKENS),
+                            F.lit(SUMMARY_SUFFIX))
+        texts = (
+            picked.select(*[F.col(c).alias(o) for c, o in zip(src.order_by, order)],
+                          text.alias("raw_text"))
+            .withColumn("token_count", tokenizer.count(F.col("raw_text"))))
+        parts.append(with_row_index(texts, order, at_most=n_per_domain).select(
             prompt_id(domain, F.col("idx")).alias("prompt_id"),
-            F.lit(domain).alias("domain"), "raw_text",
-            tokenizer.count(F.col("raw_text")).alias("token_count"), "idx"))
+            F.lit(domain).alias("domain"), "raw_text", "token_count", "idx"))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -108,11 +110,11 @@ def require_domains(df: DataFrame) -> DataFrame:
 def with_fallback(primary: DataFrame, bank: DataFrame) -> DataFrame:
     """Bank rows stand in for every domain the primary table lacks.
 
-    The key list is reduced to distinct domains before the anti join, so the
-    size of the primary table does not reach it.
+    The side sent out holds at most one row per known domain.
     """
-    present = primary.select("domain").distinct()
-    return primary.unionByName(bank.join(present, "domain", "left_anti"))
+    known, _ = split_by_domain(primary.select("domain"))
+    return primary.unionByName(
+        bank.join(F.broadcast(known.distinct()), "domain", "left_anti"))
 
 
 def token_stats(prompts: DataFrame) -> DataFrame:
@@ -128,8 +130,7 @@ def token_stats(prompts: DataFrame) -> DataFrame:
 
 def domain_counts(prompts: DataFrame) -> DataFrame:
     """Prompts per domain, with a zero row for an empty one."""
-    spark = prompts.sparkSession
-    dim = spark.createDataFrame([(d,) for d in DOMAINS], "domain string")
+    dim = small_table(prompts.sparkSession, [{"domain": d} for d in DOMAINS])
     counts = prompts.groupBy("domain").agg(F.count("*").alias("n"))
     return dim.join(counts, "domain", "left").select(
         "domain", F.coalesce("n", F.lit(0)).cast("long").alias("n"))

@@ -22,30 +22,37 @@ _OFFSET = 1100 * CELLS_PER_OCTAVE
 def value_cell(v: Column) -> Column:
     """A cell number that never decreases as the value grows."""
     log_cell = F.floor(F.log2(F.abs(F.when(v != 0, v))) * CELLS_PER_OCTAVE) + _OFFSET
-    return F.when(v > 0, log_cell).when(v < 0, -log_cell).otherwise(F.lit(0)).cast("long")
+    cell = F.when(v > 0, log_cell).when(v < 0, -log_cell).cast("long")
+    # never null, so joins on the cell add no null test to every scanned row
+    return F.coalesce(cell, F.lit(0).cast("long"))
 
 
 def _value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    # map-side combined: one row per distinct value of a group
+    # map-side combined: one row per distinct value of a group; the packed key
+    # is never null itself, so groups with a null in their key join like others
     return (
         df.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).alias("_v"))
+        .groupBy(F.struct(*keys).alias("_k"), F.col(value).alias("_v"))
         .agg(F.count("*").alias("_c"))
         .withColumn("_cell", value_cell(F.col("_v")))
     )
 
 
-def _cell_starts(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _cell_starts(counts: DataFrame) -> DataFrame:
     # number of cells per group is bounded by the double range, not by the data
-    by_cell = Window.partitionBy(*keys).orderBy("_cell")
+    group = Window.partitionBy("_k")
     return (
-        counts.groupBy(*keys, "_cell").agg(F.sum("_c").alias("_cells"))
-        .withColumn("_upto", F.sum("_cells").over(by_cell))
-        .withColumn("_n", F.sum("_cells").over(Window.partitionBy(*keys)))
+        counts.groupBy("_k", "_cell").agg(F.sum("_c").alias("_cells"))
+        .withColumn("_upto", F.sum("_cells").over(group.orderBy("_cell")))
+        .withColumn("_n", F.sum("_cells").over(group))
         .withColumn("_before", F.col("_upto") - F.col("_cells"))
     )
 
 
+def _upto_in_cell() -> Column:
+    return F.sum("_c").over(Window.partitionBy("_k", "_cell").orderBy("_v"))
+
+
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str,
                       probs: dict[str, float]) -> DataFrame:
     """Linear-interpolated percentiles of ``value`` for each group.
@@ -59,18 +66,17 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str,
         *[F.floor(p).cast("long") for p in pos.values()],
         *[F.ceil(p).cast("long") for p in pos.values()]))
     wanted = (
-        _cell_starts(counts, keys)
+        _cell_starts(counts)
         .withColumn("_ranks", F.filter(ranks, lambda r: (r >= F.col("_before"))
                                        & (r < F.col("_upto"))))
         .where(F.size("_ranks") > 0)
-        .select(*keys, "_cell", "_before", "_n", "_ranks")
+        .select("_k", "_cell", "_before", "_n", "_ranks")
     )
-    in_cell = Window.partitionBy(*keys, "_cell").orderBy("_v")
     hits = (
-        counts.join(wanted, [*keys, "_cell"])
-        .withColumn("_hi", F.col("_before") + F.sum("_c").over(in_cell))
+        counts.join(wanted, ["_k", "_cell"])
+        .withColumn("_hi", F.col("_before") + _upto_in_cell())
         .withColumn("_lo", F.col("_hi") - F.col("_c"))
-        .select(*keys, "_n", "_v", F.explode(F.filter(
+        .select("_k", "_n", "_v", F.explode(F.filter(
             "_ranks", lambda r: (r >= F.col("_lo")) & (r < F.col("_hi")))).alias("_r"))
     )
 
@@ -82,19 +88,20 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str,
         return lo + (hi - lo) * F.max(p - F.floor(p))
 
     # at most two rows per percentile and group reach this aggregate
-    return (hits.groupBy(*keys)
-            .agg(F.max("_n").alias("n"), *[lerp(p).alias(k) for k, p in pos.items()]))
+    return (
+        hits.groupBy("_k")
+        .agg(F.max("_n").alias("n"), *[lerp(p).alias(k) for k, p in pos.items()])
+        .select("_k.*", "n", *pos))
 
 
 def value_distribution(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Empirical CDF: ``keys``, value, ``n`` copies and ``cume_dist``."""
     counts = _value_counts(df, keys, value)
-    starts = _cell_starts(counts, keys).select(*keys, "_cell", "_before", "_n")
-    in_cell = Window.partitionBy(*keys, "_cell").orderBy("_v")
+    starts = _cell_starts(counts).select("_k", "_cell", "_before", "_n")
     return (
-        counts.join(starts, [*keys, "_cell"])
-        .withColumn("_upto", F.col("_before") + F.sum("_c").over(in_cell))
-        .select(*keys, F.col("_v").alias(value), F.col("_c").alias("n"),
+        counts.join(starts, ["_k", "_cell"])
+        .withColumn("_upto", F.col("_before") + _upto_in_cell())
+        .select("_k.*", F.col("_v").alias(value), F.col("_c").alias("n"),
                 (F.col("_upto") / F.col("_n")).alias("cume_dist"))
     )
 

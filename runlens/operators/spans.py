@@ -21,54 +21,56 @@ def pair_spans(log: DataFrame, keys: Sequence[str] = ("run", "phase"),
     one summary row per slice. So a key with a third of all events is spread
     over the cluster, and only slice summaries are ordered per key.
     """
-    keys = list(keys)
     start, stop = F.col("op") == "start", F.col("op") == "stop"
-    by_slice = Window.partitionBy(*keys, "_slice").orderBy("_us", "event_id")
+    by_slice = Window.partitionBy("_k", "_slice").orderBy("_us", "event_id")
     islands = (
-        log.withColumn("_us", F.unix_micros("ts"))
-        .withColumn("_slice", F.floor(F.col("_us") / F.lit(slice_seconds * 1_000_000)))
+        # the packed key and the slice are never null: the join below adds no
+        # null test to one side only, so both sides share one shuffle
+        log.withColumn("_k", F.struct(*keys)).withColumn("_us", F.unix_micros("ts"))
+        .withColumn("_slice", F.coalesce(
+            F.expr(f"_us div {slice_seconds * 1_000_000}"), F.lit(0).cast("long")))
         .withColumn("_island", F.coalesce(F.sum(stop.cast("int")).over(
             by_slice.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        .select("_k", "_slice", "_island", "_us", "op", "event_id", "ts")
     )
-    carry = _carry_in(islands, keys)
-    in_island = Window.partitionBy(*keys, "_slice", "_island").orderBy(
+    in_island = Window.partitionBy("_k", "_slice", "_island").orderBy(
         "_us", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = (
         islands.withColumn("_first", F.min(F.when(start, F.col("_us"))).over(in_island))
         .withColumn("_starts", F.sum(start.cast("int")).over(in_island))
-        .join(carry, [*keys, "_slice"], "left")
+        .join(_carry_in(islands), ["_k", "_slice"])
         .withColumn("_carry", F.when(F.col("_island") == 0, F.col("_carry")))
     )
     since = F.coalesce("_carry", "_first")
     first_start = start & (F.col("_starts") == 1) & F.col("_carry").isNull()
     return rows.select(
-        *keys, "event_id", "ts",
+        "_k.*", "event_id", "ts",
         F.when(first_start, F.lit("started")).when(start, F.lit("already_running"))
         .when(since.isNotNull(), F.lit("completed"))
         .otherwise(F.lit("never_started")).alias("status"),
         F.when(stop, (F.col("_us") - since) / F.lit(1000.0)).alias("elapsed_ms"))
 
 
-def _carry_in(islands: DataFrame, keys: list[str]) -> DataFrame:
-    """The start still running when a slice begins."""
+def _carry_in(islands: DataFrame) -> DataFrame:
+    """For each slice of a key, the start still running when the slice begins."""
     stop, start = F.col("op") == "stop", F.col("op") == "start"
     # earliest start after the last stop of the slice = last island, lowest time
     last = F.max(F.when(start, F.struct("_island", (-F.col("_us")).alias("neg"))))
     slices = (
-        islands.groupBy(*keys, "_slice")
+        islands.groupBy("_k", "_slice")
         .agg(F.sum(stop.cast("int")).alias("_stops"), last.alias("_last"))
         .withColumn("_open", F.when(F.col("_last._island") == F.col("_stops"),
                                     -F.col("_last.neg")))
     )
-    by_key = Window.partitionBy(*keys).orderBy("_slice")
+    by_key = Window.partitionBy("_k").orderBy("_slice")
     upto = (Window.unboundedPreceding, Window.currentRow)
     return (
         slices.withColumn("_epoch", F.sum((F.col("_stops") > 0).cast("int"))
                           .over(by_key.rowsBetween(*upto)))
         .withColumn("_after", F.min("_open").over(
-            Window.partitionBy(*keys, "_epoch").orderBy("_slice").rowsBetween(*upto)))
+            Window.partitionBy("_k", "_epoch").orderBy("_slice").rowsBetween(*upto)))
         .withColumn("_carry", F.lag("_after").over(by_key))
-        .select(*keys, "_slice", "_carry")
+        .select("_k", "_slice", "_carry")
     )
 
 

@@ -9,7 +9,7 @@ from runlens.operators.generate import generate_records
 from runlens.plans import views
 from runlens.plans.registry import query
 from runlens.schemas import NUM_RUNS, TEMPERATURES
-from runlens.sources.tables import table
+from runlens.sources.tables import text_table
 
 CONTINUE_TOKENS = 8
 
@@ -36,9 +36,9 @@ paths AS (SELECT start, string_agg(token, ' ' ORDER BY step) AS continuation,
 SELECT conv_id, turn, continuation, coalesce(n, 0) AS n
 FROM prompts LEFT JOIN paths ON start = last""")
 def ngram_continue(spark, d):
-    paths = ngram.greedy_paths(ngram.bigram_counts(table(spark, d, "documents"), "text"),
+    paths = ngram.greedy_paths(ngram.bigram_counts(text_table(spark, d, "documents"), "text"),
                                CONTINUE_TOKENS)
-    turns = table(spark, d, "conversations").where(F.col("role") == "user")
+    turns = text_table(spark, d, "conversations").where(F.col("role") == "user")
     return ngram.continue_prompts(turns, "text", paths).select(
         "conv_id", "turn", F.array_join("path", " ").alias("continuation"),
         F.coalesce(F.size("path"), F.lit(0)).cast("long").alias("n"))
@@ -53,7 +53,7 @@ SELECT p.lang, p.prev AS context, CAST(max(total) AS BIGINT) AS n,
        round(sum(least(p.p, q.q)), 6) AS alpha
 FROM p JOIN q USING (lang, next) GROUP BY p.lang, p.prev""")
 def corpus_overlap(spark, d):
-    return ngram.corpus_overlap(table(spark, d, "documents"), "text", ["lang"]).withColumn(
+    return ngram.corpus_overlap(text_table(spark, d, "documents"), "text", ["lang"]).withColumn(
         "alpha", F.round("alpha", 6))
 
 
@@ -65,7 +65,7 @@ SELECT p.conv_id, p.turn, md5(array_to_string(p.w, '') || array_to_string(r.w, '
 FROM t p JOIN t r ON r.conv_id = p.conv_id AND r.turn = p.turn + 1 AND p.role = 'user'""")
 def detokenize(spark, d):
     """A user turn's ids followed by the ids of the turn after it, as text."""
-    turns = table(spark, d, "conversations")
+    turns = text_table(spark, d, "conversations")
     ids = turns.select("conv_id", "turn", "role", vc.encode(F.col("text")).alias("ids"))
     prompt = ids.where(F.col("role") == "user")
     reply = ids.select("conv_id", (F.col("turn") - 1).alias("turn"),

@@ -13,7 +13,7 @@ from runlens.session import materialize, scratch_path
 from runlens.sources.model_listing import flatten_listing, read_listing
 from runlens.sources.prompt_files import load_prompts, save_prompts
 from runlens.sources.registry import join_registry, unknown_pairs
-from runlens.sources.tables import table
+from runlens.sources.tables import table, text_table
 
 _P = "WITH " + views.PROMPTS_SQL
 _ALL = "prompt_id, domain, md5(raw_text) AS text_md5, token_count"
@@ -151,7 +151,7 @@ def domain_counts(spark, d):
 @query("token_counts", r"SELECT doc_id, CAST(len(regexp_extract_all(text, '\s*\S+')) AS BIGINT)"
        " AS token_count FROM documents")
 def token_counts(spark, d):
-    return table(spark, d, "documents").select(
+    return text_table(spark, d, "documents").select(
         "doc_id", pr.tx.token_count(F.col("text")).alias("token_count"))
 
 
@@ -166,7 +166,7 @@ def token_counts_udf(spark, d):
         return ByteTokenizer()
 
     tok = pr.custom_tokenizer(factory)
-    return table(spark, d, "documents").select(
+    return text_table(spark, d, "documents").select(
         "doc_id", tok.count(F.col("text")).alias("token_count"))
 
 
@@ -175,7 +175,9 @@ def token_counts_udf(spark, d):
        " max(token_count) AS max_tokens FROM prompts WHERE token_count BETWEEN 8 AND 4096"
        " GROUP BY ALL")
 def length_strata(spark, d):
-    kept = pr.of_length(_unnumbered(spark, d), 8, 4096)
+    # counts are stored with the prompts, so the filter is pushed to the scan
+    stored = materialize(_unnumbered(spark, d), "token-counts")
+    kept = pr.of_length(stored, 8, 4096)
     return pr.length_strata(kept, 64, 8).groupBy("domain", "stratum").agg(
         F.count("*").alias("n"), F.min("token_count").alias("min_tokens"),
         F.max("token_count").alias("max_tokens"))
@@ -215,7 +217,7 @@ _KS = ", ".join(f"{k}::BIGINT" for k in DRAFT_LENGTHS)
        " FROM hashed_configs")
 def run_matrix_full(spark, d):
     base = views.prompts(spark, d).select("prompt_id", "domain")
-    return mx.with_config_hash(mx.config_matrix(base)).select(
+    return mx.config_matrix(base).select(
         "prompt_id", "prompt_domain", "model_pair_name", "K", "temperature", "config_hash")
 
 
@@ -226,7 +228,7 @@ def run_matrix_full(spark, d):
        " AND h.config_hash = c.config_hash)")
 def config_pending(spark, d):
     base = views.prompts(spark, d).select("prompt_id", "domain")
-    planned = mx.with_config_hash(mx.config_matrix(base, (None, *DRAFT_LENGTHS)))
+    planned = mx.config_matrix(base, (None, *DRAFT_LENGTHS))
     on = ("prompt_id", "config_hash")
     return mx.pending(planned.select(*on), views.hashed_records(spark, d), on)
 
@@ -238,7 +240,7 @@ def config_pending(spark, d):
        " AND h.config_hash = c.config_hash)")
 def config_selected(spark, d):
     base = views.prompts(spark, d).select("prompt_id", "domain")
-    chosen = mx.with_config_hash(mx.config_matrix(base, (None, *DRAFT_LENGTHS)))
+    chosen = mx.config_matrix(base, (None, *DRAFT_LENGTHS))
     on = ("prompt_id", "config_hash")
     return mx.selected(views.hashed_records(spark, d), chosen.select(*on), on).select(
         "prompt_id", "run_idx", "config_hash",

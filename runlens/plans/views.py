@@ -13,7 +13,7 @@ from runlens.operators import results as res
 from runlens.operators.matrix import with_config_hash
 from runlens.operators.prompts import TextSource, build_prompts
 from runlens.schemas import DOMAINS, DRAFT_LENGTHS, MAX_NEW_TOKENS, MODEL_PAIRS, SEED
-from runlens.sources.tables import table
+from runlens.sources.tables import table, text_table
 
 # A run takes at most this many events, because event ids are unique; so a
 # run's arrays stay bounded even if one user owns a third of the events.
@@ -38,13 +38,13 @@ def _sql_choose(i: str, values) -> str:
 
 def rounds(spark: SparkSession, folder: str) -> DataFrame:
     """Events as generation rounds: user, week slot and id block make a run."""
-    week = F.floor(F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")) / 7)
+    week = F.expr("datediff(to_date(ts), date'2024-01-01') div 7")
     return (
         table(spark, folder, "events")
         .select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id",
                 "event_type", "value",
                 F.pmod(week, F.lit(5)).cast("long").alias("kslot"),
-                F.floor(F.col("event_id") / EVENTS_PER_RUN).cast("long").alias("run_idx"))
+                F.expr(f"event_id div {EVENTS_PER_RUN}").alias("run_idx"))
         .withColumn("K", F.when(F.col("kslot") > 0, _choose(
             F.col("kslot") - 1, DRAFT_LENGTHS).cast("long")))
         .withColumn("accepted", F.when(F.col("K").isNull(), F.lit(0)).otherwise(
@@ -55,14 +55,13 @@ def rounds(spark: SparkSession, folder: str) -> DataFrame:
 
 def with_condition(df: DataFrame) -> DataFrame:
     """Condition columns that follow from the user."""
-    u = F.col("user_id")
+    u, pair = F.col("user_id"), F.expr("user_id div 12") % 4
     return (
         df.withColumn("domain", _choose(u % 3, DOMAINS))
         .withColumn("temperature", F.when(
-            F.floor(u / 3) % 2 == 0, F.lit(0.0)).otherwise(F.lit(0.6)))
-        .withColumn("model_pair_name", _choose(
-            F.floor(u / 12) % 4, [p[0] for p in MODEL_PAIRS]))
-        .withColumn("model_id", _choose(F.floor(u / 12) % 4, [p[2] for p in MODEL_PAIRS]))
+            F.expr("user_id div 3") % 2 == 0, F.lit(0.0)).otherwise(F.lit(0.6)))
+        .withColumn("model_pair_name", _choose(pair, [p[0] for p in MODEL_PAIRS]))
+        .withColumn("model_id", _choose(pair, [p[2] for p in MODEL_PAIRS]))
         .withColumn("prompt_id", F.format_string("%s_%03d", "domain", "user_id"))
         .withColumn("max_new_tokens", F.lit(MAX_NEW_TOKENS).cast("long"))
         .withColumn("seed", F.lit(SEED).cast("long"))
@@ -170,11 +169,11 @@ speedups AS (
 
 def text_sources(spark: SparkSession, folder: str) -> dict[str, TextSource]:
     """Page markup as code, user turns as conversation, documents to summarise."""
-    turns = table(spark, folder, "conversations").where(F.col("role") == "user")
+    turns = text_table(spark, folder, "conversations").where(F.col("role") == "user")
     return {
-        "code": TextSource(table(spark, folder, "pages"), "html", ("page_id",)),
+        "code": TextSource(text_table(spark, folder, "pages"), "html", ("page_id",)),
         "conversation": TextSource(turns, "text", ("conv_id", "turn")),
-        "summarization": TextSource(table(spark, folder, "documents"), "text", ("doc_id",)),
+        "summarization": TextSource(text_table(spark, folder, "documents"), "text", ("doc_id",)),
     }
 
 
@@ -207,7 +206,7 @@ def logits(spark: SparkSession, folder: str) -> DataFrame:
     v = F.col("vec_id")
     return table(spark, folder, "embeddings").select(
         "vec_id", F.col("embedding").cast("array<double>").alias("target"),
-        F.floor(v / VECTORS_PER_ROUND).cast("long").alias("round_id"),
+        F.expr(f"vec_id div {VECTORS_PER_ROUND}").alias("round_id"),
         (v % VECTORS_PER_ROUND).alias("pos"))
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -68,3 +69,19 @@ def materialize(df: DataFrame, label: str, fmt: str = "parquet") -> DataFrame:
         writer = writer.option("ignoreNullFields", "false")
     writer.save(path)
     return spark.read.schema(df.schema).format(fmt).load(path)
+
+
+def small_table(spark: SparkSession, rows: list[dict],
+                schema: pa.Schema | None = None) -> DataFrame:
+    """A fixed dimension as a local relation, whose size the planner knows."""
+    return spark.createDataFrame(pa.Table.from_pylist(rows, schema=schema))
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
+    """Mark ``df`` for broadcast after counting that it is small; else leave it.
+
+    For narrow tables on top of stored data, where the count costs little. A
+    larger table keeps the planner's choice, which is a shuffled join.
+    """
+    small = df.limit(max_rows + 1).count() <= max_rows
+    return F.broadcast(df) if small else df

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from runlens.schemas import MODEL_PAIRS, PAIR
+from runlens.session import small_table
 
 
 def registry(spark: SparkSession) -> DataFrame:
     """Four rows, in definition order."""
-    return spark.createDataFrame([(i, *row) for i, row in enumerate(MODEL_PAIRS)], PAIR)
+    names = PAIR.fieldNames()
+    return small_table(spark, [dict(zip(names, (i, *row)))
+                               for i, row in enumerate(MODEL_PAIRS)])
 
 
 def pair_names() -> list[str]:

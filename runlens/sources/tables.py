@@ -10,6 +10,21 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table whose rows are costly to work on: see :func:`spread`."""
+    return spread(table(spark, folder, name))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of a table that comes in too few pieces.
+
+    A table with at least one scan task per core, which any large one has, is
+    returned as it is; filters and column pruning pass through either way.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def require_path(spark: SparkSession, path: str, fmt: str) -> DataFrame:
     """Open an input now, so that a missing one fails before any work starts."""
     try:

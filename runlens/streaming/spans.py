@@ -57,10 +57,9 @@ def pair_spans_stream(log: DataFrame, keys: Sequence[str] = ("run", "phase"),
         elif state.exists:
             state.remove()
         columns = {k: [v] * len(us) for k, v in zip(keys, key)}
-        out = pd.DataFrame({**columns, "event_id": ids, "status": status})
-        # NaN in a float column becomes null on the way back
-        yield out.assign(elapsed_ms=pd.Series(elapsed).astype("Float64").mask(
-            np.isnan(elapsed)))
+        # NaN in a float column reaches Spark as null
+        yield pd.DataFrame({**columns, "event_id": ids, "status": status,
+                            "elapsed_ms": elapsed})
 
     slim = (log.withWatermark("ts", watermark)
             .select(*keys, "ts", "event_id", F.unix_micros("ts").alias("us"),
