@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from runlens.operators import matrix as mx, ngram, vocabulary as vc
+from runlens.operators import ngram, vocabulary as vc
 from runlens.operators.generate import generate_records
 from runlens.plans import views
 from runlens.plans.registry import query
@@ -117,11 +117,10 @@ SELECT prompt_id, temperature, run_idx,
        CAST(coalesce(nullif(stop, 0), 12) AS BIGINT) AS num_tokens FROM cut""")
 def batch_generate(spark, d):
     """The whole matrix through a counting model; measured times are left out."""
-    base = views.prompts(spark, d).select(
+    prompts = views.prompts(spark, d).select(
         F.lit("counting").alias("model_id"), "prompt_id", "domain",
-        F.col("token_count").alias("prompt_token_count"), "raw_text",
-        F.lit(12).cast("long").alias("max_new_tokens"))
-    out = generate_records(mx.run_matrix(base), _counting_model())
+        F.col("token_count").alias("prompt_token_count"), "raw_text")
+    out = generate_records(prompts, _counting_model(), max_new_tokens=12)
     return out.select("prompt_id", "temperature", "run_idx",
                       F.concat_ws(",", F.col("generated_ids").cast("array<string>")).alias("ids"),
                       F.size("generated_ids").cast("long").alias("num_tokens"))

@@ -4,15 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 RECORD_KEY = ("config_hash", "prompt_id", "run_idx")
 
 
 def drop_resent(stream: DataFrame, event_time: str, within: str,
-                keys: Sequence[str] = RECORD_KEY) -> DataFrame:
+                keys: Sequence[str] = RECORD_KEY, lanes: int = 16) -> DataFrame:
     """One record per key; a key is remembered for ``within`` of event time.
 
     The delay bounds the state: it must cover how late a copy may arrive.
+    A record sent very many times would send all its copies to one task, so
+    copies are first dropped inside ``lanes`` lanes per key and the survivors,
+    at most one per lane, once more by the key alone.
     """
-    return stream.withWatermark(event_time, within).dropDuplicatesWithinWatermark(list(keys))
+    keys = list(keys)
+    watermarked = stream.withWatermark(event_time, within)
+    laned = watermarked.withColumn("_lane", F.pmod(F.spark_partition_id(), F.lit(lanes)))
+    return (laned.dropDuplicatesWithinWatermark([*keys, "_lane"]).drop("_lane")
+            .dropDuplicatesWithinWatermark(keys))
