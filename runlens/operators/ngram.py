@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from runlens.functions.distributions import keyed_uniform
 from runlens.session import broadcast_if_small, materialize
 
 EOS = "</s>"
@@ -62,18 +64,107 @@ def greedy_paths(bigrams: DataFrame, max_new_tokens: int) -> DataFrame:
     return paths.select("token", F.slice("path", 1, max(1, max_new_tokens)).alias("path"))
 
 
+def _last_word(text: str) -> Column:
+    return F.nullif(F.regexp_extract(text, r"(\S+)\s*$", 1), F.lit(""))
+
+
 def continue_prompts(prompts: DataFrame, text: str, paths: DataFrame) -> DataFrame:
     """Add the greedy continuation of each prompt's last word (null if unknown).
 
     The path table has one row per token, so a frequent last word only makes
     one side of the join heavy, which adaptive execution splits.
     """
-    last = F.regexp_extract(text, r"(\S+)\s*$", 1)
-    return (prompts.withColumn("_last", F.nullif(last, F.lit("")))
+    return (prompts.withColumn("_last", _last_word(text))
             .join(paths.withColumnRenamed("token", "_last"), "_last", "left")
             .drop("_last"))
 
 
+def _cells(successors: Column) -> Column:
+    return F.pow(F.lit(2.0), F.ceil(F.log2(successors))).cast("long")
+
+
+def sampling_table(bigrams: DataFrame, temperature: float) -> DataFrame:
+    """Successors of each token with their CDF range, laid out for lookup.
+
+    Probabilities are the softmax of log counts over the temperature. A token
+    with V successors gets at least V equal cells of [0, 1); each successor is
+    listed in every cell its range touches, which is under three rows per
+    successor, and a draw reads one cell. Sums run over lanes of successors
+    first, so a token with very many successors is not summed by one task.
+
+    Result: prev, cell, next, lo, hi and the cells of ``next`` itself.
+    """
+    bigrams = bigrams.where(F.col("prev") != EOS)
+    top = bigrams.groupBy("prev").agg(F.max("n").alias("_top"), F.count("*").alias("_v"))
+    weights = (
+        bigrams.join(top, "prev")
+        .withColumn("_w", F.pow(F.col("n") / F.col("_top"), F.lit(1.0 / temperature)))
+        .withColumn("_lane", F.substring(F.md5("next"), 1, 2)))
+    by_prev = Window.partitionBy("prev")
+    lanes = (
+        weights.groupBy("prev", "_lane").agg(F.sum("_w").alias("_lw"))
+        .withColumn("_total", F.sum("_lw").over(by_prev))
+        .withColumn("_from", F.sum("_lw").over(by_prev.orderBy("_lane")) - F.col("_lw"))
+        .withColumn("_final", F.max("_lane").over(by_prev) == F.col("_lane"))
+        .drop("_lw"))
+    in_lane = Window.partitionBy("prev", "_lane").orderBy("next")
+    ranges = (
+        weights.join(lanes, ["prev", "_lane"])
+        .withColumn("_upto", F.col("_from") + F.sum("_w").over(in_lane))
+        .withColumn("lo", (F.col("_upto") - F.col("_w")) / F.col("_total"))
+        # rounding must not leave a gap below 1
+        .withColumn("hi", F.when(F.col("_final") & F.lead("next").over(in_lane).isNull(),
+                                 F.lit(1.0)).otherwise(F.col("_upto") / F.col("_total")))
+        .withColumn("_cells", _cells(F.col("_v"))))
+    last = F.col("_cells") - 1
+    listed = ranges.select("prev", "next", "lo", "hi", F.explode(F.sequence(
+        F.least(F.floor(F.col("lo") * F.col("_cells")), last),
+        F.least(F.floor(F.col("hi") * F.col("_cells")), last))).alias("cell"))
+    sizes = top.select(F.col("prev").alias("next"),
+                       _cells(F.col("_v")).alias("next_cells"))
+    return listed.join(sizes, "next", "left")
+
+
+def sample_continuations(prompts: DataFrame, key: str, text: str, bigrams: DataFrame,
+                         max_new_tokens: int, temperature: float, seed: int,
+                         steps_per_write: int = 4) -> DataFrame:
+    """(key, path): sampled continuation of each prompt's last word.
+
+    All prompts move one token per step. The uniform of a step depends on
+    seed, step and key only. The lookup key includes the drawn cell, which
+    spreads the prompts that stand at one frequent token, and those that have
+    ended. Every few steps the state is written, which cuts its lineage, and
+    ended prompts leave the loop. A prompt with an unknown last word has no row.
+    """
+    counts = materialize(bigrams, "bigrams")
+    table = materialize(sampling_table(counts, temperature), "sampling")
+    starts = counts.groupBy(F.col("prev").alias("_at")).agg(
+        _cells(F.count("*")).alias("_cells"))
+
+    def step(rows: DataFrame, number: int) -> DataFrame:
+        drawn = rows.withColumn("_u", keyed_uniform(seed, f"step{number}", F.col(key)))
+        drawn = drawn.withColumn("_cell", F.floor(F.col("_u") * F.col("_cells")))
+        hit = ((F.col("_at") == F.col("prev")) & (F.col("_cell") == F.col("cell"))
+               & (F.col("_u") >= F.col("lo")) & (F.col("_u") < F.col("hi")))
+        return drawn.join(table, hit, "left").select(
+            key, F.coalesce("next", "_at").alias("_at"),
+            F.coalesce("next_cells", "_cells").alias("_cells"),
+            F.when(F.col("next").isNull(), F.col("path"))
+            .otherwise(F.concat("path", F.array("next"))).alias("path"))
+
+    active = (prompts.select(key, _last_word(text).alias("_at")).join(starts, "_at")
+              .withColumn("path", F.array().cast("array<string>")))
+    done = []
+    cap = max(1, max_new_tokens)
+    for number in range(cap):
+        active = step(active, number)
+        if number + 1 == cap or (number + 1) % steps_per_write == 0:
+            active = materialize(active, "walk")
+            done.append(active if number + 1 == cap else active.where(F.col("_at") == EOS))
+            active = active.where(F.col("_at") != EOS)
+    return reduce(DataFrame.unionByName, done).select(key, "path")
+
+
 def corpus_overlap(texts: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
     """Overlap of a unigram draft with a bigram target, per context token.
 
@@ -92,9 +183,11 @@ def corpus_overlap(texts: DataFrame, text: str, keys: Sequence[str]) -> DataFram
         .join(broadcast_if_small(totals), "_k")
         .select("_k", "next", (F.col("_nq") / F.col("_all")).alias("q")))
     context = bigrams.groupBy("_k", "prev").agg(F.sum("n").alias("_np"))
+    # context first: the last grouping then starts from another partitioning,
+    # so it combines before its shuffle and a hot context token stays cheap
     p = F.col("n") / F.col("_np")
     return (
-        bigrams.join(draft, ["_k", "next"]).join(context, ["_k", "prev"])
+        bigrams.join(context, ["_k", "prev"]).join(draft, ["_k", "next"])
         .groupBy("_k", F.col("prev").alias("context"))
         .agg(F.max("_np").alias("n"), F.sum(F.least(p, F.col("q"))).alias("alpha"))
         .select("_k.*", "context", "n", "alpha"))

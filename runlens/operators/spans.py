@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 
 def pair_spans(log: DataFrame, keys: Sequence[str] = ("run", "phase"),
-               slice_seconds: int = 3600) -> DataFrame:
+               slice_seconds: int = 60) -> DataFrame:
     """Give every event its status, and every closing stop its elapsed time.
 
     ``log`` needs ``keys``, ``op``, ``ts`` and a unique ``event_id``. A key's

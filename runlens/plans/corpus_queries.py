@@ -8,10 +8,11 @@ from runlens.operators import ngram, vocabulary as vc
 from runlens.operators.generate import generate_records
 from runlens.plans import views
 from runlens.plans.registry import query
-from runlens.schemas import NUM_RUNS, TEMPERATURES
+from runlens.schemas import NUM_RUNS, SEED, TEMPERATURES
 from runlens.sources.tables import text_table
 
 CONTINUE_TOKENS = 8
+SAMPLE_TEMPERATURE = 0.6
 
 _BIGRAMS = r"""
 toks AS (SELECT doc_id, %s regexp_extract_all(text, '\S+') AS w FROM documents),
@@ -44,6 +45,41 @@ def ngram_continue(spark, d):
         F.coalesce(F.size("path"), F.lit(0)).cast("long").alias("n"))
 
 
+@query("ngram_sample", "WITH RECURSIVE " + _BIGRAMS % ("", "", "") + f""",
+weights AS (SELECT *, pow(n / max(n) OVER (PARTITION BY prev), 1 / {SAMPLE_TEMPERATURE}) AS w
+            FROM bigrams WHERE prev <> '</s>'),
+sums AS (SELECT *, sum(w) OVER (PARTITION BY prev ORDER BY substr(md5(next), 1, 2), next
+                                ROWS UNBOUNDED PRECEDING) AS upto,
+                sum(w) OVER (PARTITION BY prev) AS total,
+                row_number() OVER (PARTITION BY prev
+                                   ORDER BY substr(md5(next), 1, 2) DESC, next DESC) AS back
+         FROM weights),
+ranges AS (SELECT prev, next, (upto - w) / total AS lo,
+                  CASE WHEN back = 1 THEN 1 ELSE upto / total END AS hi FROM sums),
+prompts AS (SELECT conv_id || ':' || turn AS id,
+                   nullif(regexp_extract(text, '(\\S+)\\s*$', 1), '') AS last
+            FROM conversations WHERE role = 'user'),
+walk(id, step, token) AS (
+  SELECT id, 0, last FROM prompts WHERE last IN (SELECT prev FROM bigrams)
+  UNION ALL
+  SELECT w.id, w.step + 1, r.next FROM walk w JOIN ranges r ON r.prev = w.token
+   AND (CAST('0x' || substr(md5('{SEED}:step' || w.step || ':' || w.id), 1, 8) AS BIGINT)
+        / 4294967296.0::DOUBLE) >= r.lo
+   AND (CAST('0x' || substr(md5('{SEED}:step' || w.step || ':' || w.id), 1, 8) AS BIGINT)
+        / 4294967296.0::DOUBLE) < r.hi
+  WHERE w.step < {CONTINUE_TOKENS} AND w.token <> '</s>')
+SELECT id, string_agg(token, ' ' ORDER BY step) AS continuation, count(*) AS n
+FROM walk WHERE step > 0 GROUP BY id""")
+def ngram_sample(spark, d):
+    bigrams = ngram.bigram_counts(text_table(spark, d, "documents"), "text")
+    turns = text_table(spark, d, "conversations").where(F.col("role") == "user").select(
+        F.concat_ws(":", "conv_id", "turn").alias("id"), "text")
+    walked = ngram.sample_continuations(turns, "id", "text", bigrams, CONTINUE_TOKENS,
+                                        SAMPLE_TEMPERATURE, SEED)
+    return walked.select("id", F.array_join("path", " ").alias("continuation"),
+                         F.size("path").cast("long").alias("n"))
+
+
 @query("corpus_overlap", "WITH " + _BIGRAMS % ("lang,", "lang,", "lang,") + """,
 p AS (SELECT *, n / sum(n) OVER (PARTITION BY lang, prev) AS p,
              sum(n) OVER (PARTITION BY lang, prev) AS total FROM bigrams),

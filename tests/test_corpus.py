@@ -51,6 +51,46 @@ def test_continuation_of_prompts(spark):
     assert got == {0: ["sat", "</s>"], 1: None, 2: None}
 
 
+def test_sampling_table_covers_the_unit_interval(spark):
+    table = bigrams(t for _, _, t in TEXTS)
+    counts = ngram.bigram_counts(texts(spark), "text")
+    rows = ngram.sampling_table(counts, 0.5).collect()
+    ranges = defaultdict(set)
+    for r in rows:
+        ranges[r.prev].add((r.lo, r.hi, r.next))
+    assert set(ranges) == set(table)
+    for prev, entries in ranges.items():
+        ordered = sorted(entries)
+        assert ordered[0][0] == 0.0 and ordered[-1][1] == 1.0
+        assert all(abs(a[1] - b[0]) < 1e-12 for a, b in zip(ordered, ordered[1:]))
+        weight = {t: n ** 2 for t, n in table[prev].items()}
+        for lo, hi, token in ordered:
+            assert hi - lo == pytest.approx(weight[token] / sum(weight.values()))
+        # a draw reads one cell, and all cells together stay short
+        assert sum(r.prev == prev for r in rows) <= 4 * len(entries)
+
+
+@pytest.mark.parametrize("steps_per_write", [1, 2, 4])
+def test_sampling_frequencies_and_replay(spark, steps_per_write):
+    counts = ngram.bigram_counts(texts(spark), "text")
+    prompts = spark.range(4_000).select(F.col("id").alias("k"), F.lit("on the").alias("text"))
+    walked = ngram.sample_continuations(prompts, "k", "text", counts, 3, 1.0, 42,
+                                        steps_per_write)
+    rows = {r.k: list(r.path) for r in walked.collect()}
+    assert len(rows) == 4_000
+    c = bigrams(t for _, _, t in TEXTS)
+    first = Counter(p[0] for p in rows.values())
+    for token, n in c["the"].items():
+        assert first[token] / 4_000 == pytest.approx(n / sum(c["the"].values()), abs=0.03)
+    for path in rows.values():
+        assert len(path) == 3 or path[-1] == ngram.EOS
+        assert ngram.EOS not in path[:-1]
+        assert all(b in c[a] for a, b in zip(["the", *path], path))
+    again = {r.k: list(r.path) for r in ngram.sample_continuations(
+        prompts.repartition(5), "k", "text", counts, 3, 1.0, 42, 4).collect()}
+    assert again == rows
+
+
 def test_overlap_equals_brute_force(spark):
     want = {}
     for lang in {t[1] for t in TEXTS}:
