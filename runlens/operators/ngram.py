@@ -95,73 +95,70 @@ def sampling_table(bigrams: DataFrame, temperature: float) -> DataFrame:
     Result: prev, cell, next, lo, hi and the cells of ``next`` itself.
     """
     bigrams = bigrams.where(F.col("prev") != EOS)
-    top = bigrams.groupBy("prev").agg(F.max("n").alias("_top"), F.count("*").alias("_v"))
+    top = bigrams.groupBy("prev").agg(
+        F.max("n").alias("_top"), _cells(F.count("*")).alias("_cells"))
     weights = (
         bigrams.join(top, "prev")
         .withColumn("_w", F.pow(F.col("n") / F.col("_top"), F.lit(1.0 / temperature)))
-        .withColumn("_lane", F.substring(F.md5("next"), 1, 2)))
+        # never null, so the join on it puts no hash into the scan's filter
+        .withColumn("_lane", F.coalesce(F.substring(F.md5("next"), 1, 2), F.lit("")))
+        .select("prev", "next", "_cells", "_w", "_lane"))
     by_prev = Window.partitionBy("prev")
     lanes = (
-        weights.groupBy("prev", "_lane").agg(F.sum("_w").alias("_lw"))
+        weights.groupBy("prev", "_lane")
+        .agg(F.sum("_w").alias("_lw"), F.max("next").alias("_end"))
         .withColumn("_total", F.sum("_lw").over(by_prev))
         .withColumn("_from", F.sum("_lw").over(by_prev.orderBy("_lane")) - F.col("_lw"))
         .withColumn("_final", F.max("_lane").over(by_prev) == F.col("_lane"))
         .drop("_lw"))
-    in_lane = Window.partitionBy("prev", "_lane").orderBy("next")
+    upto = F.col("_from") + F.sum("_w").over(
+        Window.partitionBy("prev", "_lane").orderBy("next"))
+    sizes = top.select(F.col("prev").alias("next"), F.col("_cells").alias("next_cells"))
     ranges = (
-        weights.join(lanes, ["prev", "_lane"])
-        .withColumn("_upto", F.col("_from") + F.sum("_w").over(in_lane))
-        .withColumn("lo", (F.col("_upto") - F.col("_w")) / F.col("_total"))
-        # rounding must not leave a gap below 1
-        .withColumn("hi", F.when(F.col("_final") & F.lead("next").over(in_lane).isNull(),
-                                 F.lit(1.0)).otherwise(F.col("_upto") / F.col("_total")))
-        .withColumn("_cells", _cells(F.col("_v"))))
+        weights.join(lanes, ["prev", "_lane"]).withColumn("_upto", upto)
+        .select("prev", "next", "_cells",
+                ((F.col("_upto") - F.col("_w")) / F.col("_total")).alias("lo"),
+                # rounding must not leave a gap below 1
+                F.when(F.col("_final") & (F.col("next") == F.col("_end")), F.lit(1.0))
+                .otherwise(F.col("_upto") / F.col("_total")).alias("hi"))
+        .join(sizes, "next", "left"))
     last = F.col("_cells") - 1
-    listed = ranges.select("prev", "next", "lo", "hi", F.explode(F.sequence(
-        F.least(F.floor(F.col("lo") * F.col("_cells")), last),
-        F.least(F.floor(F.col("hi") * F.col("_cells")), last))).alias("cell"))
-    sizes = top.select(F.col("prev").alias("next"),
-                       _cells(F.col("_v")).alias("next_cells"))
-    return listed.join(sizes, "next", "left")
+    return ranges.select(
+        "prev", "next", "lo", "hi", "next_cells", F.explode(F.sequence(
+            F.least(F.floor(F.col("lo") * F.col("_cells")), last),
+            F.least(F.floor(F.col("hi") * F.col("_cells")), last))).alias("cell"))
 
 
 def sample_continuations(prompts: DataFrame, key: str, text: str, bigrams: DataFrame,
-                         max_new_tokens: int, temperature: float, seed: int,
-                         steps_per_write: int = 4) -> DataFrame:
+                         max_new_tokens: int, temperature: float, seed: int) -> DataFrame:
     """(key, path): sampled continuation of each prompt's last word.
 
-    All prompts move one token per step. The uniform of a step depends on
-    seed, step and key only. The lookup key includes the drawn cell, which
-    spreads the prompts that stand at one frequent token, and those that have
-    ended. Every few steps the state is written, which cuts its lineage, and
-    ended prompts leave the loop. A prompt with an unknown last word has no row.
+    All prompts move one token per step; those that reach EOS leave the loop.
+    The uniform of a step depends on seed, step and key only. The lookup key
+    includes the drawn cell, which spreads prompts that stand at one frequent
+    token. The state is written after each step, so lineage does not grow and
+    the planner sees its size: while it is small it is sent to the table, and
+    the table is not shuffled. A prompt with an unknown last word has no row.
     """
     counts = materialize(bigrams, "bigrams")
     table = materialize(sampling_table(counts, temperature), "sampling")
     starts = counts.groupBy(F.col("prev").alias("_at")).agg(
         _cells(F.count("*")).alias("_cells"))
-
-    def step(rows: DataFrame, number: int) -> DataFrame:
-        drawn = rows.withColumn("_u", keyed_uniform(seed, f"step{number}", F.col(key)))
-        drawn = drawn.withColumn("_cell", F.floor(F.col("_u") * F.col("_cells")))
-        hit = ((F.col("_at") == F.col("prev")) & (F.col("_cell") == F.col("cell"))
-               & (F.col("_u") >= F.col("lo")) & (F.col("_u") < F.col("hi")))
-        return drawn.join(table, hit, "left").select(
-            key, F.coalesce("next", "_at").alias("_at"),
-            F.coalesce("next_cells", "_cells").alias("_cells"),
-            F.when(F.col("next").isNull(), F.col("path"))
-            .otherwise(F.concat("path", F.array("next"))).alias("path"))
-
     active = (prompts.select(key, _last_word(text).alias("_at")).join(starts, "_at")
               .withColumn("path", F.array().cast("array<string>")))
+    hit = ((F.col("_at") == F.col("prev")) & (F.col("_cell") == F.col("cell"))
+           & (F.col("_u") >= F.col("lo")) & (F.col("_u") < F.col("hi")))
     done = []
     cap = max(1, max_new_tokens)
     for number in range(cap):
-        active = step(active, number)
-        if number + 1 == cap or (number + 1) % steps_per_write == 0:
-            active = materialize(active, "walk")
-            done.append(active if number + 1 == cap else active.where(F.col("_at") == EOS))
-            active = active.where(F.col("_at") != EOS)
+        drawn = active.withColumn(
+            "_u", keyed_uniform(seed, f"step{number}", F.col(key))
+        ).withColumn("_cell", F.floor(F.col("_u") * F.col("_cells")))
+        moved = materialize(drawn.join(table, hit).select(
+            key, F.col("next").alias("_at"), F.col("next_cells").alias("_cells"),
+            F.concat("path", F.array("next")).alias("path")), "walk")
+        done.append(moved if number + 1 == cap else moved.where(F.col("_at") == EOS))
+        active = moved.where(F.col("_at") != EOS)
     return reduce(DataFrame.unionByName, done).select(key, "path")
 
 

@@ -70,12 +70,10 @@ def test_sampling_table_covers_the_unit_interval(spark):
         assert sum(r.prev == prev for r in rows) <= 4 * len(entries)
 
 
-@pytest.mark.parametrize("steps_per_write", [1, 2, 4])
-def test_sampling_frequencies_and_replay(spark, steps_per_write):
+def test_sampling_frequencies_and_replay(spark):
     counts = ngram.bigram_counts(texts(spark), "text")
     prompts = spark.range(4_000).select(F.col("id").alias("k"), F.lit("on the").alias("text"))
-    walked = ngram.sample_continuations(prompts, "k", "text", counts, 3, 1.0, 42,
-                                        steps_per_write)
+    walked = ngram.sample_continuations(prompts, "k", "text", counts, 3, 1.0, 42)
     rows = {r.k: list(r.path) for r in walked.collect()}
     assert len(rows) == 4_000
     c = bigrams(t for _, _, t in TEXTS)
@@ -87,7 +85,7 @@ def test_sampling_frequencies_and_replay(spark, steps_per_write):
         assert ngram.EOS not in path[:-1]
         assert all(b in c[a] for a, b in zip(["the", *path], path))
     again = {r.k: list(r.path) for r in ngram.sample_continuations(
-        prompts.repartition(5), "k", "text", counts, 3, 1.0, 42, 4).collect()}
+        prompts.repartition(5), "k", "text", counts, 3, 1.0, 42).collect()}
     assert again == rows
 
 
