@@ -31,7 +31,8 @@ def pair_spans(log: DataFrame, keys: Sequence[str] = ("run", "phase"),
             F.expr(f"_us div {slice_seconds * 1_000_000}"), F.lit(0).cast("long")))
         .withColumn("_island", F.coalesce(F.sum(stop.cast("int")).over(
             by_slice.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .select("_k", "_slice", "_island", "_us", "op", "event_id", "ts")
+        # the time travels as _us only, so both sides need the same columns
+        .select("_k", "_slice", "_island", "_us", "op", "event_id")
     )
     in_island = Window.partitionBy("_k", "_slice", "_island").orderBy(
         "_us", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -44,7 +45,7 @@ def pair_spans(log: DataFrame, keys: Sequence[str] = ("run", "phase"),
     since = F.coalesce("_carry", "_first")
     first_start = start & (F.col("_starts") == 1) & F.col("_carry").isNull()
     return rows.select(
-        "_k.*", "event_id", "ts",
+        "_k.*", "event_id", F.timestamp_micros("_us").alias("ts"),
         F.when(first_start, F.lit("started")).when(start, F.lit("already_running"))
         .when(since.isNotNull(), F.lit("completed"))
         .otherwise(F.lit("never_started")).alias("status"),

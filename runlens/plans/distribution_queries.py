@@ -160,10 +160,9 @@ def preservation_check(spark, d):
 @query("vector_rejects", "SELECT count(*) FILTER (WHERE len(embedding) = 64) AS good, "
        "count(*) FILTER (WHERE len(embedding) <> 64) AS bad FROM embeddings")
 def vector_rejects(spark, d):
-    good, bad = vf.split_bad_vectors(views.vectors(spark, d).select("vec_id", "p", "q"))
-    tagged = good.select(F.lit(True).alias("ok")).unionByName(
-        bad.select(F.lit(False).alias("ok")))
-    return tagged.agg(F.count_if("ok").alias("good"), F.count_if(~F.col("ok")).alias("bad"))
+    ok = dist.same_vocabulary(F.col("p"), F.col("q"))
+    return views.vectors(spark, d).select(ok.alias("ok")).agg(
+        F.count_if("ok").alias("good"), F.count_if(~F.col("ok")).alias("bad"))
 
 
 _ROUND_OUTPUT = (

@@ -43,7 +43,8 @@ def span_latest(spark, d):
 @query("stream_spans", _SPANS + _STATUS)
 def stream_spans(spark, d):
     events = table(spark, d, "events")
-    stream = read_stream(spark, f"{d}/events.parquet*", events.schema, "parquet")
+    stream = read_stream(spark, f"{d}/events.parquet*", events.schema, "parquet",
+                         max_bytes=1 << 30)
     # nothing expires here, so that the result equals the batch pairing
     paired = pair_spans_stream(views.span_log(stream), watermark="40 days",
                                expire_ms=_MONTHS_MS)

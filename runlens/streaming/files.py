@@ -7,14 +7,19 @@ from pyspark.sql.types import StructType
 
 from runlens.session import scratch_path
 
-# bounds what one micro-batch, and so one key of it, can hold
 MAX_FILES_PER_TRIGGER = 1000
 
 
 def read_stream(spark: SparkSession, path: str, schema: StructType, fmt: str,
-                max_files: int = MAX_FILES_PER_TRIGGER) -> DataFrame:
-    return (spark.readStream.schema(schema).format(fmt)
-            .option("maxFilesPerTrigger", max_files).load(path))
+                max_files: int | None = None, max_bytes: int | None = None) -> DataFrame:
+    """Files as a stream, with a bound on what one micro-batch takes in.
+
+    The bound is a number of files or, for operators that hold one key's share
+    of a micro-batch, a number of bytes.
+    """
+    limit = (("maxBytesPerTrigger", max_bytes) if max_bytes
+             else ("maxFilesPerTrigger", max_files or MAX_FILES_PER_TRIGGER))
+    return spark.readStream.schema(schema).format(fmt).option(*limit).load(path)
 
 
 def drain(stream: DataFrame, label: str) -> DataFrame:

@@ -15,13 +15,16 @@ def pair_spans_stream(log: DataFrame, keys: Sequence[str] = ("run", "phase"),
     Events of one call are ordered by time; order across micro-batches is
     arrival order, within the watermark. A start that finds no stop for
     ``expire_ms`` of event time is put out as ``open`` and forgotten, so state
-    cannot grow without bound. A call holds one key's share of a micro-batch,
-    which the trigger's file limit bounds.
+    cannot grow without bound. A call holds time, id and kind (17 bytes) of
+    each event of one key in one micro-batch, so bound the trigger by bytes
+    (``read_stream(max_bytes=...)``) where one key may dominate.
     """
     key_types = ", ".join(f"{k} {log.schema[k].dataType.simpleString()}" for k in keys)
     output = f"{key_types}, event_id bigint, status string, elapsed_ms double"
     names = [*keys, "event_id", "status", "elapsed_ms"]
 
+    chunk = 100_000
+
     def step(key, batches, state):
         import numpy as np
         import pandas as pd
@@ -56,10 +59,13 @@ def pair_spans_stream(log: DataFrame, keys: Sequence[str] = ("run", "phase"),
                 max(since // 1000 + expire_ms, state.getCurrentWatermarkMs() + 1))
         elif state.exists:
             state.remove()
-        columns = {k: [v] * len(us) for k, v in zip(keys, key)}
-        # NaN in a float column reaches Spark as null
-        yield pd.DataFrame({**columns, "event_id": ids, "status": status,
-                            "elapsed_ms": elapsed})
+        for lo in range(0, len(us), chunk):
+            part = slice(lo, lo + chunk)
+            # NaN in a float column reaches Spark as null
+            yield pd.DataFrame({
+                **{k: [v] * len(us[part]) for k, v in zip(keys, key)},
+                "event_id": ids[part], "status": status[part],
+                "elapsed_ms": elapsed[part]})
 
     slim = (log.withWatermark("ts", watermark)
             .select(*keys, "ts", "event_id", F.unix_micros("ts").alias("us"),
