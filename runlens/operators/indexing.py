@@ -78,3 +78,27 @@ def first_n(df: DataFrame, order_by: Sequence[str], n: int | None) -> DataFrame:
         inside = inside & (F.struct(*order_by) <= F.struct(*[
             v.alias(c) for v, c in zip(limits, order_by)]))
     return df.where(inside)
+
+
+def with_group_index(df: DataFrame, keys: Sequence[str], time: str, tie: str,
+                     out: str, slice_seconds: int = 60) -> DataFrame:
+    """Add the 0-based position of each row among the rows of its group.
+
+    Rows of a group are ordered by a timestamp and a unique ``tie`` column.
+    They are counted inside time slices, and a slice starts where the ones
+    before it end; so the rows of a hot group are numbered by many tasks, and
+    only its slice counts are ordered in one.
+    """
+    sliced = (
+        df.withColumn("_k", F.struct(*keys))
+        .withColumn("_slice", F.coalesce(F.expr(
+            f"unix_micros({time}) div {slice_seconds * 1_000_000}"), F.lit(0).cast("long"))))
+    starts = (
+        sliced.groupBy("_k", "_slice").agg(F.count("*").alias("_n"))
+        .withColumn("_start", F.sum("_n").over(
+            Window.partitionBy("_k").orderBy("_slice")) - F.col("_n"))
+        .select("_k", "_slice", "_start"))
+    row = F.row_number().over(Window.partitionBy("_k", "_slice").orderBy(time, tie))
+    return (sliced.join(starts, ["_k", "_slice"])
+            .withColumn(out, (F.col("_start") + row - 1).cast("long"))
+            .drop("_k", "_slice", "_start"))

@@ -7,14 +7,13 @@ from pyspark.sql import functions as F
 from runlens.functions import config as cf, sequences as seq
 from runlens.functions.metrics import summary_line, with_metrics
 from runlens.operators import reports as rp, results as res, verification as vf
+from runlens.operators.indexing import with_group_index
 from runlens.operators.spans import phase_map
 from runlens.plans import views
 from runlens.plans.registry import query
 from runlens.schemas import CONFIG, RECORD, RESULT
-from runlens.session import materialize, scratch_path
-from runlens.sources.registry import join_registry
+from runlens.session import scratch_path
 from runlens.sources.result_files import read_records, write_records
-from runlens.sources.tables import table
 
 _R = "WITH " + views.RECORDS_SQL
 _S = "WITH " + views.SPEEDUPS_SQL
@@ -140,6 +139,20 @@ def results_union(spark, d):
         F.sum(F.size("generated_ids")).cast("long").alias("tokens"))
 
 
+@query("run_index", "WITH " + views.ROUNDS_SQL + """
+SELECT event_id, prompt_id, temperature, row_number() OVER (
+         PARTITION BY prompt_id, temperature ORDER BY ts, event_id) - 1 AS run_idx
+FROM (SELECT *, printf('%s_%03d', domain, user_id) AS prompt_id
+      FROM (SELECT event_id, ts, user_id, """ + views._CONDITION_SQL.strip() + """
+            FROM rounds))""")
+def run_index(spark, d):
+    """Every event taken as one run of its prompt, numbered in time order."""
+    logged = views.with_condition(views.rounds(spark, d)).select(
+        "event_id", "prompt_id", "temperature", "ts")
+    return with_group_index(logged, ["prompt_id", "temperature"], "ts", "event_id",
+                            "run_idx").drop("ts")
+
+
 # --- configs -----------------------------------------------------------------
 
 @query("config_labels", _R + """
@@ -370,10 +383,16 @@ def latency_pooled(spark, d):
         _r9("p50", "p95", "p99"))
 
 
-@query("latency_pooled_approx")
+# with fewer rows per group than the accuracy (10,000) the sketch is exact
+@query("latency_pooled_approx", _STEPS + """
+SELECT model_pair_name, domain, K, count(*) AS n,
+       round(quantile_disc(latency_s, 0.50), 9) AS p50,
+       round(quantile_disc(latency_s, 0.95), 9) AS p95,
+       round(quantile_disc(latency_s, 0.99), 9) AS p99
+FROM steps GROUP BY ALL""")
 def latency_pooled_approx(spark, d):
     return rp.pooled_latency_approx(_group_steps(spark, d), _GROUP, "latency_s").withColumns(
-        _r6("p50", "p95", "p99"))
+        _r9("p50", "p95", "p99"))
 
 
 @query("latency_cdf", _STEPS + """

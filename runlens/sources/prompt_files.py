@@ -36,8 +36,10 @@ def load_prompts(spark: SparkSession, path: str, *, array_file: bool = False) ->
             "value", "array<map<string,string>>", {"mode": "FAILFAST"})).alias("m"))
     else:
         raw = spark.read.text(path)
-        objects = raw.select(F.from_json(
-            "value", "map<string,string>", {"mode": "FAILFAST"}).alias("m"))
+        # the generator keeps the checks below from being pushed under the
+        # parser, which would then run once per check
+        objects = raw.select(F.explode(F.array(F.from_json(
+            "value", "map<string,string>", {"mode": "FAILFAST"}))).alias("m"))
     exact = F.array_sort(F.map_keys("m")) == F.array(*[F.lit(k) for k in _KEYS])
     problem = F.concat(F.lit("prompt keys must be "), F.lit(", ".join(_KEYS)),
                        F.lit("; got "), F.concat_ws(", ", F.map_keys("m")))

@@ -83,7 +83,9 @@ def test_domain_checks(spark):
     with pytest.raises(KeyError, match="poetry"):
         pr.by_domain(df, "poetry")
     with pytest.raises(PySparkException, match="poetry"):
-        pr.require_domains(df).collect()
+        pr.require_domains(df.where("domain = 'poetry'")).collect()
+    with pytest.raises(PySparkException, match="null"):
+        pr.require_domains(df.where("domain is null")).collect()
 
 
 def test_stats(spark):
@@ -174,3 +176,17 @@ def test_first_n(spark, n):
     got = sorted((r.a, r.b) for r in ix.first_n(df, ["a", "b"], n).collect())
     want = sorted((i % 70, i) for i in range(5_000))[:n]
     assert got == want
+
+
+@pytest.mark.parametrize("slice_seconds", [1, 60, 10_000])
+def test_group_index_on_a_hot_group(spark, slice_seconds):
+    df = spark.range(6_000).select(
+        F.col("id"), F.when(F.col("id") % 3 == 0, F.lit("hot")).when(
+            F.col("id") % 100 == 1, F.lit(None)).otherwise(
+            (F.col("id") % 40).cast("string")).alias("k"),
+        F.timestamp_seconds((F.col("id") * 7919) % 500).alias("ts"))
+    want, seen = {}, {}
+    for r in df.orderBy("ts", "id").collect():
+        want[r.id] = seen[r.k] = seen.get(r.k, -1) + 1
+    got = ix.with_group_index(df, ["k"], "ts", "id", "i", slice_seconds).collect()
+    assert {r.id: r.i for r in got} == want
