@@ -19,25 +19,39 @@ CELLS_PER_OCTAVE = 1024
 _OFFSET = 1100 * CELLS_PER_OCTAVE
 
 
-def value_cell(v: Column) -> Column:
-    """A cell number that never decreases as the value grows."""
-    log_cell = F.floor(F.log2(F.abs(F.when(v != 0, v))) * CELLS_PER_OCTAVE) + _OFFSET
-    cell = F.when(v > 0, log_cell).when(v < 0, -log_cell).cast("long")
+# beyond every cell of a finite value
+_END = 1 << 62
+
+
+def value_cell(value: Column) -> Column:
+    """A cell number that never decreases as the value grows (NaN counts as largest)."""
+    v = value.cast("double")
+    infinite = F.abs(v) == float("inf")
+    finite = F.abs(F.when((v != 0) & ~infinite & ~F.isnan(v), v))
+    log_cell = F.floor(F.log2(finite) * CELLS_PER_OCTAVE) + _OFFSET
+    cell = (F.when(F.isnan(v) | (infinite & (v > 0)), F.lit(_END))
+            .when(infinite, F.lit(-_END))
+            .when(v > 0, log_cell).when(v < 0, -log_cell))
     # never null, so joins on the cell add no null test to every scanned row
-    return F.coalesce(cell, F.lit(0).cast("long"))
+    return F.coalesce(cell, F.lit(0)).cast("long")
 
 
 def _value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     # map-side combined: one row per distinct value of a group; the packed key
     # is never null itself, so groups with a null in their key join like others
+    key = F.struct(*keys) if keys else F.struct(F.lit(True).alias("all"))
     return (
         df.where(F.col(value).isNotNull())
-        .groupBy(F.struct(*keys).alias("_k"), F.col(value).alias("_v"))
+        .groupBy(key.alias("_k"), F.col(value).alias("_v"))
         .agg(F.count("*").alias("_c"))
         .withColumn("_cell", value_cell(F.col("_v")))
     )
 
 
+def _unpacked(keys: Sequence[str]) -> list[Column]:
+    return [F.col("_k")[k].alias(k) for k in keys]
+
+
 def _cell_starts(counts: DataFrame) -> DataFrame:
     # number of cells per group is bounded by the double range, not by the data
     group = Window.partitionBy("_k")
@@ -91,7 +105,7 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str,
     return (
         hits.groupBy("_k")
         .agg(F.max("_n").alias("n"), *[lerp(p).alias(k) for k, p in pos.items()])
-        .select("_k.*", "n", *pos))
+        .select(*_unpacked(keys), "n", *pos))
 
 
 def value_distribution(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -101,7 +115,7 @@ def value_distribution(df: DataFrame, keys: Sequence[str], value: str) -> DataFr
     return (
         counts.join(starts, ["_k", "_cell"])
         .withColumn("_upto", F.col("_before") + _upto_in_cell())
-        .select("_k.*", F.col("_v").alias(value), F.col("_c").alias("n"),
+        .select(*_unpacked(keys), F.col("_v").alias(value), F.col("_c").alias("n"),
                 (F.col("_upto") / F.col("_n")).alias("cume_dist"))
     )
 

@@ -26,7 +26,8 @@ def pair_spans(log: DataFrame, keys: Sequence[str] = ("run", "phase"),
     islands = (
         # the packed key and the slice are never null: the join below adds no
         # null test to one side only, so both sides share one shuffle
-        log.withColumn("_k", F.struct(*keys)).withColumn("_us", F.unix_micros("ts"))
+        log.withColumn("_k", F.struct(*keys)).withColumn(
+            "_us", F.unix_micros(F.col("ts").cast("timestamp")))
         .withColumn("_slice", F.coalesce(
             F.expr(f"_us div {slice_seconds * 1_000_000}"), F.lit(0).cast("long")))
         .withColumn("_island", F.coalesce(F.sum(stop.cast("int")).over(

@@ -58,7 +58,7 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/runlens/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str, fmt: str = "parquet") -> DataFrame:
+def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Used where two branches must see the very same rows (row numbering) or
@@ -67,11 +67,8 @@ def materialize(df: DataFrame, label: str, fmt: str = "parquet") -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    writer = df.write.format(fmt)
-    if fmt == "json":
-        writer = writer.option("ignoreNullFields", "false")
-    writer.save(path)
-    return spark.read.schema(df.schema).format(fmt).load(path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def small_table(spark: SparkSession, rows: list[dict],

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from runlens.operators import ranked
 from runlens.operators.reports import TAIL
@@ -64,10 +65,18 @@ def test_approximate_percentiles_stay_in_their_rank_bound(spark):
 
 def test_cells_never_decrease(spark):
     rng = np.random.default_rng(3)
-    values = sorted({0.0, 5e-324, 1.7e308, -1.7e308, *rng.normal(0, 1e3, 3_000).tolist(),
+    values = sorted({0.0, float("inf"), float("-inf"), 5e-324, 1.7e308, -1.7e308, *rng.normal(0, 1e3, 3_000).tolist(),
                      *(2.0 ** np.arange(-30, 30)).tolist()})
-    from pyspark.sql import functions as F
     df = spark.createDataFrame([(v,) for v in values], "v double")
     cells = [r.c for r in df.select("v", ranked.value_cell(F.col("v")).alias("c"))
              .orderBy("v").collect()]
     assert cells == sorted(cells)
+
+
+def test_one_group_and_whole_numbers(spark):
+    df = spark.range(1, 1001).withColumn("v", F.col("id") * F.lit(10 ** 12))
+    row = ranked.exact_percentiles(df, [], "v", TAIL).first()
+    assert row.n == 1000
+    assert row.p50 == pytest.approx(500.5e12) and row.p95 == pytest.approx(950.05e12)
+    cdf = ranked.value_distribution(df, [], "v")
+    assert cdf.columns == ["v", "n", "cume_dist"] and cdf.count() == 1000
