@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -35,4 +36,8 @@ def drain(stream: DataFrame, label: str) -> DataFrame:
         .option("path", f"{out}/data").option("checkpointLocation", f"{out}/progress")
         .trigger(availableNow=True).start())
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{out}/data")
+    try:
+        return spark.read.schema(stream.schema).parquet(f"{out}/data")
+    except AnalysisException:
+        # no file has arrived, so no batch has run and the sink has no folder
+        return spark.createDataFrame([], stream.schema)

@@ -59,3 +59,11 @@ def test_resent_records_come_through_once(spark, tmp_path):
     stream = read_stream(spark, path, spark.read.parquet(path).schema, "parquet", max_files=2)
     got = drain(drop_resent(stream, "end_ts", "1 day"), "test-dedup")
     assert sorted(r.config_hash for r in got.collect()) == sorted({r[0] for r in rows})
+
+
+def test_a_stream_without_files_gives_no_rows(spark, tmp_path):
+    empty = tmp_path / "empty"
+    empty.mkdir()
+    stream = read_stream(spark, str(empty), RECORD, "json")
+    got = drain(stream.select("prompt_id"), "test-empty")
+    assert got.columns == ["prompt_id"] and got.count() == 0
