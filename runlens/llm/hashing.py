@@ -48,8 +48,9 @@ def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"][:n], _powers["down"][:n]
 
 
-def slabs(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Cut a string column into runs of rows of about ``SLAB_BYTES`` bytes.
+def slabs(column: pa.Array, size: int = SLAB_BYTES,
+          ) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Cut a string column into runs of rows of about ``size`` bytes.
 
     Yields first row, row after the last, the UTF-8 bytes of the run and the
     byte offsets of its rows. Null texts count as empty.
@@ -67,7 +68,7 @@ def slabs(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
     bytes_ = np.frombuffer(data, dtype=np.uint8) if data and data.size else np.empty(0, np.uint8)
     first = 0
     while first < n:
-        last = int(np.searchsorted(ends, ends[first] + SLAB_BYTES, side="right")) - 1
+        last = int(np.searchsorted(ends, ends[first] + size, side="right")) - 1
         last = min(n, max(last, first + 1))
         yield first, last, bytes_[ends[first]:ends[last]], ends[first:last + 1] - ends[first]
         first = last
@@ -94,14 +95,37 @@ def words(text: np.ndarray, rows: np.ndarray):
     after[-1] = False
     after[:-1] = inside[1:]
     ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
-    up, down = _power_table(n)
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((_LOWER[text] + _U(1)) * up, out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * down[starts]
-                 + (ends - starts).astype(np.uint64) * _ODD)
+    hashes = _spans(_LOWER[text], starts, ends)
     return hashes, starts, ends, np.searchsorted(starts, rows, side="left")
 
 
+def lines(text: np.ndarray, rows: np.ndarray):
+    """Hashes of the lines of a slab, byte by byte, without their newlines.
+
+    Returns the same as ``words``; every row has one line more than newlines.
+    """
+    breaks = np.flatnonzero(text == 0x0A)
+    ends = np.concatenate([breaks, rows[1:]])
+    order = np.argsort(ends, kind="stable")
+    # at a row's end the break, if any, comes first and the row's last line after
+    ends = ends[order]
+    last = order >= len(breaks)
+    starts = np.empty(len(ends), dtype=np.int64)
+    starts[0:1] = 0
+    starts[1:] = np.where(last[:-1], ends[:-1], ends[:-1] + 1)
+    first = np.append(0, np.flatnonzero(last) + 1)
+    return _spans(text.astype(np.uint64), starts, ends), starts, ends, first
+
+
+def _spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Polynomial hashes of byte spans, from one running sum, then mixed."""
+    up, down = _power_table(len(values) + 1)
+    sums = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum((values + _U(1)) * up[:-1], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down[starts]
+               + (ends - starts).astype(np.uint64) * _ODD)
+
+
 def fold(word_hashes: np.ndarray, size: int) -> np.ndarray:
     """Hash of every run of ``size`` consecutive words."""
     n = len(word_hashes) - size + 1

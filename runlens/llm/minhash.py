@@ -200,8 +200,9 @@ def _verified(docs: DataFrame, classes: DataFrame, shingle: int,
     members = _candidates(classes).join(
         classes.select(F.col("doc_id").alias("node"), "set_hash", "n_shingles"), "node")
     placed = materialize(_blocks(members, numerator, denominator), "blocks")
+    # merged at every size: no list of members is ever sent to all tasks
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text") \
-        .join(placed, "node") \
+        .join(placed.hint("merge"), "node") \
         .select("node", "set_hash", "text", F.explode("tasks").alias("task")) \
         .select("node", "set_hash", "text", "task.*")
     key = ["root", "low_class", "low_block", "high_class", "high_block"]

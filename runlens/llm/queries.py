@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from runlens.llm import minhash
+from runlens.llm import line_chunks, minhash, packing, pii, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -55,3 +55,32 @@ FROM sets s JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY
 """)
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(_read(spark, folder, "documents"), 5, 85, 100)
+
+
+@_query("op8_pii")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.find_pii(_read(spark, folder, "documents"))
+    of_kind = [F.expr(f"cast(size(filter(spans, s -> s.kind = '{k}')) as long)").alias(f"n_{k}")
+               for k in pii.BASE_KINDS]
+    base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE_KINDS))
+    return found.select(
+        "doc_id", *of_kind, F.sha2(pii.span_text(base), 256).alias("base_sha256"),
+        pii.span_text(F.col("spans")).alias("spans"))
+
+
+@_query("op10_line_dedup")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return line_chunks.dedup_lines(_read(spark, folder, "documents")) \
+        .select("doc_id", "n_lines_cut", "text")
+
+
+@_query("op2_best_fit_packing")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(_read(spark, folder, "documents"))
+
+
+@_query("op5_quality_classifier")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.classify(
+        _read(spark, folder, "documents"), _read(spark, folder, "labels"),
+        F.col("source"), F.concat_ws("/", "source", "lang")).drop("version")
