@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from runlens.llm import line_chunks, minhash, packing, pii, quality
+from runlens.llm import fingerprints, line_chunks, minhash, packing, pii, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -84,3 +84,8 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return quality.classify(
         _read(spark, folder, "documents"), _read(spark, folder, "labels"),
         F.col("source"), F.concat_ws("/", "source", "lang")).drop("version")
+
+
+@_query("op3_document_fingerprints")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.fingerprints(_read(spark, folder, "documents"))
