@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from runlens.llm import fingerprints, line_chunks, minhash, packing, pii, quality
+from runlens.llm import embeddings, fingerprints, line_chunks, minhash, packing, pii, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -89,3 +89,26 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op3_document_fingerprints")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.fingerprints(_read(spark, folder, "documents"))
+
+
+@_query("op1_embedding_near_dedup", """
+WITH RECURSIVE usable AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b
+    ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_inner_product(a.v, b.v)
+        / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v))) >= 0.98),
+reach(vec_id, other) AS (
+  SELECT vec_id, vec_id FROM embeddings
+  UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON l.a = r.other)
+SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.a = e.vec_id) AS n_links,
+       r.component_id, e.vec_id = r.component_id AS kept
+FROM embeddings e JOIN (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id) r
+  ON r.vec_id = e.vec_id
+""")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return embeddings.near_vectors(_read(spark, folder, "embeddings"))
