@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from runlens.llm import embeddings, fingerprints, line_chunks, minhash, packing, pii, quality
+from runlens.llm import embeddings, fingerprints, line_chunks, minhash, mixing, packing, pii, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,12 +40,12 @@ sets AS (
   FROM words),
 rows AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
 common AS (
-  SELECT x.doc_id AS a, y.doc_id AS b, x.n + y.n AS total, count(*) AS both
+  SELECT x.doc_id AS a, y.doc_id AS b, x.n + y.n AS total, count(*) AS shared
   FROM rows x JOIN rows y ON x.g = y.g AND x.doc_id < y.doc_id
   GROUP BY ALL),
 links AS (
-  SELECT a, b FROM common WHERE 100 * both >= 85 * (total - both)
-  UNION SELECT b, a FROM common WHERE 100 * both >= 85 * (total - both)),
+  SELECT a, b FROM common WHERE 100 * shared >= 85 * (total - shared)
+  UNION SELECT b, a FROM common WHERE 100 * shared >= 85 * (total - shared)),
 reach(doc_id, other) AS (
   SELECT doc_id, doc_id FROM documents
   UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other)
@@ -112,3 +112,16 @@ FROM embeddings e JOIN (SELECT vec_id, min(other) AS component_id FROM reach GRO
 """)
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     return embeddings.near_vectors(_read(spark, folder, "embeddings"))
+
+
+#: token shares asked for, of documents as the labels table tells them apart
+SHARES = {"clean": 0.97, "low": 0.01, "toxic": 0.02}
+
+
+@_query("op4_source_mixing")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    rates = mixing.mixture(
+        _read(spark, folder, "documents"),
+        mixing.label_domains(_read(spark, folder, "labels")), SHARES)
+    return rates.select("doc_id", "copies", "tokens", *(
+        F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(SHARES)), "rate")
