@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from runlens.llm import embeddings, fingerprints, line_chunks, minhash, mixing, packing, pii, quality
+from runlens.llm import embeddings, fingerprints, licenses, line_chunks, minhash, mixing, packing, pii, quality, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -125,3 +125,29 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
         mixing.label_domains(_read(spark, folder, "labels")), SHARES)
     return rates.select("doc_id", "copies", "tokens", *(
         F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(SHARES)), "rate")
+
+
+@_query("op7_suffix_array_dedup")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.repeated_passages(_read(spark, folder, "documents"))
+
+
+@_query("op9_license_scan", """
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
+named AS (
+  SELECT doc_id, CASE trim(regexp_replace(lower(line), '[^a-z0-9]+', ' ', 'g'))
+    WHEN 'licensed under the apache license version 2 0' THEN 'Apache-2.0'
+    WHEN 'released under the mit license' THEN 'MIT'
+    WHEN 'this work is licensed under the gnu general public license version 3' THEN 'GPL-3.0-only'
+    WHEN 'licensed under cc by nc 4 0' THEN 'CC-BY-NC-4.0' END AS licence
+  FROM lines)
+SELECT doc_id, count(licence) AS n_sentences,
+       coalesce(string_agg(DISTINCT licence, ',' ORDER BY licence), '') AS licences
+FROM named GROUP BY doc_id
+""")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    found = licenses.scan(_read(spark, folder, "documents"))
+    return found.select(
+        "doc_id", F.size("sentences").cast("long").alias("n_sentences"),
+        F.array_join(F.array_sort(F.array_distinct(F.col("licences.licence"))), ",").alias("licences"))
