@@ -10,8 +10,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-#: fillings kept per bin, steps to enumerate them, and nodes of the whole search
-WIDTH, STEPS, NODES = 4, 400, 4000
+#: fillings kept per bin, steps to enumerate them, nodes of the whole search
+#: beyond its first dive, and items up to which dominance is tried
+WIDTH, STEPS, NODES, GROUPED = 4, 200, 2000, 6
 
 
 @dataclass(frozen=True)
@@ -42,71 +43,83 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return best
 
 
-def dominates(one: list[int], other: list[int]) -> bool:
-    """Whether the items of ``other`` fit, grouped, into the items of ``one``."""
-    def place(i: int, room: list[int]) -> bool:
-        if i == len(other):
+Content = list[tuple[int, int]]
+
+
+def dominates(one: Content, other: Content) -> bool:
+    """Whether the items of ``other`` fit, grouped, into the items of ``one``.
+
+    Tried for fillings of a few items only; of longer ones none dominates.
+    """
+    room = [s for s, c in one for _ in range(min(c, GROUPED + 1))]
+    items = [s for s, c in other for _ in range(min(c, GROUPED + 1))]
+    if len(items) > GROUPED or len(room) > GROUPED or sum(items) > sum(room):
+        return False
+
+    def place(i: int) -> bool:
+        if i == len(items):
             return True
         tried = set()
         for j, r in enumerate(room):
-            if r >= other[i] and r not in tried:
+            if r >= items[i] and r not in tried:
                 tried.add(r)
-                room[j] -= other[i]
-                if place(i + 1, room):
+                room[j] -= items[i]
+                if place(i + 1):
                     return True
-                room[j] += other[i]
+                room[j] += items[i]
         return False
-    return sum(other) <= sum(one) and place(0, list(one))
+    return place(0)
 
 
-def fillings(counts: dict[int, int], sizes: list[int], room: int) -> list[list[int]]:
+def fillings(counts: dict[int, int], sizes: list[int], room: int) -> list[Content]:
     """Undominated ways to fill ``room``, least waste first, then largest items.
 
-    ``sizes`` are the remaining sizes, descending. A filling to which another
-    item could be added is dominated by the one with it and never listed.
+    ``sizes`` are the remaining sizes, descending. A size is taken as often as
+    fits, or once less. A filling is listed once no smaller item can be added
+    to it; dominated ones are then dropped. One item that fits exactly
+    dominates everything else.
     """
-    found: list[list[int]] = []
+    if counts.get(room, 0) > 0:
+        return [[(room, 1)]]
+    found: list[Content] = []
     budget = STEPS
     smallest = sizes[-1] if sizes else room + 1
 
-    def walk(start: int, left: int, chosen: list[int]) -> None:
+    def walk(start: int, left: int, chosen: Content) -> bool:
+        """Whether to stop: the room is filled exactly or the steps are used up."""
         nonlocal budget
         budget -= 1
-        if left == 0 or left < smallest:
+        if left < smallest:
             found.append(list(chosen))
-            return
+            return left == 0 or budget <= 0
         added = False
-        low = _first_at_most(sizes, left, start)
-        for i in range(low, len(sizes)):
+        for i in range(_first_at_most(sizes, left, start), len(sizes)):
             s = sizes[i]
-            if counts[s] - chosen.count(s) <= 0:
-                continue
-            added = True
-            chosen.append(s)
-            walk(i, left - s, chosen)
-            chosen.pop()
-            if budget <= 0 or any(sum(f) == room for f in found[-1:]):
-                return
-        if not added and not any(s <= left and counts[s] > chosen.count(s) for s in sizes):
+            most = min(counts[s], left // s)
+            for copies in range(most, max(most - 2, 0), -1):
+                added = True
+                if walk(i + 1, left - copies * s, [*chosen, (s, copies)]) or budget <= 0:
+                    return True
+        if not added:
             found.append(list(chosen))
+        return budget <= 0
 
-    if counts.get(room, 0) > 0:  # one item that fits exactly dominates all else
-        return [[room]]
-    exact_pair = next(([s, room - s] for s in sizes[_first_at_most(sizes, room, 0):]
-                       if 2 * s >= room and counts.get(room - s, 0) > (2 * s == room)), None)
-    if exact_pair:
-        found.append(exact_pair)
     # one start item each, so that the list holds fillings that differ
     for i in range(_first_at_most(sizes, room, 0), len(sizes)):
-        if budget <= 0 or len(found) >= 4 * WIDTH:
+        s = sizes[i]
+        if len(found) >= 4 * WIDTH or budget <= 0:
+            break
+        partner = room - s
+        if s > partner > 0 and counts.get(partner, 0) > 0:
+            found.append([(s, 1), (partner, 1)])
+            break
+        if counts[s] > 0 and walk(i + 1, room - s, [(s, 1)]):
             break
-        if counts[sizes[i]] > 0:
-            walk(i, room - sizes[i], [sizes[i]])
     if not found:
         return [[]]
-    found.sort(key=lambda f: (room - sum(f), [-s for s in f]))
-    kept: list[list[int]] = []
-    for f in found:
+    found.sort(key=lambda f: (room - sum(s * c for s, c in f), [-s for s, _ in f]))
+    kept: list[Content] = []
+    for f in found[:8 * WIDTH]:
         if f not in kept and not any(dominates(k, f) for k in kept):
             kept.append(f)
         if len(kept) == WIDTH:
@@ -213,9 +226,9 @@ def pack(counts: dict[int, int], capacity: int) -> list[Filling]:
             levels.pop()
             continue
         nodes += 1
-        content: dict[int, int] = {}
-        for s in [level["largest"], *level["options"].pop()]:
-            content[s] = content.get(s, 0) + 1
+        content = {level["largest"]: 1}
+        for s, c in level["options"].pop():
+            content[s] = content.get(s, 0) + c
         times = min(remaining[s] // c for s, c in content.items())
         spare = capacity - sum(s * c for s, c in content.items())
         level.update(taken=[(s, c * times) for s, c in content.items()], waste=spare * times,
