@@ -131,8 +131,8 @@ def scan(docs: DataFrame) -> DataFrame:
 
     Needs doc_id and text; other columns are ignored. Returns one row per row:
     doc_id, sentences (identifiers in text order) and licences (array of licence
-    and form). Sentences are looked for line by line and across line ends; both
-    readings count. Null and empty texts have empty arrays.
+    and form). Sentences are looked for across line ends and line by line; the
+    second reading adds the licences that the first has not found. Null and empty texts have empty arrays.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     lower = F.lower(text)
@@ -147,8 +147,10 @@ def scan(docs: DataFrame) -> DataFrame:
         F.when(told, sentence_ids(text, _EMPTY_LINE)).otherwise(none).alias("wrapped"))
     # most rows have neither: no rule is tried for them
     empty = F.expr("cast(array() as array<struct<licence: string, form: string>>)")
+    across, lines = licences(F.col("wrapped")), licences(F.col("by_line"))
+    more = F.filter(lines, lambda x: ~F.exists(across, lambda y: y["licence"] == x["licence"]))
     rules = F.when(F.size("by_line") + F.size("wrapped") == 0, empty).otherwise(
-        F.array_union(licences(F.col("by_line")), licences(F.col("wrapped"))))
+        F.concat(across, more))
     longer = F.when(F.size("wrapped") > F.size("by_line"), F.col("wrapped")).otherwise(F.col("by_line"))
     return read.select(
         "doc_id",

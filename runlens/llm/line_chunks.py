@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from runlens.llm.hashing import fold, lines, mix, slabs
+from runlens.llm.rows import unwrapped, wrapped
 from runlens.session import materialize
 
 #: lines under the rolling hash, expected lines to the next bound, and lines
@@ -82,13 +83,6 @@ def _count(sizes: np.ndarray) -> np.ndarray:
     return np.arange(int(sizes.sum())) - np.repeat(ends - sizes, sizes)
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """Documents by id and a hash of the text, with their rows kept whole."""
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"),
-        F.col("text").alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-
-
 def repeated_chunks(docs: DataFrame, window: int = WINDOW, spacing: int = SPACING) -> DataFrame:
     """Chunks that stand, byte for byte, earlier in the table as well.
 
@@ -96,7 +90,7 @@ def repeated_chunks(docs: DataFrame, window: int = WINDOW, spacing: int = SPACIN
     text, which tells rows of one doc_id with different texts apart. Returns
     doc_id, version, line and n_lines of every occurrence but the first.
     """
-    keyed = _keyed(docs).select("doc_id", "version", "text").where("doc_id is not null")
+    keyed = wrapped(docs).select("doc_id", "version", "row.text").where("doc_id is not null")
     found = materialize(chunks(keyed, window, spacing), "chunks")
     again = found.groupBy("hash").agg(
         F.min(F.struct("doc_id", "version", "line")).alias("first"),
@@ -130,12 +124,10 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, spacing: int = SPACING) -
     """
     cuts = repeated_chunks(docs, window, spacing).groupBy("doc_id", "version") \
         .agg(F.collect_list(F.struct("line", "n_lines")).alias("cuts"))
-    cut = _keyed(docs).drop("text").join(cuts.hint("merge"), ["doc_id", "version"], "left") \
-        .withColumn("kept_text", F.expr(
-            "if(cuts is null, row.text, array_join(filter(split(row.text, '\n', -1), (l, i) -> "
-            "not exists(cuts, c -> i >= c.line and i < c.line + c.n_lines)), '\n'))")) \
-        .withColumn("n_lines_cut", F.expr(
-            "coalesce(aggregate(cuts, 0, (n, c) -> n + c.n_lines), 0)"))
-    columns = [F.col("kept_text").alias(c) if c == "text" else F.col("row")[c].alias(c)
-               for c in docs.columns]
-    return cut.select(*columns, *([] if "n_lines_cut" in docs.columns else ["n_lines_cut"]))
+    rows = wrapped(docs).join(cuts.hint("merge"), ["doc_id", "version"], "left")
+    text = F.expr(
+        "if(cuts is null, row.text, array_join(filter(split(row.text, '\n', -1), (l, i) -> "
+        "not exists(cuts, c -> i >= c.line and i < c.line + c.n_lines)), '\n'))")
+    cut = F.expr("coalesce(aggregate(cuts, 0, (n, c) -> n + c.n_lines), 0)").alias("n_lines_cut")
+    return rows.select(*unwrapped(rows, docs.columns, text=text),
+                       *([] if "n_lines_cut" in docs.columns else [cut]))

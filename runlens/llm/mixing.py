@@ -13,6 +13,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from runlens.llm.rows import unwrapped, wrapped
 from runlens.session import materialize
 
 #: labelled documents the model is fitted on, and words it knows: the most telling
@@ -231,13 +232,12 @@ def apply_rates(docs: DataFrame, rates: DataFrame, slack: float = 0.05) -> DataF
     times = rates.select(F.col("doc_id").alias("d"), F.col("version").alias("v"), F.expr(
         f"cast(if(abs(rate - round(rate)) <= {slack!r}, round(rate), "
         f"floor(rate + {part})) as int)").alias("times"))
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
-                       F.col("doc_id").cast("long").alias("d1"), F.xxhash64("text").alias("v1"))
+    rows = wrapped(docs)
     # merged at every size; a null id matches itself
-    return rows.join(times.hint("merge"), F.col("d1").eqNullSafe(F.col("d"))
-                     & (F.col("v1") == F.col("v"))).where("times > 0") \
+    return rows.join(times.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d"))
+                     & (F.col("version") == F.col("v"))).where("times > 0") \
         .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))) \
-        .select(*(F.col("row")[c].alias(c) for c in docs.columns))
+        .select(*unwrapped(rows, docs.columns))
 
 
 def label_domains(labels: DataFrame) -> DataFrame:

@@ -27,8 +27,8 @@ MAX_TOKENS = 2048
 END_OF_DOCUMENT = 0
 TOKENIZER = "word_bpe_49k.json"
 #: distinct chunks that a worker process remembers, and bytes of text at once
-_MEMO = 1_500_000
-_SLAB_BYTES = 8 << 20
+_MEMO = 1_000_000
+_SLAB_BYTES = 4 << 20
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[ord("A"):ord("Z") + 1] = _LETTER[ord("a"):ord("z") + 1] = True

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from runlens.llm.hashing import fold, slabs, words
+from runlens.llm.rows import unwrapped, wrapped
 from runlens.session import materialize
 
 #: least words of a passage, words of a minimiser gram, and neighbours compared
@@ -333,12 +334,9 @@ def without_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
     cuts = passages.where("other_doc_id < doc_id").groupBy("doc_id").agg(
         F.collect_list(F.struct("start_word", "end_word")).alias("cuts")) \
         .withColumnRenamed("doc_id", "d")
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
-                       F.col("doc_id").cast("long").alias("d1"))
+    rows = wrapped(docs)
     text = F.expr(
         "if(cuts is null, row.text, array_join(filter(filter(split(row.text, '[ \\\\t-\\\\r]+'), "
         "w -> w <> ''), (w, i) -> not exists(cuts, c -> i >= c.start_word and i < c.end_word)), ' '))")
-    return rows.join(cuts.hint("merge"), F.col("d1") == F.col("d"), "left") \
-        .withColumn("kept_text", text) \
-        .select(*(F.col("kept_text").alias(c) if c == "text" else F.col("row")[c].alias(c)
-                  for c in docs.columns))
+    return rows.join(cuts.hint("merge"), F.col("doc_id") == F.col("d"), "left") \
+        .select(*unwrapped(rows, docs.columns, text=text))
