@@ -13,18 +13,25 @@ SINGLE_TASK_ROWS = 1_000
 _ROW_BITS = 33  # layout of monotonically_increasing_id: partition, then row
 
 
-def row_index(keys: DataFrame, out: str = "idx") -> DataFrame:
-    """``keys`` with the 0-based position of each row in their order.
+def row_index(rows: DataFrame, order_by: Sequence[str] | None = None,
+              out: str = "idx") -> DataFrame:
+    """``rows`` with the 0-based position of each row in the order of ``order_by``.
 
-    ``keys`` holds only order columns, which must identify a row. They are
-    range-partitioned (a hot prefix is split, because the full key is unique),
+    Nulls come first; rows equal in ``order_by`` (by default all columns) follow
+    each other in an order fixed by a hash of the whole row, and each keeps one
+    position. Rows are range-partitioned (a hot key is split by the hash),
     numbered inside their partition, written once, and shifted by the sizes of
     the partitions before. The written table fixes the partition borders for
     both of its readers.
     """
-    names = keys.columns
+    names = rows.columns
+    order = [*(order_by or names), "_tie"]
+    # a map has no hash; its text has
+    tie = F.xxhash64(*(F.to_json(F.struct(c)) if t.startswith("map") else F.col(c)
+                       for c, t in rows.dtypes))
     ranged = (
-        keys.repartitionByRange(*names).sortWithinPartitions(*names)
+        rows.withColumn("_tie", tie)
+        .repartitionByRange(*order).sortWithinPartitions(*order).drop("_tie")
         .withColumn("_id", F.monotonically_increasing_id())
     )
     stored = materialize(ranged, "row-index")
@@ -45,22 +52,23 @@ def row_index(keys: DataFrame, out: str = "idx") -> DataFrame:
 
 def with_row_index(df: DataFrame, order_by: Sequence[str], out: str = "idx",
                    at_most: int | None = None) -> DataFrame:
-    """Add the position of each row.
+    """Add the position of each row; every row, also a tied or null one, gets its own.
 
-    Only the key columns are ordered; the other columns move once, in the join.
-    ``at_most`` is a known bound on the number of rows.
+    All columns move once, in the pass that numbers them. ``at_most`` is a known
+    bound on the number of rows.
     """
     if at_most is not None and at_most <= SINGLE_TASK_ROWS:
         return df.withColumn(out, (F.row_number().over(
             Window.orderBy(*order_by)) - 1).cast("long"))
-    return df.join(row_index(df.select(*order_by), out), list(order_by))
+    return row_index(df, order_by, out)
 
 
 def first_n(df: DataFrame, order_by: Sequence[str], n: int | None) -> DataFrame:
-    """The first ``n`` rows in order; all rows for None.
+    """The first ``n`` rows in order, nulls first, never more; all rows for None.
 
     The n-th key is found from the key columns alone and becomes a plain
     filter, which reaches the scan: text columns are read only where it holds.
+    Of rows tied at the n-th key as many are kept as are wanted.
     """
     if n is None:
         return df
@@ -68,16 +76,23 @@ def first_n(df: DataFrame, order_by: Sequence[str], n: int | None) -> DataFrame:
     if n <= SINGLE_TASK_ROWS:
         head = keys.orderBy(*order_by).limit(n)
     else:
-        head = row_index(keys, "_idx").where(F.col("_idx") < n)
-    last = head.agg(F.max(F.struct(*order_by)).alias("k")).first()["k"]
+        head = row_index(keys, out="_idx").where(F.col("_idx") < n)
+    found = head.agg(F.max(F.struct(*order_by)).alias("k"), F.count(F.lit(1)).alias("n")).first()
+    last = found["k"]
     if last is None:
         return df.where(F.lit(False))
-    limits = [F.lit(last[c]) for c in order_by]
-    inside = F.col(order_by[0]) <= limits[0]
+    types = dict(df.dtypes)
+    limits = [F.lit(last[c]).cast(types[c]) for c in order_by]
+    first = F.col(order_by[0])
+    inside = first.isNull() if last[order_by[0]] is None else first.isNull() | (first <= limits[0])
     if len(order_by) > 1:
+        # structs compare their fields in turn, null before any value
         inside = inside & (F.struct(*order_by) <= F.struct(*[
             v.alias(c) for v, c in zip(limits, order_by)]))
-    return df.where(inside)
+    reached = df.where(inside)
+    if n <= SINGLE_TASK_ROWS:
+        return reached.orderBy(*order_by).limit(n)
+    return row_index(reached, order_by, "_idx").where(F.col("_idx") < n).drop("_idx")
 
 
 def with_group_index(df: DataFrame, keys: Sequence[str], time: str, tie: str,

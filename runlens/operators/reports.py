@@ -100,10 +100,15 @@ def below_break_even(speedups: DataFrame) -> DataFrame:
 
 
 def best_k(speedups: DataFrame, epsilon: float = 0.05) -> DataFrame:
-    """The K with the highest mean speedup per pair and domain (ties: smaller K)."""
+    """The K with the highest mean speedup per pair and domain.
+
+    Ties go to the smaller K; a K without a speedup is chosen only if no other
+    of its group has one.
+    """
     rates = group_rates(speedups)
     best = rates.groupBy("model_pair_name", "domain").agg(
-        F.min(F.struct((-F.col("measured_speedup")).alias("s"), "K", "beta")).alias("_b"))
+        F.min(F.struct(F.col("measured_speedup").isNull().alias("none"),
+                       (-F.col("measured_speedup")).alias("s"), "K", "beta")).alias("_b"))
     return best.select(
         "model_pair_name", "domain", F.col("_b.K").alias("best_k"),
         (-F.col("_b.s")).alias("best_speedup"),

@@ -12,13 +12,12 @@ from runlens.schemas import RESULT
 from runlens.session import scratch_path
 from runlens.sources.result_files import write_records
 from runlens.sources.tables import table
-from runlens.streaming.dedup import drop_resent
+from runlens.streaming.dedup import drop_resent, with_arrival
 from runlens.streaming.files import drain, read_stream
 from runlens.streaming.spans import pair_spans_stream
 from runlens.streaming.summary import drain_summary
 
 _SPANS = "WITH " + views.SPANS_SQL
-_MONTHS_MS = 100 * 86_400_000
 _STATUS = " SELECT run, phase, event_id, status, round(elapsed_ms, 6) AS elapsed_ms FROM spans"
 
 
@@ -42,13 +41,13 @@ def span_latest(spark, d):
 
 @query("stream_spans", _SPANS + _STATUS)
 def stream_spans(spark, d):
-    events = table(spark, d, "events")
-    stream = read_stream(spark, f"{d}/events.parquet*", events.schema, "parquet",
-                         max_bytes=1 << 30)
-    # nothing expires here, so that the result equals the batch pairing
-    paired = pair_spans_stream(views.span_log(stream), watermark="40 days",
-                               expire_ms=_MONTHS_MS)
-    return drain(paired, "stream-spans").withColumn("elapsed_ms", F.round("elapsed_ms", 6))
+    """The log in files that are not ordered by time, one to a micro-batch."""
+    path = scratch_path(spark, "span-log")
+    events = _log(spark, d)
+    events.repartition(6, F.hash("event_id")).write.parquet(path)
+    stream = read_stream(spark, path, events.schema, "parquet", max_files=1)
+    return pair_spans_stream(stream).select(
+        "run", "phase", "event_id", "status", F.round("elapsed_ms", 6).alias("elapsed_ms"))
 
 
 @query("stream_summary", f"{_R} SELECT domain, temperature, {_SUMMARY} FROM records GROUP BY ALL")
@@ -69,6 +68,6 @@ def stream_dedup(spark, d):
         "config_hash", "prompt_id", "run_idx", "total_time", "end_ts")
     for _ in range(2):
         records.write.mode("append").parquet(path)
-    stream = read_stream(spark, path, records.schema, "parquet")
-    return drain(drop_resent(stream, "end_ts", "40 days"), "stream-dedup").select(
+    stream = with_arrival(read_stream(spark, path, records.schema, "parquet", max_files=2))
+    return drain(drop_resent(stream), "stream-dedup").select(
         "config_hash", "prompt_id", "run_idx", F.round("total_time", 6).alias("total_time"))

@@ -15,9 +15,6 @@ from runlens.operators.prompts import TextSource, build_prompts
 from runlens.schemas import DOMAINS, DRAFT_LENGTHS, MAX_NEW_TOKENS, MODEL_PAIRS, SEED
 from runlens.sources.tables import table, text_table
 
-# A run takes at most this many events, because event ids are unique; so a
-# run's arrays stay bounded even if one user owns a third of the events.
-EVENTS_PER_RUN = 1 << 17
 DRAFTS = 4
 VECTORS_PER_ROUND = DRAFTS + 1
 LOGIT_TEMPERATURE = 0.1
@@ -37,14 +34,18 @@ def _sql_choose(i: str, values) -> str:
 # --- rounds and records ----------------------------------------------------
 
 def rounds(spark: SparkSession, folder: str) -> DataFrame:
-    """Events as generation rounds: user, week slot and id block make a run."""
-    week = F.expr("datediff(to_date(ts), date'2024-01-01') div 7")
+    """Events as generation rounds: a user's events of one day make a run.
+
+    The week decides the draft length (``kslot``), the day of the week numbers
+    the runs of one configuration.
+    """
+    day = F.expr("datediff(to_date(ts), date'2024-01-01')")
     return (
         table(spark, folder, "events")
         .select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id",
                 "event_type", "value",
-                F.pmod(week, F.lit(5)).cast("long").alias("kslot"),
-                F.expr(f"event_id div {EVENTS_PER_RUN}").alias("run_idx"))
+                F.pmod(F.floor(day / 7), F.lit(5)).cast("long").alias("kslot"),
+                F.pmod(day, F.lit(7)).cast("long").alias("run_idx"))
         .withColumn("K", F.when(F.col("kslot") > 0, _choose(
             F.col("kslot") - 1, DRAFT_LENGTHS).cast("long")))
         .withColumn("accepted", F.when(F.col("K").isNull(), F.lit(0)).otherwise(
@@ -111,7 +112,7 @@ rounds AS (
   FROM (SELECT event_id, ts, user_id, event_type, value,
                CAST((datediff('day', DATE '2024-01-01', CAST(ts AS DATE)) // 7) % 5 AS BIGINT)
                  AS kslot,
-               CAST(event_id // {EVENTS_PER_RUN} AS BIGINT) AS run_idx
+               CAST(datediff('day', DATE '2024-01-01', CAST(ts AS DATE)) % 7 AS BIGINT) AS run_idx
         FROM events))"""
 
 _CONDITION_SQL = f"""

@@ -1,75 +1,40 @@
-"""Start/stop pairing on a stream, one state per (run, phase)."""
+"""Start/stop pairing of a log that arrives as a stream, in any order."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
+from runlens.operators.spans import pair_spans
+from runlens.streaming.files import drain
 
-def pair_spans_stream(log: DataFrame, keys: Sequence[str] = ("run", "phase"),
-                      watermark: str = "1 hour", expire_ms: int = 86_400_000) -> DataFrame:
-    """Streaming twin of the batch pairing.
 
-    Events of one call are ordered by time; order across micro-batches is
-    arrival order, within the watermark. A start that finds no stop for
-    ``expire_ms`` of event time is put out as ``open`` and forgotten, so state
-    cannot grow without bound. A call holds time, id and kind (17 bytes) of
-    each event of one key in one micro-batch, so bound the trigger by bytes
-    (``read_stream(max_bytes=...)``) where one key may dominate.
+def pair_spans_stream(log: DataFrame, keys: Sequence[str] = ("run", "phase"),
+                      slice_seconds: int = 60, expire: str | None = None) -> DataFrame:
+    """Pair the events of a streamed log when the stream has ended.
+
+    What an event means depends on all events before it, and micro-batches come
+    in any order; so the stream only gathers the events, once each, in the
+    shared folder, and pairing runs over what was gathered. It is the batch
+    pairing, which cuts each key's time into slices, so neither the number nor
+    the order of micro-batches changes the result, and a hot key is many tasks.
+    With ``expire``, a start that found no stop within that interval before the
+    newest event of the log gets the status ``open``.
     """
-    key_types = ", ".join(f"{k} {log.schema[k].dataType.simpleString()}" for k in keys)
-    output = f"{key_types}, event_id bigint, status string, elapsed_ms double"
-    names = [*keys, "event_id", "status", "elapsed_ms"]
-
-    chunk = 100_000
-
-    def step(key, batches, state):
-        import numpy as np
-        import pandas as pd
-
-        since, since_id = state.get if state.exists else (None, None)
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame([[*key, since_id, "open", None]], columns=names)
-            return
-        parts = [(b["us"].to_numpy(), b["event_id"].to_numpy(), b["is_start"].to_numpy())
-                 for b in batches]
-        us, ids, starts = (np.concatenate(c) for c in zip(*parts))
-        order = np.lexsort((ids, us))
-        status = np.empty(len(us), dtype=object)
-        elapsed = np.full(len(us), np.nan)
-        for i in order:
-            if starts[i]:
-                if since is None:
-                    status[i] = "started"
-                    since, since_id = int(us[i]), int(ids[i])
-                else:
-                    status[i] = "already_running"
-            elif since is None:
-                status[i] = "never_started"
-            else:
-                status[i] = "completed"
-                elapsed[i] = (us[i] - since) / 1000.0
-                since = None
-        if since is not None:
-            state.update((since, since_id))
-            state.setTimeoutTimestamp(
-                max(since // 1000 + expire_ms, state.getCurrentWatermarkMs() + 1))
-        elif state.exists:
-            state.remove()
-        for lo in range(0, len(us), chunk):
-            part = slice(lo, lo + chunk)
-            # NaN in a float column reaches Spark as null
-            yield pd.DataFrame({
-                **{k: [v] * len(us[part]) for k, v in zip(keys, key)},
-                "event_id": ids[part], "status": status[part],
-                "elapsed_ms": elapsed[part]})
-
-    slim = (log.withWatermark("ts", watermark)
-            .select(*keys, "ts", "event_id", F.unix_micros("ts").alias("us"),
-                    (F.col("op") == "start").alias("is_start")))
-    return slim.groupBy(*keys).applyInPandasWithState(
-        step, output, "since_us bigint, since_id bigint", "append",
-        GroupStateTimeout.EventTimeTimeout)
+    events = drain(log.select(*keys, "ts", "event_id", "op"), "span-events")
+    paired = pair_spans(events, keys, slice_seconds)
+    if expire is None:
+        return paired
+    key = F.struct(*keys)
+    newest = F.lit(events.agg(F.max("ts")).first()[0])
+    # of each key, the last start that began a span, unless a stop came after it
+    open_ = paired.where(F.col("status").isin("started", "completed")) \
+        .groupBy(key.alias("_key")).agg(
+            F.max(F.struct("ts", "event_id", "status")).alias("_last")) \
+        .where(F.col("_last.status") == "started") \
+        .where(F.col("_last.ts") < newest - F.expr(f"interval {expire}")) \
+        .select("_key", F.col("_last.event_id").alias("_open"))
+    return paired.withColumn("_key", key).join(open_, "_key", "left") \
+        .withColumn("status", F.when(F.col("event_id") == F.col("_open"), "open")
+                    .otherwise(F.col("status"))).drop("_key", "_open")

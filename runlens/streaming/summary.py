@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 
 from runlens.functions.metrics import with_metrics
 from runlens.operators.reports import run_summary
+from runlens.session import scratch_path
 
 
 def live_summary(stored_records: DataFrame) -> DataFrame:
@@ -19,11 +20,14 @@ def drain_summary(stored_records: DataFrame) -> DataFrame:
     """Run the live summary to the end of the input and return its last state.
 
     Complete mode on a report-sized result (domains x temperatures), which is
-    what the in-memory table holds; records themselves never reach it.
+    what the in-memory table holds; records themselves never reach it. State and
+    progress are kept in the shared folder.
     """
+    progress = scratch_path(stored_records.sparkSession, "live-summary")
     name = f"live_summary_{uuid.uuid4().hex}"
     query = (
         live_summary(stored_records).writeStream.outputMode("complete")
-        .format("memory").queryName(name).trigger(availableNow=True).start())
+        .format("memory").queryName(name)
+        .option("checkpointLocation", progress).trigger(availableNow=True).start())
     query.awaitTermination()
     return stored_records.sparkSession.table(name)

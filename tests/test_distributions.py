@@ -1,4 +1,4 @@
-"""Probability vectors: the worked example, algebra and edge cases."""
+"""Probability vectors: agreement with numpy, algebra and edge cases."""
 
 from __future__ import annotations
 
@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from runlens.functions import distributions as dist
 from runlens.operators import long_form as lf, verification as vf
 
-P = [0.10, 0.05, 0.05, 0.30, 0.50]
-Q = [0.06, 0.03, 0.05, 0.05, 0.81]
+P = [0.4, 0.2, 0.125, 0.025, 0.15, 0.1]
+Q = [0.125, 0.375, 0.25, 0.025, 0.2, 0.025]
 
 
 def one(spark, expr, **cols):
@@ -20,11 +20,15 @@ def one(spark, expr, **cols):
         expr.alias("x")).first().x
 
 
-def test_residual_example(spark):
+def test_residual_equals_numpy(spark):
+    p, q = np.array(P), np.array(Q)
+    rest = np.maximum(p - q, 0)
     got = one(spark, dist.residual(F.col("p"), F.col("q")), p=P, q=Q)
-    assert got == pytest.approx([0.04 / 0.31, 0.02 / 0.31, 0, 0.25 / 0.31, 0], abs=1e-12)
-    assert one(spark, dist.residual_mass(F.col("p"), F.col("q")), p=P, q=Q) == pytest.approx(0.31)
-    assert one(spark, dist.overlap(F.col("p"), F.col("q")), p=P, q=Q) == pytest.approx(0.69)
+    assert got == pytest.approx((rest / rest.sum()).tolist(), abs=1e-12)
+    assert one(spark, dist.residual_mass(F.col("p"), F.col("q")), p=P, q=Q) \
+        == pytest.approx(rest.sum())
+    assert one(spark, dist.overlap(F.col("p"), F.col("q")), p=P, q=Q) \
+        == pytest.approx(np.minimum(p, q).sum())
 
 
 def test_equal_vectors_leave_no_residual(spark):
@@ -43,8 +47,9 @@ def test_target_is_preserved(spark):
         assert r.ok and r.one == pytest.approx(1.0, abs=1e-12)
 
 
-def test_accept_probability_example(spark):
-    for p, q, want in ((0.75, 0.70, 1.0), (0.80, 0.75, 1.0), (0.50, 0.81, 0.50 / 0.81)):
+def test_accept_probability(spark):
+    for p, q in ((0.9, 0.3), (0.25, 0.25), (0.2, 0.64), (0.0, 0.1)):
+        want = min(1.0, p / q)
         got = one(spark, dist.accept_probability(F.col("p"), F.col("q"), F.col("t")),
                   p=[p], q=[q], t=0)
         assert got == pytest.approx(want)
@@ -102,17 +107,17 @@ def test_quantized_vector_stays_close(spark):
     assert one(spark, dist.quantize(F.col("z")), z=[0.0, 0.0]) == [0.0, 0.0]
 
 
-@pytest.mark.parametrize("beta, tokens, speedup", [
-    (0.8, 3.3616, 2.4011), (0.5, 1.9375, 1.3839), (0.3, 1.4251, 1.0179), (1.0, 5.0, 3.5714)])
-def test_expected_tokens_and_speedup(spark, beta, tokens, speedup):
-    b, k = F.lit(beta), F.lit(4)
+@pytest.mark.parametrize("beta, k, cost", [(0.65, 3, 0.25), (0.9, 7, 0.05), (0.15, 2, 0.5), (1.0, 6, 0.2)])
+def test_expected_tokens_and_speedup(spark, beta, k, cost):
+    b, n = F.lit(beta), F.lit(k)
     row = spark.range(1).select(
-        dist.expected_tokens(b, k).alias("e"),
-        dist.modelled_speedup(b, k, F.lit(0.1)).alias("s"),
-        dist.break_even_beta(k, F.lit(0.1)).alias("m")).first()
-    assert row.e == pytest.approx(tokens, abs=1e-3)
-    assert row.s == pytest.approx(speedup, abs=1e-3)
-    assert row.m == pytest.approx(0.4 / 1.4)
+        dist.expected_tokens(b, n).alias("e"),
+        dist.modelled_speedup(b, n, F.lit(cost)).alias("s"),
+        dist.break_even_beta(n, F.lit(cost)).alias("m")).first()
+    tokens = sum(beta ** i for i in range(k + 1))
+    assert row.e == pytest.approx(tokens)
+    assert row.s == pytest.approx(tokens / (1 + cost * k))
+    assert row.m == pytest.approx(cost * k / (1 + cost * k))
 
 
 def test_optimal_draft_length(spark):
@@ -141,16 +146,16 @@ def test_long_form_equals_vectors(spark):
 
 
 ROUND = [
-    # drafted token, target, draft, uniform
-    (2, [0.06, 0.04, 0.75, 0.10, 0.05], [0.08, 0.05, 0.70, 0.12, 0.05], 0.43),
-    (3, [0.05, 0.04, 0.03, 0.80, 0.08], [0.08, 0.05, 0.04, 0.75, 0.08], 0.61),
-    (4, P, Q, 0.73),
+    # drafted token, target, draft, uniform: two to accept, one to reject
+    (1, [0.1, 0.6, 0.2, 0.1], [0.2, 0.5, 0.2, 0.1], 0.35),
+    (2, [0.3, 0.2, 0.45, 0.05], [0.25, 0.25, 0.4, 0.1], 0.9),
+    (0, [0.2, 0.3, 0.3, 0.2], [0.8, 0.1, 0.05, 0.05], 0.5),
 ]
 
 
 def positions(spark, uniforms, k=3):
     rows = [(0, i, t, p, q, u) for i, ((t, p, q, _), u) in enumerate(zip(ROUND, uniforms))]
-    rows.append((0, k, None, [0.0, 0.0, 0.0, 0.0, 1.0], Q, None))
+    rows.append((0, k, None, [0.0, 0.0, 0.0, 1.0], [0.25] * 4, None))
     return spark.createDataFrame(
         rows, "round_id bigint, pos bigint, tok bigint, p array<double>, q array<double>, "
               "u double")
@@ -162,12 +167,12 @@ def test_round_stops_at_the_first_rejection(spark):
     assert sorted(r.pos for r in prefix) == [0, 1]
     out = vf.round_output(df, 3, 42).first()
     assert (out.n_accepted, out.final_kind, len(out.tokens)) == (2, "replacement", 3)
-    assert out.tokens[:2] == [2, 3] and out.tokens[2] in (0, 1, 3)
+    assert out.tokens[:2] == [1, 2] and out.tokens[2] in (1, 2, 3)
 
 
 def test_round_with_all_accepted_gets_the_bonus(spark):
     out = vf.round_output(positions(spark, [0.1, 0.1, 0.1]), 3, 42).first()
-    assert (out.n_accepted, out.final_kind, list(out.tokens)) == (3, "bonus", [2, 3, 4, 4])
+    assert (out.n_accepted, out.final_kind, list(out.tokens)) == (3, "bonus", [1, 2, 0, 3])
 
 
 def test_vectors_of_different_size_are_rejected(spark):

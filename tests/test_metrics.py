@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from runlens.functions.metrics import summary_line, with_metrics
 from runlens.schemas import RESULT
 
-LATENCIES = [0.1, 0.2, 0.3, 0.4, 0.5]
-PLAIN = ([10, 20, 30, 40, 50], LATENCIES, 1.0, 1024.0, 0.1) + (None,) * 6
-DRAFTED = ([10, 20, 30, 40, 50], LATENCIES, 0.5, 4096.0, 0.08,
-           0.78, 4.12, 18, 120.5, 310.2, 9.3)
+LATENCIES = [0.25, 0.05, 0.15, 0.45, 0.35, 0.75]
+PLAIN = ([3, 1, 4, 1, 5, 9], LATENCIES, 2.0, 640.0, 0.25) + (None,) * 6
+DRAFTED = ([2, 7, 1, 8, 2, 8], LATENCIES, 0.75, 3072.0, 0.05,
+           0.64, 3.5, 11, 42.25, 97.5, 6.125)
 
 
 def measured(spark, *rows):
@@ -24,9 +24,10 @@ def measured(spark, *rows):
 
 def test_percentiles_interpolate(spark):
     row = measured(spark, PLAIN).first()
-    assert row.latency_p50 == pytest.approx(0.3)
-    assert row.latency_p95 == pytest.approx(0.48)
-    assert row.latency_p99 == pytest.approx(0.496)
+    # between the sorted values 0.25 and 0.35, then between 0.45 and 0.75
+    assert row.latency_p50 == pytest.approx(0.30)
+    assert row.latency_p95 == pytest.approx(0.45 + 0.75 * 0.30)
+    assert row.latency_p99 == pytest.approx(0.45 + 0.95 * 0.30)
     assert row.latency_p50 <= row.latency_p95 <= row.latency_p99
 
 
@@ -55,8 +56,8 @@ def test_no_latencies_give_null(spark):
 def test_throughput(spark):
     zero = ([1, 2, 3], [0.0] * 3, 0.0, 0.0, 0.0) + (None,) * 6
     rows = measured(spark, PLAIN, DRAFTED, zero).collect()
-    assert [r.tokens_per_second for r in rows] == [5.0, 10.0, 0.0]
-    assert [r.num_tokens for r in rows] == [5, 5, 3]
+    assert [r.tokens_per_second for r in rows] == [3.0, 8.0, 0.0]
+    assert [r.num_tokens for r in rows] == [6, 6, 3]
     assert [r.is_speculative for r in rows] == [False, True, False]
 
 
@@ -64,9 +65,9 @@ def test_summary_lines(spark):
     lines = [r.line for r in measured(spark, PLAIN, DRAFTED).select(
         summary_line().alias("line")).collect()]
     assert lines == [
-        "AR  | 5 tok | 5.0 tok/s | p50=300ms p95=480ms | mem=1024MB",
-        "SD  | 5 tok | 10.0 tok/s | p50=300ms p95=480ms | mem=4096MB"
-        " | accept=0.78 rounds=18"]
+        "AR  | 6 tok | 3.0 tok/s | p50=300ms p95=675ms | mem=640MB",
+        "SD  | 6 tok | 8.0 tok/s | p50=300ms p95=675ms | mem=3072MB"
+        " | accept=0.64 rounds=11"]
 
 
 def test_json_line_keeps_nulls_and_has_no_newline(spark):
@@ -74,6 +75,6 @@ def test_json_line_keeps_nulls_and_has_no_newline(spark):
         F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("t")).first().t
     assert "\n" not in text
     back = json.loads(text)
-    assert back["acceptance_rate"] is None and back["num_tokens"] == 5
+    assert back["acceptance_rate"] is None and back["num_tokens"] == 6
     assert set(back) == {*RESULT.fieldNames(), "num_tokens", "tokens_per_second",
                          "latency_p50", "latency_p95", "latency_p99", "is_speculative"}

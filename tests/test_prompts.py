@@ -178,6 +178,25 @@ def test_first_n(spark, n):
     assert got == want
 
 
+@pytest.mark.parametrize("limit", [1, 1_000])
+@pytest.mark.parametrize("n", [0, 2, 3, 2_000])
+def test_first_n_and_positions_on_null_and_tied_keys(spark, monkeypatch, n, limit):
+    """Both the one-task way and the distributed one, from the same rows."""
+    monkeypatch.setattr(ix, "SINGLE_TASK_ROWS", limit)
+    keys = [1, 2, 2, None, None, 3] + list(range(4, 2_400))
+    rows = [(k, i % 3 or None, str(i)) for i, k in enumerate(keys)]
+    df = spark.createDataFrame(rows, "a int, b int, t string")
+    order = sorted((-1 if a is None else a, -1 if b is None else b) for a, b, _ in rows)
+
+    def seen(row):
+        return (-1 if row.a is None else row.a, -1 if row.b is None else row.b)
+    assert sorted(map(seen, ix.first_n(df, ["a", "b"], n).collect())) == order[:n]
+    placed = ix.with_row_index(df, ["a", "b"], at_most=None).collect()
+    assert sorted(r.idx for r in placed) == list(range(len(rows)))
+    assert [seen(r) for r in sorted(placed, key=lambda r: r.idx)] == order
+    assert sorted(r.t for r in placed) == sorted(t for _, _, t in rows)
+
+
 @pytest.mark.parametrize("slice_seconds", [1, 60, 10_000])
 def test_group_index_on_a_hot_group(spark, slice_seconds):
     df = spark.range(6_000).select(

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from runlens.operators.spans import latest_spans, pair_spans, phase_map
-from runlens.streaming.files import drain, read_stream
+from runlens.streaming.files import read_stream
 from runlens.streaming.spans import pair_spans_stream
 
 SCHEMA = "run string, phase string, op string, ts timestamp, event_id bigint"
@@ -91,9 +91,10 @@ def test_latest_span_wins_and_map_keeps_first_order(spark):
     assert (row.k, row.v) == (["b", "a"], [3000.0, 2000.0])
 
 
-def write_in_order(spark, rows, path, files):
-    """Files of consecutive time ranges, read one per micro-batch."""
-    rows = sorted(rows, key=lambda r: (r[3], r[4]))
+def write_files(spark, rows, path, files, seed=1):
+    """Files in no order of time, read one per micro-batch."""
+    rows = list(rows)
+    random.Random(seed).shuffle(rows)
     size = -(-len(rows) // files)
     for i in range(files):
         spark.createDataFrame(rows[i * size:(i + 1) * size], SCHEMA).coalesce(1) \
@@ -105,23 +106,24 @@ def stream(spark, path):
     return read_stream(spark, path, schema, "parquet", max_files=1)
 
 
-def test_stream_equals_walk(spark, tmp_path):
-    rows = random_log(300, 2, 3_600)
+@pytest.mark.parametrize("runs, files", [(2, 4), (1, 6)])
+def test_stream_in_any_order_equals_walk(spark, tmp_path, runs, files):
+    """Also with one hot run, whose events lie in every micro-batch."""
+    rows = random_log(300, runs, 3_600)
     path = str(tmp_path / "log")
-    write_in_order(spark, rows, path, 3)
-    paired = pair_spans_stream(stream(spark, path), watermark="1 day")
-    check(results(drain(paired, "test-spans")), walk(rows))
+    write_files(spark, rows, path, files)
+    check(results(pair_spans_stream(stream(spark, path))), walk(rows))
 
 
-def test_stream_expires_abandoned_starts(spark, tmp_path):
+def test_stream_marks_abandoned_starts(spark, tmp_path):
     hour = dt.timedelta(hours=1)
-    rows = [("left", "a", "start", T0, 1),
+    rows = [("left", "a", "start", T0, 1), ("left", "a", "start", T0 + hour, 6),
             ("r", "a", "start", T0 + 30 * hour, 2), ("r", "a", "stop", T0 + 31 * hour, 3),
-            ("r", "a", "start", T0 + 60 * hour, 4), ("r", "a", "stop", T0 + 61 * hour, 5)]
+            ("r", "a", "start", T0 + 60 * hour, 4), ("r", "a", "stop", T0 + 61 * hour, 5),
+            ("new", "a", "start", T0 + 60 * hour, 7)]
     path = str(tmp_path / "log")
-    write_in_order(spark, rows, path, 3)
-    paired = pair_spans_stream(stream(spark, path), watermark="1 hour",
-                               expire_ms=10 * 3_600_000)
-    got = [(r.run, r.event_id, r.status) for r in drain(paired, "test-open").collect()]
-    assert ("left", 1, "open") in got
-    assert [g for g in got if g[2] == "open"] == [("left", 1, "open")]
+    write_files(spark, rows, path, 3)
+    paired = pair_spans_stream(stream(spark, path), expire="10 hours")
+    got = {r.event_id: r.status for r in paired.collect()}
+    assert got == {1: "open", 6: "already_running", 2: "started", 3: "completed", 4: "started",
+                   5: "completed", 7: "started"}

@@ -8,7 +8,7 @@ from runlens.functions.metrics import with_metrics
 from runlens.operators.reports import run_summary
 from runlens.schemas import RECORD
 from runlens.sources.result_files import read_records, write_records
-from runlens.streaming.dedup import drop_resent
+from runlens.streaming.dedup import drop_resent, with_arrival
 from runlens.streaming.files import drain, read_stream
 from runlens.streaming.summary import drain_summary
 
@@ -57,10 +57,24 @@ def test_resent_records_come_through_once(spark, tmp_path):
             .write.mode("append").parquet(path)
     spark.createDataFrame(rows[:50], schema).coalesce(1).write.mode("append").parquet(path)
     stream = read_stream(spark, path, spark.read.parquet(path).schema, "parquet", max_files=2)
-    got = drain(drop_resent(stream, "end_ts", "1 day"), "test-dedup")
+    got = drain(drop_resent(with_arrival(stream)), "test-dedup")
     assert sorted(r.config_hash for r in got.collect()) == sorted({r[0] for r in rows})
 
 
+def test_old_records_that_arrive_late_are_kept(spark, tmp_path):
+    """A hundred days of records, the newest file first; then some of them again."""
+    t0 = dt.datetime(2024, 1, 1)
+    schema = "config_hash string, prompt_id string, run_idx bigint, end_ts timestamp"
+    path = str(tmp_path / "days")
+    rows = [(f"h{i}", "p", i, t0 + dt.timedelta(days=i)) for i in reversed(range(100))]
+    for lo in range(0, 100, 20):
+        spark.createDataFrame(rows[lo:lo + 20], schema).coalesce(1).write.mode("append").parquet(path)
+    spark.createDataFrame(rows[10:70], schema).coalesce(1).write.mode("append").parquet(path)
+    stream = read_stream(spark, path, spark.read.parquet(path).schema, "parquet", max_files=1)
+    got = drain(drop_resent(with_arrival(stream)), "test-late")
+    assert sorted(r.config_hash for r in got.collect()) == sorted(r[0] for r in rows)
+
+
 def test_a_stream_without_files_gives_no_rows(spark, tmp_path):
     empty = tmp_path / "empty"
     empty.mkdir()
