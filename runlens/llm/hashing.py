@@ -105,11 +105,11 @@ def lines(text: np.ndarray, rows: np.ndarray):
     Returns the same as ``words``; every row has one line more than newlines.
     """
     breaks = np.flatnonzero(text == 0x0A)
-    ends = np.concatenate([breaks, rows[1:]])
+    ends = np.concatenate([rows[1:], breaks])
+    # a break where a row ends is the first byte of a later row, so it comes after
     order = np.argsort(ends, kind="stable")
-    # at a row's end the break, if any, comes first and the row's last line after
     ends = ends[order]
-    last = order >= len(breaks)
+    last = order < len(rows) - 1
     starts = np.empty(len(ends), dtype=np.int64)
     starts[0:1] = 0
     starts[1:] = np.where(last[:-1], ends[:-1], ends[:-1] + 1)
