@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -21,6 +23,9 @@ _SETTINGS = {
 }
 
 
+_shipped: set[str] = set()
+
+
 def build_session(app_name: str = "runlens", master: str | None = None,
                   **settings: str) -> SparkSession:
     """Create a session with the settings the operators expect.
@@ -36,6 +41,24 @@ def build_session(app_name: str = "runlens", master: str | None = None,
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package wherever they run.
+
+    Spark hands the archive to every executor, also to one that joins later. It
+    is made once per application and holds source files only.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="runlens-")) / "runlens.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, path.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+    _shipped.add(sc.applicationId)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach, taken from ``spark.checkpoint.dir``.
 
