@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from runlens.functions import distributions as dist
 from runlens.functions.metrics import seconds_to_ms
@@ -44,15 +44,16 @@ def peak_memory(records: DataFrame) -> DataFrame:
 def measured_speedup(records: DataFrame) -> DataFrame:
     """Each drafted run against its plain baseline.
 
-    Plain runs of the same prompt, temperature and pair are averaged first, so
-    the join is one-to-many and repeated runs do not multiply.
+    The baseline is the mean of the plain runs of the same prompt, temperature
+    and pair, taken over the group of the run, so records are read once. A
+    drafted run without a plain one stays, with no baseline and no speedup.
     """
-    on = ["prompt_id", "temperature", "model_pair_name"]
-    base = (records.where(F.col("K").isNull()).groupBy(*on)
-            .agg(F.avg("tokens_per_second").alias("baseline_tok_s")))
-    drafted = records.where(F.col("K").isNotNull())
-    return drafted.join(base, on).withColumn("speedup", F.when(
-        F.col("baseline_tok_s") > 0, F.col("tokens_per_second") / F.col("baseline_tok_s")))
+    group = Window.partitionBy("prompt_id", "temperature", "model_pair_name")
+    plain = F.when(F.col("K").isNull(), F.col("tokens_per_second"))
+    return (records.withColumn("baseline_tok_s", F.avg(plain).over(group))
+            .where(F.col("K").isNotNull()).withColumn("speedup", F.when(
+                F.col("baseline_tok_s") > 0,
+                F.col("tokens_per_second") / F.col("baseline_tok_s"))))
 
 
 def acceptance_cube(speedups: DataFrame) -> DataFrame:
@@ -65,10 +66,8 @@ def acceptance_cube(speedups: DataFrame) -> DataFrame:
 
 def speedup_pivot(speedups: DataFrame, ks: Sequence[int] = DRAFT_LENGTHS) -> DataFrame:
     """Heat-map table: mean speedup with one column per K."""
-    wide = speedups.groupBy("model_pair_name", "domain").pivot("K", list(ks)).agg(
-        F.avg("speedup"))
-    return wide.select("model_pair_name", "domain",
-                       *[F.col(str(k)).alias(f"k{k}") for k in ks])
+    return speedups.groupBy("model_pair_name", "domain").agg(*(
+        F.avg(F.when(F.col("K") == k, F.col("speedup"))).alias(f"k{k}") for k in ks))
 
 
 def group_rates(speedups: DataFrame) -> DataFrame:
@@ -132,20 +131,22 @@ def round_rollup(rounds: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def phase_totals(phases: DataFrame, keys: Sequence[str],
                  names: Sequence[str] = ("draft", "verify", "sampling")) -> DataFrame:
-    """Milliseconds per phase of a run; naming the phases saves a scan."""
-    wide = phases.groupBy(*keys).pivot("phase", list(names)).agg(F.sum("ms"))
-    return wide.select(*keys, *[F.coalesce(n, F.lit(0.0)).alias(f"{n}_ms") for n in names])
+    """Milliseconds per phase of a run, and of all its phases, in one aggregate."""
+    return phases.groupBy(*keys).agg(
+        *(F.coalesce(F.sum(F.when(F.col("phase") == n, F.col("ms"))), F.lit(0.0)).alias(f"{n}_ms")
+          for n in names),
+        F.sum("ms").alias("whole_ms"))
 
 
-def phase_breakdown(totals: DataFrame, runs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Share of each phase in the run time (seconds there, ms here)."""
-    whole = seconds_to_ms(F.col("total_time"))
-    joined = totals.join(runs.select(*keys, "total_time"), list(keys))
+def phase_breakdown(totals: DataFrame, keys: Sequence[str],
+                    whole: str = "whole_ms") -> DataFrame:
+    """Share of each phase in a run's time, of which phases without a name are part."""
+    whole = F.col(whole)
 
     def share(x):
         return F.when(whole > 0, x / whole)
 
-    return joined.select(
+    return totals.select(
         *keys, share(F.col("draft_ms")).alias("draft_share"),
         share(F.col("verify_ms")).alias("verify_share"),
         share(whole - F.col("draft_ms") - F.col("verify_ms")).alias("overhead_share"))

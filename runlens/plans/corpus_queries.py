@@ -94,17 +94,20 @@ def corpus_overlap(spark, d):
 @query("detokenize", r"""
 WITH t AS (SELECT conv_id, turn, role,
              regexp_extract_all(text, '\s*\S+') AS w FROM conversations)
-SELECT p.conv_id, p.turn, md5(array_to_string(p.w, '') || array_to_string(r.w, '')) AS text_md5,
-       CAST(len(p.w) + len(r.w) AS BIGINT) AS n_ids
-FROM t p JOIN t r ON r.conv_id = p.conv_id AND r.turn = p.turn + 1 AND p.role = 'user'""")
+SELECT p.conv_id, p.turn,
+       md5(array_to_string(p.w, '') || coalesce(array_to_string(r.w, ''), '')) AS text_md5,
+       CAST(len(p.w) + coalesce(len(r.w), 0) AS BIGINT) AS n_ids
+FROM t p LEFT JOIN t r ON r.conv_id = p.conv_id AND r.turn = p.turn + 1
+WHERE p.role = 'user'""")
 def detokenize(spark, d):
-    """A user turn's ids followed by the ids of the turn after it, as text."""
+    """A user turn's ids followed by those of the turn after it, if any, as text."""
     turns = text_table(spark, d, "conversations")
     ids = turns.select("conv_id", "turn", "role", vc.encode(F.col("text")).alias("ids"))
     prompt = ids.where(F.col("role") == "user")
     reply = ids.select("conv_id", (F.col("turn") - 1).alias("turn"),
                        F.col("ids").alias("reply"))
-    joined = prompt.join(reply, ["conv_id", "turn"]).select(
-        "conv_id", "turn", F.concat("ids", "reply").alias("ids"))
+    joined = prompt.join(reply, ["conv_id", "turn"], "left").select(
+        "conv_id", "turn", F.concat("ids", F.coalesce("reply", F.array().cast("array<bigint>")))
+        .alias("ids"))
     text = vc.decode(joined, ["conv_id", "turn"], "ids", vc.vocabulary(turns, "text"))
     return text.select("conv_id", "turn", F.md5("text").alias("text_md5"), "n_ids")

@@ -11,7 +11,7 @@ from runlens.operators.indexing import with_group_index
 from runlens.operators.spans import phase_map
 from runlens.plans import views
 from runlens.plans.registry import query
-from runlens.schemas import CONFIG, RECORD, RESULT
+from runlens.schemas import CONFIG, MAX_NEW_TOKENS, RECORD, RESULT
 from runlens.session import scratch_path
 from runlens.sources.result_files import read_records, write_records
 
@@ -325,7 +325,7 @@ totals AS (
 @query("phase_totals", _PHASES + " SELECT user_id, kslot, run_idx, round(draft_ms, 6) AS draft_ms,"
        " round(verify_ms, 6) AS verify_ms, round(sampling_ms, 6) AS sampling_ms FROM totals")
 def phase_totals(spark, d):
-    return rp.phase_totals(_phases(spark, d), views.RUN_KEYS).withColumns(
+    return rp.phase_totals(_phases(spark, d), views.RUN_KEYS).drop("whole_ms").withColumns(
         _r6("draft_ms", "verify_ms", "sampling_ms"))
 
 
@@ -334,10 +334,7 @@ SELECT user_id, kslot, run_idx, round(draft_ms / whole_ms, 6) AS draft_share,
        round(verify_ms / whole_ms, 6) AS verify_share,
        round((whole_ms - draft_ms - verify_ms) / whole_ms, 6) + 0 AS overhead_share FROM totals""")
 def phase_breakdown(spark, d):
-    runs = views.rounds(spark, d).groupBy(*views.RUN_KEYS).agg(
-        (F.sum("value") / 1000).alias("total_time"))
-    shares = rp.phase_breakdown(rp.phase_totals(_phases(spark, d), views.RUN_KEYS), runs,
-                                views.RUN_KEYS)
+    shares = rp.phase_breakdown(rp.phase_totals(_phases(spark, d), views.RUN_KEYS), views.RUN_KEYS)
     # + 0 turns a rounded -0.0 into 0.0
     return shares.withColumns({c: F.round(c, 6) + F.lit(0.0) for c in (
         "draft_share", "verify_share", "overhead_share")})
@@ -438,10 +435,10 @@ def rollback_prefix(spark, d):
         seq.sequence_length(missing).cast("long").alias("missing_length"))
 
 
-@query("eos_truncate", _R + """,
+@query("eos_truncate", _R + f""",
 small AS (SELECT user_id, kslot, run_idx,
                  list_transform(generated_ids, lambda x: x % 97) AS ids FROM records),
-stops AS (SELECT *, least(16, coalesce(nullif(list_position(ids, 13), 0), len(ids))) AS n
+stops AS (SELECT *, least({MAX_NEW_TOKENS}, coalesce(nullif(list_position(ids, 13), 0), len(ids))) AS n
           FROM small)
 SELECT user_id, kslot, run_idx, array_to_string(list_slice(ids, 1, n), ',') AS ids,
        CAST(n AS BIGINT) AS n FROM stops""")
@@ -450,7 +447,7 @@ def eos_truncate(spark, d):
     runs = views.records(spark, d).select(
         *views.RUN_KEYS, F.transform("generated_ids", lambda x: x % 97).alias("ids"))
     cut = runs.withColumn("ids", seq.stop_at_eos(
-        F.col("ids"), F.lit(13).cast("long"), 16))
+        F.col("ids"), F.lit(13).cast("long"), MAX_NEW_TOKENS))
     return cut.select(*views.RUN_KEYS,
                       F.concat_ws(",", F.col("ids").cast("array<string>")).alias("ids"),
                       F.size("ids").cast("long").alias("n"))

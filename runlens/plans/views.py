@@ -162,7 +162,7 @@ baseline AS (
 speedups AS (
   SELECT r.*, baseline_tok_s,
          CASE WHEN baseline_tok_s > 0 THEN r.tokens_per_second / baseline_tok_s END AS speedup
-  FROM records r JOIN baseline USING (prompt_id, temperature, model_pair_name)
+  FROM records r LEFT JOIN baseline USING (prompt_id, temperature, model_pair_name)
   WHERE r.K IS NOT NULL)"""
 
 
