@@ -38,36 +38,49 @@ def greedy_next(bigrams: DataFrame) -> DataFrame:
     return bigrams.groupBy("prev").agg(best).select("prev", F.col("_b.next").alias("next"))
 
 
-def greedy_paths(bigrams: DataFrame, max_new_tokens: int) -> DataFrame:
-    """(token, path): the greedy continuation of every token of the corpus.
+def greedy_paths(bigrams: DataFrame, max_new_tokens: int,
+                 starts: DataFrame | None = None) -> DataFrame:
+    """(token, path): the greedy continuation of every token of ``starts``.
 
     Greedy continuation depends on the last token only, so it is worked out
-    once per vocabulary entry, not per prompt, and by doubling: a path of
-    length 2m is a path of length m and the path of its last token. That is
-    log2(cap) joins on a unique key instead of one join per step. Paths that
-    have ended take no part in the join.
+    once per start (by default every token of the corpus), and by doubling: a
+    table of jumps over m tokens, one row a token, gives the jumps over 2m, and
+    takes the first m places of every path to the next m. That is two joins on
+    a unique key per doubling instead of one join per token, over rows of a few
+    words each; a path becomes an array only at the end. Jumps that would pass
+    the end of a text do not exist, so paths that have ended stay as they are.
     """
-    length = 1
-    paths = materialize(
-        greedy_next(bigrams).select(F.col("prev").alias("token"),
-                                    F.array("next").alias("path")), "paths")
-    while length < max_new_tokens:
-        last = F.element_at("path", -1)
-        going = paths.where(last != EOS).withColumn("_last", last)
-        ended = paths.where(last == EOS)
-        # a text's last word always has a successor (EOS), so the join is inner
-        tail = paths.select(F.col("token").alias("_last"), F.col("path").alias("_tail"))
-        joined = going.join(tail, "_last").select(
-            "token", F.concat("path", "_tail").alias("path"))
-        length *= 2
-        paths = materialize(joined.unionByName(ended), "paths")
-    return paths.select("token", F.slice("path", 1, max(1, max_new_tokens)).alias("path"))
+    cap = max(1, max_new_tokens)
+    jumps = materialize(greedy_next(bigrams).select("prev", F.col("next").alias("to")), "jumps")
+    first = jumps if starts is None else jumps.join(
+        starts.select(F.col("token").alias("prev")).distinct(), "prev")
+    places = materialize(first.select(F.col("prev").alias("token"), F.lit(0).alias("i"),
+                                      F.col("to").alias("at")), "places")
+    span = 1
+    while span < cap:
+        ahead = places.where((F.col("at") != EOS) & (F.col("i") + span < cap)).join(
+            jumps, F.col("at") == F.col("prev")).select(
+            "token", (F.col("i") + span).alias("i"), F.col("to").alias("at"))
+        places = materialize(places.unionByName(ahead), "places")
+        span *= 2
+        if span < cap:
+            then = jumps.select(F.col("prev").alias("to"), F.col("to").alias("_to"))
+            jumps = materialize(jumps.where(F.col("to") != EOS).join(then, "to")
+                                .select("prev", F.col("_to").alias("to")), "jumps")
+    in_order = F.sort_array(F.collect_list(F.struct("i", "at")))
+    return places.groupBy("token").agg(in_order.alias("_p")).select(
+        "token", F.transform("_p", lambda x: x["at"]).alias("path"))
 
 
 def _last_word(text: str) -> Column:
     return F.nullif(F.regexp_extract(text, r"(\S+)\s*$", 1), F.lit(""))
 
 
+def last_words(prompts: DataFrame, text: str) -> DataFrame:
+    """(token): the distinct last words of ``prompts``."""
+    return prompts.select(_last_word(text).alias("token")).where("token is not null").distinct()
+
+
 def continue_prompts(prompts: DataFrame, text: str, paths: DataFrame) -> DataFrame:
     """Add the greedy continuation of each prompt's last word (null if unknown).
 

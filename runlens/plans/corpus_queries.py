@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from runlens.operators import ngram, vocabulary as vc
 from runlens.plans.registry import query
-from runlens.schemas import SEED
+from runlens.schemas import MAX_NEW_TOKENS, SEED
 from runlens.sources.tables import text_table
 
-CONTINUE_TOKENS = 8
+# sampling takes one job a token, so its query stops early
+SAMPLE_TOKENS = 8
 SAMPLE_TEMPERATURE = 0.6
 
 _BIGRAMS = r"""
@@ -29,15 +30,15 @@ walk(start, step, token) AS (
   SELECT s.start, 1, b.next FROM starts s JOIN best b ON b.prev = s.start
   UNION ALL
   SELECT w.start, w.step + 1, b.next FROM walk w JOIN best b ON b.prev = w.token
-  WHERE w.step < {CONTINUE_TOKENS} AND w.token <> '</s>'),
+  WHERE w.step < {MAX_NEW_TOKENS} AND w.token <> '</s>'),
 paths AS (SELECT start, string_agg(token, ' ' ORDER BY step) AS continuation,
                  count(*) AS n FROM walk GROUP BY start)
 SELECT conv_id, turn, continuation, coalesce(n, 0) AS n
 FROM prompts LEFT JOIN paths ON start = last""")
 def ngram_continue(spark, d):
-    paths = ngram.greedy_paths(ngram.bigram_counts(text_table(spark, d, "documents"), "text"),
-                               CONTINUE_TOKENS)
     turns = text_table(spark, d, "conversations").where(F.col("role") == "user")
+    paths = ngram.greedy_paths(ngram.bigram_counts(text_table(spark, d, "documents"), "text"),
+                               MAX_NEW_TOKENS, ngram.last_words(turns, "text"))
     return ngram.continue_prompts(turns, "text", paths).select(
         "conv_id", "turn", F.array_join("path", " ").alias("continuation"),
         F.coalesce(F.size("path"), F.lit(0)).cast("long").alias("n"))
@@ -65,14 +66,14 @@ walk(id, step, token) AS (
         / 4294967296.0::DOUBLE) >= r.lo
    AND (CAST('0x' || substr(md5('{SEED}:step' || w.step || ':' || w.id), 1, 8) AS BIGINT)
         / 4294967296.0::DOUBLE) < r.hi
-  WHERE w.step < {CONTINUE_TOKENS} AND w.token <> '</s>')
+  WHERE w.step < {SAMPLE_TOKENS} AND w.token <> '</s>')
 SELECT id, string_agg(token, ' ' ORDER BY step) AS continuation, count(*) AS n
 FROM walk WHERE step > 0 GROUP BY id""")
 def ngram_sample(spark, d):
     bigrams = ngram.bigram_counts(text_table(spark, d, "documents"), "text")
     turns = text_table(spark, d, "conversations").where(F.col("role") == "user").select(
         F.concat_ws(":", "conv_id", "turn").alias("id"), "text")
-    walked = ngram.sample_continuations(turns, "id", "text", bigrams, CONTINUE_TOKENS,
+    walked = ngram.sample_continuations(turns, "id", "text", bigrams, SAMPLE_TOKENS,
                                         SAMPLE_TEMPERATURE, SEED)
     return walked.select("id", F.array_join("path", " ").alias("continuation"),
                          F.size("path").cast("long").alias("n"))
