@@ -30,7 +30,7 @@ def components(edges: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         state = stars.agg(
             F.count(F.lit(1)).alias("n"),
-            F.sum(F.xxhash64("hi", "lo") % F.lit(1 << 40)).alias("h")).first()
+            F.bit_xor(F.xxhash64("hi", "lo")).alias("h")).first()
         if seen == state or not state["n"]:
             return stars.select(F.col("hi").alias("node"), F.col("lo").alias("root")) \
                 .unionByName(stars.select(F.col("lo").alias("node"), F.col("lo").alias("root"))
