@@ -114,14 +114,12 @@ def memberships(docs: DataFrame, words: DataFrame, n_domains: int) -> DataFrame:
     hits = _words(docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), "text")) \
         .join(F.broadcast(words), "word")
+    # every copy of a row brings its words and the row for every document again
     scores = hits.groupBy("doc_id", "version").agg(
         F.count(F.when(F.col("word") == _EVERY, 1)).alias("copies"),
         F.max("n_tokens").alias("tokens"),
-        *(F.sum(F.when(F.col("word") == _EVERY, 0.0).otherwise(F.col("w")[i])).alias(f"s{i}")
-          for i in range(n_domains)),
-        F.max(F.when(F.col("word") == _EVERY, F.col("w"))).alias("prior"))
-    # copies of a row repeat its words as often
-    logs = F.array(*(F.col("prior")[i] + F.col(f"s{i}") / F.col("copies") for i in range(n_domains)))
+        *(F.sum(F.col("w")[i]).alias(f"s{i}") for i in range(n_domains)))
+    logs = F.array(*(F.col(f"s{i}") / F.col("copies") for i in range(n_domains)))
     return scores.withColumn("l", logs).withColumn("top", F.array_max("l")) \
         .withColumn("e", F.expr("transform(l, x -> exp(x - top))")) \
         .withColumn("sum", F.expr("aggregate(e, 0D, (a, x) -> a + x)")) \
