@@ -3,9 +3,10 @@
 Of every run of windows of ``least`` words, only the suffix at the word whose
 k-gram hash is smallest (the minimiser) is retained, so equal passages retain
 equal suffixes wherever they stand. Suffixes whose gram stands in more than one
-text are sorted by gram and following words, and each is compared with its
-neighbours of other texts, to the right of the gram and to its left. Matches of
-at least ``least`` words are united within each text.
+text are sorted by gram and following words, and again by gram and preceding
+words; in both orders each is compared with its neighbours of other texts, to
+the right of the gram and to its left. Matches of at least ``least`` words are
+united within each text.
 
 A suffix needs only the words of the windows it stands for: what lies further
 is covered by the next minimiser, and the union joins the parts.
@@ -14,6 +15,7 @@ is covered by the next minimiser, and the union joins the parts.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -284,13 +286,19 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, gram: int = GRAM) ->
         .dropDuplicates(["doc_id", "version"])
     suffixes = materialize(_suffixes(asked, least, gram), "suffixes")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["gram", "following", "version", "at"]
-    matched = materialize(_matches(
-        suffixes.repartitionByRange(n, *order).sortWithinPartitions(*order), least), "matches")
-    # pairs that a partition bound parts: a few rows a partition, in one task
-    ends = matched.where("part is not null").select(*order, "preceding").distinct()
-    across = _matches(ends.repartition(1).sortWithinPartitions(*order), least)
-    spans = matched.where("part is null").unionByName(across.where("part is null")) \
+    found = []
+    # once by what follows the gram, once by what precedes it: a passage whose
+    # minimiser lies near its end has its partners next to it in the second
+    for context in ("following", "preceding"):
+        order = ["gram", context, "version", "at"]
+        matched = materialize(_matches(
+            suffixes.repartitionByRange(n, *order).sortWithinPartitions(*order), least), "matches")
+        # pairs that a partition bound parts: a few rows a partition, in one task
+        ends = matched.where("part is not null").select(
+            "gram", "following", "version", "at", "preceding").distinct()
+        across = _matches(ends.repartition(1).sortWithinPartitions(*order), least)
+        found += [matched.where("part is null"), across.where("part is null")]
+    spans = reduce(DataFrame.unionByName, found) \
         .select("version", "start", "stop", "other").distinct()
     return _united(spans, members, least)
 
