@@ -11,6 +11,8 @@ from runlens.functions.metrics import time_to_first_token, total_time
 from runlens.schemas import MAX_NEW_TOKENS, NUM_RUNS, TEMPERATURES
 
 PROMPT_COLUMNS = ("model_id", "prompt_id", "domain", "prompt_token_count", "raw_text")
+# finished records that a task holds before it hands them on
+RECORDS_HELD = 500
 
 
 class Model(Protocol):
@@ -54,8 +56,8 @@ def generate_records(prompts: DataFrame, load_model: Callable[[str], Model],
         import pandas as pd
 
         loaded, model = None, None
+        out = []
         for batch in batches:
-            out = []
             for row in batch.itertuples(index=False):
                 if row.model_id != loaded:
                     model, loaded = load_model(row.model_id), row.model_id
@@ -75,7 +77,10 @@ def generate_records(prompts: DataFrame, load_model: Callable[[str], Model],
                     out.append((*(getattr(row, c) for c in kept), temperature,
                                 max_new_tokens, run_idx, ids, seconds,
                                 model.peak_memory_mb()))
-            yield pd.DataFrame(out, columns=schema.names)
+                    if len(out) == RECORDS_HELD:
+                        yield pd.DataFrame(out, columns=schema.names)
+                        out = []
+        yield pd.DataFrame(out, columns=schema.names)
 
     dealt = prompts.select(*PROMPT_COLUMNS, F.explode(
         F.sequence(F.lit(0), F.lit(ways - 1))).alias("way"))
