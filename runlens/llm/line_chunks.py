@@ -1,9 +1,14 @@
-"""Removal of repeated multi-line chunks with content-defined bounds.
+"""Removal of repeated multi-line runs, or of chunks with content-defined bounds.
 
-A chunk ends after a line whose rolling hash over the last lines is divisible
-by a fixed number, so the same run of lines is cut alike wherever it stands.
-Chunks of equal hash are compared byte for byte with their first occurrence;
-those that are equal to it are removed from their documents.
+``dedup_runs`` finds every run. The shortest runs are two lines with content
+and the blank lines between them; a longer one is made of these and of blank
+lines before and after. Each shortest run, and each with one to all of its
+neighbouring blank lines, has one hash. Those of equal hash are compared byte
+for byte with their first occurrence, and the lines of the equal ones go.
+
+``dedup_lines`` removes chunks only: a chunk ends after a line whose rolling
+hash over the last lines is divisible by a fixed number, so the same run of
+lines is cut alike wherever it stands, but runs between bounds are not found.
 """
 
 from __future__ import annotations
@@ -91,19 +96,77 @@ def repeated_chunks(docs: DataFrame, window: int = WINDOW, spacing: int = SPACIN
     doc_id, version, line and n_lines of every occurrence but the first.
     """
     keyed = wrapped(docs).select("doc_id", "version", "row.text").where("doc_id is not null")
-    found = materialize(chunks(keyed, window, spacing), "chunks")
+    return _repeated(keyed, materialize(chunks(keyed, window, spacing), "chunks"))
+
+
+def shortest_runs(docs: DataFrame) -> DataFrame:
+    """Two lines with content and the blank lines between, everywhere in ``docs``.
+
+    Comes also with one to all of the blank lines before, and after, each as a
+    run of its own. ``docs`` and the result are those of ``chunks``.
+    """
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for low, high, text, rows in slabs(part.column(2)):
+                hashes, starts, ends, first = lines(text, rows)
+                full = np.flatnonzero(ends > starts)
+                row = np.searchsorted(first, full, side="right") - 1
+                pair = np.flatnonzero(row[1:] == row[:-1])
+                row, begin, end = row[pair], full[pair], full[pair + 1]
+                # blank lines to the content, or the document's edge, on both sides
+                above = begin - np.maximum(first[row], np.append(-1, full)[pair] + 1)
+                below = np.minimum(first[row + 1], np.append(full, len(hashes))[pair + 2]) - end - 1
+                base = fold(np.stack([hashes[begin], hashes[end], (end - begin).astype(np.uint64)],
+                                     axis=1).ravel(), 3)[::3]
+                n = np.arange(len(pair))
+                before, after = np.repeat(n, above), np.repeat(n, below)
+                one = np.concatenate([n, before, after])
+                up = np.concatenate([0 * n, _count(above) + 1, 0 * after])
+                down = np.concatenate([0 * n, 0 * before, _count(below) + 1])
+                row, at = row[one], begin[one] - up
+                yield pa.RecordBatch.from_arrays([
+                    part.column(0).slice(low, high - low).take(pa.array(row)),
+                    part.column(1).slice(low, high - low).take(pa.array(row)),
+                    pa.array((at - first[row]).astype(np.int32)),
+                    pa.array((end[one] + down + 1 - at).astype(np.int32)),
+                    pa.array(mix(mix(base[one] + up.astype(np.uint64)) + down.astype(np.uint64))
+                             .view(np.int64)),
+                ], names=["doc_id", "version", "line", "n_lines", "hash"])
+
+    return docs.select("doc_id", "version", "text").mapInArrow(
+        batches, "doc_id long, version long, line int, n_lines int, hash long")
+
+
+def repeated_runs(docs: DataFrame) -> DataFrame:
+    """Shortest runs that stand, byte for byte, earlier in the table as well.
+
+    Order and result are those of ``repeated_chunks``. A run that overlaps its
+    first occurrence, as in a document that repeats one line, is not later.
+    """
+    keyed = wrapped(docs).select("doc_id", "version", "row.text").where("doc_id is not null")
+    return _repeated(keyed, materialize(shortest_runs(keyed), "runs"), apart=True)
+
+
+def _repeated(keyed: DataFrame, found: DataFrame, apart: bool = False) -> DataFrame:
     again = found.groupBy("hash").agg(
         F.min(F.struct("doc_id", "version", "line")).alias("first"),
         F.max(F.struct("doc_id", "version", "line")).alias("last")) \
         .where("first <> last").drop("last")
-    suspects = found.join(again, "hash").groupBy("doc_id", "version").agg(
+    suspects = found.join(again, "hash")
+    if apart:
+        suspects = suspects.where(
+            "not (doc_id = first.doc_id and version = first.version "
+            "and line > first.line and line < first.line + n_lines)")
+    suspects = suspects.groupBy("doc_id", "version").agg(
         F.collect_set(F.struct("line", "n_lines", "hash", F.expr(
             "first = struct(doc_id, version, line)").alias("leads"))).alias("suspects"))
+    # cut out before they are unfolded, so that the lines are not carried with each
     texts = keyed.join(suspects.hint("merge"), ["doc_id", "version"]) \
         .withColumn("lines", F.split("text", "\n", -1)) \
-        .select("doc_id", "version", "lines", F.explode("suspects").alias("s")) \
-        .select("doc_id", "version", "s.*",
-                F.expr("array_join(slice(lines, s.line + 1, s.n_lines), '\n')").alias("chunk"))
+        .select("doc_id", "version", F.explode(F.expr(
+            "transform(suspects, s -> struct(s.line, s.n_lines, s.hash, s.leads, array_join(slice("
+            "lines, s.line + 1, s.n_lines), '\n') as chunk))")).alias("s")) \
+        .select("doc_id", "version", "s.*")
     texts = materialize(texts, "chunk-texts")
     leads = texts.where("leads").select("hash", F.col("chunk").alias("lead")) \
         .dropDuplicates(["hash"])
@@ -122,12 +185,26 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, spacing: int = SPACING) -
     one document, and are cut alike. Also adds n_lines_cut, unless the table
     has a column of that name.
     """
-    cuts = repeated_chunks(docs, window, spacing).groupBy("doc_id", "version") \
-        .agg(F.collect_list(F.struct("line", "n_lines")).alias("cuts"))
+    return _without(docs, repeated_chunks(docs, window, spacing))
+
+
+def dedup_runs(docs: DataFrame) -> DataFrame:
+    """``docs`` with every repeated run of lines cut out of the texts.
+
+    As ``dedup_lines``, but every line goes that lies in a run, of at least two
+    lines with content, which stands earlier in the table as well, apart from
+    it. Every line stays where it stands first, in order of doc_id.
+    """
+    return _without(docs, repeated_runs(docs))
+
+
+def _without(docs: DataFrame, repeated: DataFrame) -> DataFrame:
+    cuts = repeated.withColumn("at", F.explode(F.expr("sequence(line, line + n_lines - 1)"))) \
+        .groupBy("doc_id", "version").agg(F.collect_set("at").alias("cuts"))
     rows = wrapped(docs).join(cuts.hint("merge"), ["doc_id", "version"], "left")
     text = F.expr(
-        "if(cuts is null, row.text, array_join(filter(split(row.text, '\n', -1), (l, i) -> "
-        "not exists(cuts, c -> i >= c.line and i < c.line + c.n_lines)), '\n'))")
-    cut = F.expr("coalesce(aggregate(cuts, 0, (n, c) -> n + c.n_lines), 0)").alias("n_lines_cut")
+        "if(cuts is null, row.text, transform(array(split(row.text, '\n', -1)), l -> array_join("
+        "transform(array_except(sequence(0, size(l) - 1), cuts), i -> l[i]), '\n'))[0])")
+    cut = F.expr("if(cuts is null, 0, size(cuts))").alias("n_lines_cut")
     return rows.select(*unwrapped(rows, docs.columns, text=text),
                        *([] if "n_lines_cut" in docs.columns else [cut]))

@@ -70,7 +70,7 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query("op10_line_dedup")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
-    return line_chunks.dedup_lines(_read(spark, folder, "documents")) \
+    return line_chunks.dedup_runs(_read(spark, folder, "documents")) \
         .select("doc_id", "n_lines_cut", "text")
 
 

@@ -159,6 +159,53 @@ def test_line_chunks_nulls_repeats_and_columns(spark):
     assert line_chunks.dedup_lines(docs.where("false")).collect() == []
 
 
+def without_runs(rows):
+    """(doc_id, text) -> text without any line of a run that stands earlier, by brute force."""
+    seen, out = {}, {}
+    order = sorted(rows)
+    for n, (i, text) in enumerate(order):
+        lines = text.split("\n")
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines) + 1):
+                if sum(map(bool, lines[a:b])) >= 2:
+                    seen.setdefault(tuple(lines[a:b]), (n, b))
+    for n, (i, text) in enumerate(order):
+        lines, cut = text.split("\n"), set()
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines) + 1):
+                if sum(map(bool, lines[a:b])) >= 2 and seen[tuple(lines[a:b])] <= (n, a):
+                    cut |= set(range(a, b))
+        out[i] = "\n".join(x for k, x in enumerate(lines) if k not in cut), len(cut)
+    return out
+
+
+def test_line_runs_equal_brute_force_over_all_runs(spark):
+    rng = random.Random(11)
+    block = [rng.choice(["", f"shared {i}", f"shared {i}"]) for i in range(30)]
+    rows = []
+    for i in range(80):
+        lines = [rng.choice(["", "x", f"own {rng.random()}", f"own {rng.random()}"])
+                 for _ in range(rng.randint(0, 12))]
+        for _ in range(i % 3):
+            at, begin = rng.randint(0, len(lines)), rng.randint(0, 25)
+            lines[at:at] = block[begin:begin + rng.randint(2, 8)]
+        rows.append((i, "\n".join(lines)))
+    rows += [(90, rows[2][1]), (91, "one line"), (92, "\n\n\n\n"), (93, "l\n" * 30),
+             (94, "own a\nmid one\nmid two\nown b"), (95, "c\nd\ne\nmid one\nmid two\nf\ng")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["text"], r["n_lines_cut"])
+           for r in line_chunks.dedup_runs(docs).collect()}
+    assert got == without_runs(rows)
+    assert got[95][0] == "c\nd\ne\nf\ng" and got[93][0] == "l\nl\n" and got[92][1] == 0
+
+
+def test_line_runs_of_the_query_are_whole(spark, tmp_path):
+    rows = [(1, "a\nmid one\nmid two\nb"), (2, "c\nd\ne\nmid one\nmid two\nf")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["text"] for r in queries.QUERIES["op10_line_dedup"](spark, str(tmp_path)).collect()}
+    assert got == {1: rows[0][1], 2: "c\nd\ne\nf"}
+
+
 # --- passages --------------------------------------------------------------
 
 def covered(rows, least):
