@@ -5,8 +5,9 @@ k-gram hash is smallest (the minimiser) is retained, so equal passages retain
 equal suffixes wherever they stand. Suffixes whose gram stands in more than one
 text are sorted by gram and following words, and again by gram and preceding
 words; in both orders each is compared with its neighbours of other texts, to
-the right of the gram and to its left. Matches of at least ``least`` words are
-united within each text.
+the right of the gram and to its left. Where more suffixes share a gram than a
+suffix has neighbours compared, all its windows are grouped by their hash as
+well. Matches of at least ``least`` words are united within each text.
 
 A suffix needs only the words of the windows it stands for: what lies further
 is covered by the next minimiser, and the union joins the parts.
@@ -21,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from runlens.llm.hashing import fold, slabs, words
+from runlens.llm.hashing import _spans, fold, mix, slabs, words
 from runlens.llm.rows import unwrapped, wrapped
 from runlens.session import materialize
 
@@ -261,6 +262,60 @@ def _edge(rows: pa.Table, number: int) -> pa.RecordBatch:
         names=["version", "start", "stop", "other", "part", "gram", "following", "at", "preceding"])
 
 
+def _window_hashes(suffixes: DataFrame, least: int) -> DataFrame:
+    """Start and hash of every window that the suffixes stand for."""
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            after, n_after = _codes(part.column("following"))
+            before, n_before = _codes(part.column("preceding"))
+            size = n_before + n_after
+            begin = np.cumsum(size) - size
+            codes = np.empty(len(after) + len(before), dtype=np.uint64)
+            codes[np.repeat(begin + n_before, n_after) + _place(n_after)] = after
+            codes[np.repeat(begin + n_before - 1, n_before) - _place(n_before)] = before
+            n = np.maximum(size - least + 1, 0)
+            row, place = np.repeat(np.arange(len(n)), n), _place(n)
+            start = begin[row] + place
+            yield pa.RecordBatch.from_arrays([
+                part.column("version").take(pa.array(row)),
+                pa.array((part.column("at").to_numpy() - n_before)[row] + place),
+                pa.array(_spans(mix(codes), start, start + least).view(np.int64)),
+            ], names=["version", "start", "window"])
+
+    return suffixes.mapInArrow(batches, "version long, start long, window long")
+
+
+def _codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Word codes of a binary column one after the other, and the number in each row."""
+    values = column.to_pylist()
+    size = np.array([len(v) // _BYTES for v in values], dtype=np.int64)
+    raw = np.frombuffer(b"".join(values), dtype=np.uint8).reshape(-1, _BYTES).astype(np.uint64)
+    return (raw << np.array([16, 8, 0], dtype=np.uint64)).sum(axis=1, dtype=np.uint64), size
+
+
+def _place(sizes: np.ndarray) -> np.ndarray:
+    ends = np.cumsum(sizes)
+    return np.arange(int(sizes.sum())) - np.repeat(ends - sizes, sizes)
+
+
+def _window_matches(suffixes: DataFrame, least: int) -> DataFrame:
+    """Windows that stand in two texts, of the grams that neighbours do not exhaust.
+
+    A gram of at most NEIGHBOURS suffixes has all of them compared with each
+    other. A window has its minimiser from its words alone, so it is a window of
+    the same gram wherever it stands.
+    """
+    often = suffixes.groupBy("gram").agg(F.count(F.lit(1)).alias("n")) \
+        .where(F.col("n") > NEIGHBOURS).select("gram")
+    windows = materialize(_window_hashes(
+        suffixes.join(often, "gram").select("following", "version", "at", "preceding"), least), "windows")
+    shared = windows.groupBy("window").agg(
+        F.min("version").alias("a"), F.max("version").alias("z")).where("a <> z")
+    return windows.join(shared, "window").select(
+        "version", "start", (F.col("start") + least).alias("stop"),
+        F.expr("if(version = a, z, a)").alias("other"))
+
+
 def repeated_passages(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
     """Passages of at least ``least`` words that stand in another document too.
 
@@ -298,8 +353,8 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, gram: int = GRAM) ->
             "gram", "following", "version", "at", "preceding").distinct()
         across = _matches(ends.repartition(1).sortWithinPartitions(*order), least)
         found += [matched.where("part is null"), across.where("part is null")]
-    spans = reduce(DataFrame.unionByName, found) \
-        .select("version", "start", "stop", "other").distinct()
+    found = [x.select("version", "start", "stop", "other") for x in found]
+    spans = reduce(DataFrame.unionByName, [*found, _window_matches(suffixes, least)]).distinct()
     return _united(spans, members, least)
 
 

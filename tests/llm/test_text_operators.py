@@ -278,6 +278,29 @@ def test_passages_are_cut_but_for_their_first_document(spark, passages):
     assert text[100] == "" and text[None] == passages[3][1] and text[105] == passages[-1][1]
 
 
+def test_a_passage_whose_parts_are_frequent_is_found(spark):
+    rng = random.Random(5)
+
+    def own(n):
+        return [f"w{rng.randrange(10**9)}" for _ in range(n)]
+
+    def low(words):
+        for _, _, data, rows in hashing.slabs(pa.array([" ".join(words)])):
+            return int(hashing.fold(hashing.words(data, rows)[0], 8)[0])
+
+    # the gram in the middle has a small hash, so it is the minimiser
+    middle = min((own(8) for _ in range(3000)), key=low)
+    left, right = own(21), own(21)
+    texts = [own(40) + left + middle + right + own(40) for _ in range(2)]
+    texts += [own(61) + middle + right + own(40) for _ in range(300)]
+    texts += [own(40) + left + middle + own(61) for _ in range(300)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)],
+                                 "doc_id long, text string")
+    got = sorted((r["doc_id"], r["start_word"], r["end_word"], r["other_doc_id"])
+                 for r in suffixes.repeated_passages(docs).collect())
+    assert got == [(0, 40, 90, 1), (1, 40, 90, 0)]
+
+
 # --- licences --------------------------------------------------------------
 
 def test_every_known_sentence_is_normal_and_tells():
