@@ -219,16 +219,17 @@ def mixture(docs: DataFrame, labelled: DataFrame, shares: dict[str, float],
     return fit_rates(members, [budget * x for x in part], most)
 
 
-def apply_rates(docs: DataFrame, rates: DataFrame, slack: float = 0.05) -> DataFrame:
+def apply_rates(docs: DataFrame, rates: DataFrame, slack: float = 0.0) -> DataFrame:
     """``docs`` with every row repeated, or left out, by its document's rate.
 
-    A rate within ``slack`` of a whole number counts as that number; any other
-    is rounded up or down by a hash of the document, so that copies come out as
-    the rate in the mean. All columns are kept, whatever their names.
+    A rate is rounded up or down by a hash of the document, so that copies come
+    out as the rate in the mean, however small it is. Only a rate below one by
+    at most ``slack`` counts as one, for a domain that is to stay in full. All
+    columns are kept, whatever their names.
     """
     part = "(pmod(xxhash64(doc_id, version, 17), 1000000) / 1000000D)"
     times = rates.select(F.col("doc_id").alias("d"), F.col("version").alias("v"), F.expr(
-        f"cast(if(abs(rate - round(rate)) <= {slack!r}, round(rate), "
+        f"cast(if(rate < 1 and 1 - rate <= {slack!r}, 1, "
         f"floor(rate + {part})) as int)").alias("times"))
     rows = wrapped(docs)
     # merged at every size; a null id matches itself

@@ -151,6 +151,28 @@ def test_rates_become_copies(spark, mixed):
     assert abs(sum(counts.values()) - sum(times.values())) < 25
 
 
+def test_a_domain_far_above_its_target_is_thinned_not_deleted(spark):
+    # three in ten tokens are toxic and one in a hundred may be
+    docs = spark.range(9000).select(F.col("id").alias("doc_id"),
+                                    F.concat(F.lit("word "), "id").alias("text"))
+    members = docs.select(
+        "doc_id", F.xxhash64("text").alias("version"), F.lit(1).cast("long").alias("copies"),
+        F.lit(2).cast("long").alias("tokens"),
+        F.expr("if(doc_id % 10 < 3, array(0.001D, 0.999D), array(0.999D, 0.001D))").alias("p"))
+    full = 2 * (6300 * 0.999 + 2700 * 0.001)
+    rates = mixing.fit_rates(members, [full, full / 99], most=1.0, steps=8)
+    got = mixing.apply_rates(docs, rates, slack=0.05)
+    toxic, clean = got.where("doc_id % 10 < 3").count(), got.where("doc_id % 10 >= 3").count()
+    assert clean == 6300 and 0.006 < toxic / (toxic + clean) < 0.014
+    fixed = docs.select("doc_id", F.xxhash64("text").alias("version"),
+                        F.expr("element_at(array(0.03D, 0.97D, 1.96D), cast(doc_id % 3 as int) + 1)").alias("rate"))
+    for slack, middle in ((0.0, 2910), (0.05, 3000)):
+        n = {r["k"]: r["count"] for r in mixing.apply_rates(docs, fixed, slack=slack)
+             .groupBy((F.col("doc_id") % 3).alias("k")).count().collect()}
+        assert abs(n[0] - 90) < 30 and abs(n[1] - middle) < (30 if middle < 3000 else 1)
+        assert abs(n[2] - 5880) < 40
+
+
 def test_mixing_edge_cases(spark, mixed):
     docs, labelled, _ = mixed
     odd = spark.createDataFrame([(500, None), (501, ""), (None, "alpha beta"), (502, "zeta " * 50_000),
