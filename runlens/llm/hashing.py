@@ -74,8 +74,8 @@ def slabs(column: pa.Array, size: int = SLAB_BYTES,
         first = last
 
 
-def words(text: np.ndarray, rows: np.ndarray):
-    """Hashes of the lower-cased words of a slab.
+def words(text: np.ndarray, rows: np.ndarray, separator: np.ndarray = _SEPARATOR):
+    """Hashes of the lower-cased words of a slab, the runs between separator bytes.
 
     Returns the word hashes, the byte position of each word's start and end,
     and for each row the index of its first word (one more entry at the end).
@@ -84,7 +84,7 @@ def words(text: np.ndarray, rows: np.ndarray):
     if not n:
         empty = np.empty(0, np.int64)
         return np.empty(0, np.uint64), empty, empty, np.zeros(len(rows), np.int64)
-    inside = ~_SEPARATOR[text]
+    inside = ~separator[text]
     before = np.empty(n, dtype=bool)
     before[0] = False
     before[1:] = inside[:-1]
@@ -146,7 +146,7 @@ def shingles(word_hashes: np.ndarray, first: np.ndarray, size: int):
     counts = np.diff(first)
     own = np.where(counts >= size, counts - size + 1, (counts > 0).astype(np.int64))
     row = np.repeat(np.arange(len(counts)), own)
-    start = np.repeat(first[:-1], own) + _ramp(own)
+    start = np.repeat(first[:-1], own) + ramp(own)
     out = np.zeros(len(row), dtype=np.uint64)
     length = np.minimum(counts, size)[row]
     for n in range(1, size + 1):
@@ -156,7 +156,7 @@ def shingles(word_hashes: np.ndarray, first: np.ndarray, size: int):
     return out, row
 
 
-def _ramp(counts: np.ndarray) -> np.ndarray:
+def ramp(counts: np.ndarray) -> np.ndarray:
     """0, 1, .. within each of consecutive groups of the given sizes."""
     total = int(counts.sum())
     ends = np.cumsum(counts)

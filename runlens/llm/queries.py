@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from runlens.llm import embeddings, fingerprints, licenses, line_chunks, minhash, mixing, packing, pii, quality, suffixes
+from runlens.llm import (
+    clustering, embeddings, fingerprints, lexical, licenses, line_chunks, lm_scoring, minhash, mixing,
+    packing, pii, quality, suffixes)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -151,3 +153,79 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(
         "doc_id", F.size("sentences").cast("long").alias("n_sentences"),
         F.array_join(F.array_sort(F.array_distinct(F.col("licences.licence"))), ",").alias("licences"))
+
+
+@_query("op11_ranked_search", r"""
+WITH terms AS (
+  SELECT doc_id, unnest(regexp_extract_all(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+wanted AS (
+  SELECT item_id, term, count(*) AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(
+             translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+  GROUP BY ALL),
+lengths AS (SELECT doc_id, count(*) AS n FROM terms GROUP BY doc_id),
+every AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS l FROM lengths),
+counts AS (SELECT doc_id, term, count(*) AS tf FROM terms
+           WHERE term IN (SELECT term FROM wanted) GROUP BY ALL),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w
+            FROM counts, every GROUP BY term, docs),
+scores AS (
+  SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf)
+           // (1000 * tf + 8 * (100 - 75 + ((75 * n * docs) // l))))) AS BIGINT) AS score
+  FROM counts JOIN wanted USING (term) JOIN weights USING (term) JOIN lengths USING (doc_id), every
+  GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank,
+       doc_id, score
+FROM scores WHERE score > 0
+QUALIFY rank <= 10
+""")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.search(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"))
+
+
+def _round_sql(n: int) -> str:
+    """Assignment to the centroids of round n - 1, and those of round n."""
+    return f"""
+near{n} AS (
+  SELECT vec_id, arg_min(number, (distance, number)) AS number, min(distance) AS distance FROM (
+    SELECT vec_id, number, list_sum(list_transform(range(1, 65),
+             lambda i: (v[i] - c[i]) * (v[i] - c[i])))::BIGINT AS distance
+    FROM whole, centroids{n - 1}) GROUP BY vec_id),
+means{n} AS (
+  SELECT number, list((s - ((s % k) + k) % k) // k ORDER BY i) AS c FROM (
+    SELECT number, i, sum(v[i])::BIGINT AS s, count(*) AS k
+    FROM near{n} JOIN whole USING (vec_id), range(1, 65) AS d(i) GROUP BY number, i)
+  GROUP BY number),
+centroids{n} AS (
+  SELECT o.number, coalesce(m.c, o.c) AS c
+  FROM centroids{n - 1} o LEFT JOIN means{n} m ON m.number = o.number)"""
+
+
+@_query("op12_centroid_clustering", f"""
+WITH whole AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE len(embedding) = 64
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+centroids0 AS (
+  SELECT row_number() OVER (ORDER BY h) - 1 AS number, v AS c FROM (
+    SELECT v, sha256('1:' || vec_id) AS h FROM whole ORDER BY h LIMIT 16)),
+{",".join(map(_round_sql, (1, 2, 3, 4)))}
+SELECT vec_id, number::INTEGER AS cluster, distance,
+       (sum(distance) OVER (PARTITION BY number))::BIGINT AS cluster_inertia,
+       (sum(distance) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM near4 JOIN centroids3 USING (number)
+""")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return clustering.cluster_vectors(_read(spark, folder, "embeddings"))
+
+
+@_query("op13_lm_scoring")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """Learns from six of seven documents; the seventh, by a hash of the id, is held out."""
+    return lm_scoring.score_documents(
+        _read(spark, folder, "documents"), F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
