@@ -16,6 +16,16 @@ def tokens_per_second(n: Column, total_time: Column) -> Column:
     return F.when(total_time == 0, F.lit(0.0)).otherwise(n / total_time)
 
 
+def interpolated(low: Column, high: Column, share: Column) -> Column:
+    """The value at ``share`` of the way from low to high, taken from the nearer end.
+
+    From one end only, a result that is printed rounded would differ from
+    numpy's in the last digit of a double, and so at a tie in the whole number.
+    """
+    gap = high - low
+    return F.when(share < 0.5, low + gap * share).otherwise(high - gap * (1 - share))
+
+
 def sorted_percentile(sorted_values: Column, q: float) -> Column:
     """Linear-interpolated percentile of an ascending array; null when empty."""
     n = F.size(sorted_values)
@@ -23,7 +33,7 @@ def sorted_percentile(sorted_values: Column, q: float) -> Column:
     lo = F.floor(pos).cast("int")
     hi = F.least(lo + 1, n - 1)
     a, b = F.get(sorted_values, lo), F.get(sorted_values, hi)
-    return F.when(n > 0, a + (b - a) * (pos - lo))
+    return F.when(n > 0, interpolated(a, b, pos - lo))
 
 
 def with_metrics(df: DataFrame) -> DataFrame:

@@ -14,7 +14,8 @@ from runlens.schemas import DRAFT_LENGTHS
 TAIL = {"p50": 0.50, "p95": 0.95, "p99": 0.99}
 
 
-def _summary_columns():
+def summary_columns():
+    """Means of a group of runs, and their number."""
     return [
         F.avg("tokens_per_second").alias("mean_tok_s"),
         seconds_to_ms(F.avg("time_to_first_token")).alias("mean_ttft_ms"),
@@ -26,14 +27,14 @@ def _summary_columns():
 
 def run_summary(records: DataFrame) -> DataFrame:
     """Means by domain and temperature; p95 is the mean of the runs' own p95."""
-    return (records.groupBy("domain", "temperature").agg(*_summary_columns())
+    return (records.groupBy("domain", "temperature").agg(*summary_columns())
             .orderBy("domain", "temperature"))
 
 
 def run_summary_rollup(records: DataFrame) -> DataFrame:
     """The summary, domain subtotals and the grand total with the peak memory."""
     return records.rollup("domain", "temperature").agg(
-        *_summary_columns(), F.max("peak_memory_mb").alias("peak_mb"),
+        *summary_columns(), F.max("peak_memory_mb").alias("peak_mb"),
         F.grouping_id().cast("long").alias("level"))
 
 

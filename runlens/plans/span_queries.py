@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from runlens.operators.spans import latest_spans, pair_spans
@@ -9,13 +11,13 @@ from runlens.plans import views
 from runlens.plans.registry import query
 from runlens.plans.result_queries import _MEANS, _R, _SUMMARY, _r6
 from runlens.schemas import RESULT
-from runlens.session import scratch_path
+from runlens.session import materialize, scratch_path
 from runlens.sources.result_files import write_records
 from runlens.sources.tables import table
-from runlens.streaming.dedup import drop_resent, with_arrival
-from runlens.streaming.files import drain, read_stream
-from runlens.streaming.spans import pair_spans_stream
-from runlens.streaming.summary import drain_summary
+from runlens.streaming.files import heartbeats, read_stream
+from runlens.streaming.ledger import drain_once
+from runlens.streaming.live_spans import pair_spans_live
+from runlens.streaming.summary import drain_summary, drain_windowed
 
 _SPANS = "WITH " + views.SPANS_SQL
 _STATUS = " SELECT run, phase, event_id, status, round(elapsed_ms, 6) AS elapsed_ms FROM spans"
@@ -39,15 +41,46 @@ def span_latest(spark, d):
         "run", "phase", F.round("elapsed_ms", 6).alias("elapsed_ms"), "n_completed")
 
 
+def _send(rows, path):
+    """One more file of a log."""
+    rows.coalesce(1).write.mode("append").parquet(path)
+
+
+def _send_by_time(rows, time, key, path, files=6):
+    """Rows in files of an equal part of the time each, half of every file one file late.
+
+    Returns the newest time and the seconds by which a row can be behind a newer one.
+    """
+    ends = rows.agg(F.min(time).alias("lo"), F.max(time).alias("hi")).first()
+    if ends["lo"] is None:
+        return None, 0
+    width = max(1, -(-int((ends["hi"] - ends["lo"]).total_seconds() + 1) // files))
+    number = (F.unix_seconds(time) - F.unix_seconds(F.lit(ends["lo"]))) / width
+    late = F.pmod(F.xxhash64(*key), F.lit(2))
+    numbered = rows.withColumn("_file", F.floor(number).cast("int") + late)
+    for i in range(files + 1):
+        _send(numbered.where(F.col("_file") == i).drop("_file"), path)
+    return ends["hi"], 2 * width
+
+
+SPAN_SLICE = 5 * 86400
+
+
 @query("stream_spans", _SPANS + _STATUS)
 def stream_spans(spark, d):
-    """The log in files that are not ordered by time, one to a micro-batch."""
+    """The log in files that are not ordered by time, one to a micro-batch, then its end."""
     path = scratch_path(spark, "span-log")
-    events = _log(spark, d)
-    events.repartition(6, F.hash("event_id")).write.parquet(path)
+    events = materialize(_log(spark, d), "span-events")
+    newest, behind = _send_by_time(events, "ts", ["event_id"], path)
+    if newest is not None:
+        for n in (2, 4):
+            _send(heartbeats(spark, events.schema,
+                             newest + n * timedelta(seconds=behind + SPAN_SLICE)), path)
     stream = read_stream(spark, path, events.schema, "parquet", max_files=1)
-    return pair_spans_stream(stream).select(
-        "run", "phase", "event_id", "status", F.round("elapsed_ms", 6).alias("elapsed_ms"))
+    paired = pair_spans_live(stream, scratch_path(spark, "live-spans"), delay=f"{behind} seconds",
+                             slice_seconds=SPAN_SLICE)
+    return paired.select("run", "phase", "event_id", "status",
+                         F.round("elapsed_ms", 6).alias("elapsed_ms"))
 
 
 @query("stream_summary", f"{_R} SELECT domain, temperature, {_SUMMARY} FROM records GROUP BY ALL")
@@ -59,15 +92,39 @@ def stream_summary(spark, d):
     return drain_summary(stream).withColumns(_r6(*_MEANS))
 
 
+@query("stream_summary_windowed", f"""{_R},
+dated AS (SELECT *, CAST(date_trunc('day', end_ts) AS TIMESTAMP) AS window_start FROM records),
+per_day AS (SELECT window_start, domain, temperature, {_SUMMARY.replace(", 6)", ", 10)")}
+            FROM dated GROUP BY ALL)
+SELECT *, CASE WHEN window_start = (SELECT min(window_start) FROM dated) THEN n ELSE 0 END AS n_late
+FROM per_day""")
+def stream_summary_windowed(spark, d):
+    """Records of a day are summarised when it is over; those of the first day come once more, too late."""
+    path = scratch_path(spark, "live-records")
+    stored = materialize(views.records(spark, d).select(
+        "domain", "temperature", "end_ts", *RESULT.fieldNames()), "records")
+    newest, behind = _send_by_time(stored, "end_ts", ["end_ts", "domain"], path, files=3)
+    if newest is not None:
+        # what came just before it is judged by the watermark that was known then
+        for n in (2, 3):
+            _send(heartbeats(spark, stored.schema, newest + timedelta(seconds=2 * behind, days=n),
+                             "end_ts"), path)
+        first = stored.agg(F.min(F.to_date("end_ts"))).first()[0]
+        _send(stored.where(F.to_date("end_ts") == F.lit(first)), path)
+    stream = read_stream(spark, path, stored.schema, "parquet", max_files=1)
+    return drain_windowed(stream, "end_ts", "1 day", f"{behind} seconds") \
+        .withColumns({m: F.round(m, 10) for m in _MEANS}).drop("window_end")
+
+
 @query("stream_dedup", f"{_R} SELECT config_hash, prompt_id, run_idx, "
        "round(total_time, 6) AS total_time FROM hashed")
 def stream_dedup(spark, d):
-    """Every record is sent twice, in two files; one copy gets through."""
+    """Every record is sent twice at once and again at the end; one copy stays, however late."""
     path = scratch_path(spark, "sent-records")
-    records = views.hashed_records(spark, d).select(
-        "config_hash", "prompt_id", "run_idx", "total_time", "end_ts")
-    for _ in range(2):
+    records = materialize(views.hashed_records(spark, d).select(
+        "config_hash", "prompt_id", "run_idx", "total_time"), "sent")
+    for _ in range(3):
         records.write.mode("append").parquet(path)
-    stream = with_arrival(read_stream(spark, path, records.schema, "parquet", max_files=2))
-    return drain(drop_resent(stream), "stream-dedup").select(
+    stream = read_stream(spark, path, records.schema, "parquet", max_files=4)
+    return drain_once(stream, scratch_path(spark, "record-ledger")).select(
         "config_hash", "prompt_id", "run_idx", F.round("total_time", 6).alias("total_time"))

@@ -36,8 +36,8 @@ def _sql_choose(i: str, values) -> str:
 def rounds(spark: SparkSession, folder: str) -> DataFrame:
     """Events as generation rounds: a user's events of one day make a run.
 
-    The week decides the draft length (``kslot``), the day of the week numbers
-    the runs of one configuration.
+    The week decides the draft length (``kslot``); the day's own number is the
+    run's, so no two days share a key however long the table is.
     """
     day = F.expr("datediff(to_date(ts), date'2024-01-01')")
     return (
@@ -45,7 +45,7 @@ def rounds(spark: SparkSession, folder: str) -> DataFrame:
         .select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id",
                 "event_type", "value",
                 F.pmod(F.floor(day / 7), F.lit(5)).cast("long").alias("kslot"),
-                F.pmod(day, F.lit(7)).cast("long").alias("run_idx"))
+                day.cast("long").alias("run_idx"))
         .withColumn("K", F.when(F.col("kslot") > 0, _choose(
             F.col("kslot") - 1, DRAFT_LENGTHS).cast("long")))
         .withColumn("accepted", F.when(F.col("K").isNull(), F.lit(0)).otherwise(
@@ -110,10 +110,10 @@ rounds AS (
          CASE WHEN kslot > 0 THEN event_id % ((1 << (kslot - 1)) + 1) ELSE 0 END AS accepted,
          CASE WHEN kslot > 0 THEN CAST(1 << (kslot - 1) AS BIGINT) ELSE 0 END AS proposed
   FROM (SELECT event_id, ts, user_id, event_type, value,
-               CAST((datediff('day', DATE '2024-01-01', CAST(ts AS DATE)) // 7) % 5 AS BIGINT)
-                 AS kslot,
-               CAST(datediff('day', DATE '2024-01-01', CAST(ts AS DATE)) % 7 AS BIGINT) AS run_idx
-        FROM events))"""
+               (CAST(floor(run_idx / 7.0) AS BIGINT) % 5 + 5) % 5 AS kslot, run_idx
+        FROM (SELECT *, CAST(datediff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS BIGINT)
+                     AS run_idx
+              FROM events)))"""
 
 _CONDITION_SQL = f"""
          {_sql_choose('user_id % 3', DOMAINS)} AS domain,
@@ -123,6 +123,20 @@ _CONDITION_SQL = f"""
          CAST({MAX_NEW_TOKENS} AS BIGINT) AS max_new_tokens,
          CAST({SEED} AS BIGINT) AS seed"""
 
+
+def _percentile_sql(values: str, q: float) -> str:
+    """Interpolation from the nearer end, as numpy does it; quantile_cont differs in the last digit."""
+    at = f"({q}::DOUBLE * (len({values}) - 1))"
+    share = f"({at} - floor({at}))"
+    low = f"{values}[CAST(floor({at}) AS BIGINT) + 1]"
+    high = f"{values}[least(CAST(floor({at}) AS BIGINT) + 2, len({values}))]"
+    return (f"CASE WHEN {share} < 0.5 THEN {low} + ({high} - {low}) * {share}"
+            f" ELSE {high} - ({high} - {low}) * (1 - {share}) END")
+
+
+_LATENCIES_SQL = ", ".join(
+    f"{_percentile_sql('lat', p / 100)} AS latency_p{p}" for p in (50, 95, 99))
+
 RECORDS_SQL = ROUNDS_SQL + f""",
 plain_runs AS (
   SELECT user_id, kslot, run_idx, K, max(ts) AS end_ts,
@@ -132,9 +146,7 @@ plain_runs AS (
          sum(value / 1000) AS total_time,
          arg_min(value, (ts, event_id)) / 1000 AS time_to_first_token,
          max(value) * 10 AS peak_memory_mb,
-         quantile_cont(value / 1000, 0.50) AS latency_p50,
-         quantile_cont(value / 1000, 0.95) AS latency_p95,
-         quantile_cont(value / 1000, 0.99) AS latency_p99,
+         list(value / 1000 ORDER BY value) AS lat,
          CASE WHEN kslot > 0 THEN sum(accepted) / sum(proposed) END AS acceptance_rate,
          CASE WHEN kslot > 0 THEN avg(accepted + 1) END AS tokens_per_step,
          CASE WHEN kslot > 0 THEN count(*) END AS num_speculation_rounds,
@@ -152,7 +164,7 @@ records AS (
            || ', "max_new_tokens": {MAX_NEW_TOKENS}, "model_pair_name": "' || model_pair_name
            || '", "prompt_domain": "' || domain || '", "seed": {SEED}, "temperature": '
            || CASE WHEN temperature = 0 THEN '0.0' ELSE '0.6' END || '}}' AS canonical
-  FROM (SELECT *, {_CONDITION_SQL} FROM plain_runs)),
+  FROM (SELECT *, {_LATENCIES_SQL}, {_CONDITION_SQL} FROM plain_runs)),
 hashed AS (SELECT *, substr(sha256(canonical), 1, 12) AS config_hash FROM records)"""
 
 SPEEDUPS_SQL = RECORDS_SQL + """,

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from runlens.session import scratch_path
 
@@ -41,3 +43,10 @@ def drain(stream: DataFrame, label: str) -> DataFrame:
     except AnalysisException:
         # no file has arrived, so no batch has run and the sink has no folder
         return spark.createDataFrame([], stream.schema)
+
+
+def heartbeats(spark: SparkSession, schema: StructType, at: datetime, time: str = "ts") -> DataFrame:
+    """One row that has a time and nothing else: it moves a stream's watermark on."""
+    fields = [StructField(f.name, f.dataType) for f in schema.fields]
+    return spark.createDataFrame(
+        [tuple(at if f.name == time else None for f in fields)], StructType(fields))
