@@ -5,13 +5,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from runlens.functions.distributions import keyed_uniform
 from runlens.session import broadcast_if_small, materialize
 
 EOS = "</s>"
 WORD = r"\S+"
+#: successors of one alias table, and sampling steps between written tables
+ALIAS_CELLS, STEPS_PER_TABLE = 1 << 16, 8
+_DIGITS = 9
+_UPTO = (Window.unboundedPreceding, Window.currentRow)
+_BEFORE = (Window.unboundedPreceding, -1)
 
 
 def words(text: Column) -> Column:
@@ -92,86 +97,151 @@ def continue_prompts(prompts: DataFrame, text: str, paths: DataFrame) -> DataFra
             .drop("_last"))
 
 
-def _cells(successors: Column) -> Column:
-    return F.pow(F.lit(2.0), F.ceil(F.log2(successors))).cast("long")
-
-
-def sampling_table(bigrams: DataFrame, temperature: float) -> DataFrame:
-    """Successors of each token with their CDF range, laid out for lookup.
+def alias_table(bigrams: DataFrame, temperature: float, most: int = ALIAS_CELLS) -> DataFrame:
+    """Successors of each token as alias tables: one row, and one comparison, for a draw.
 
     Probabilities are the softmax of log counts over the temperature. A token
-    with V successors gets at least V equal cells of [0, 1); each successor is
-    listed in every cell its range touches, which is under three rows per
-    successor, and a draw reads one cell. Sums run over lanes of successors
-    first, so a token with very many successors is not summed by one task.
-
-    Result: prev, cell, next, lo, hi and the cells of ``next`` itself.
+    with V successors has V cells of equal mass; a cell gives its own successor
+    below ``keep`` and the successor ``other`` above. Cells are filled by prefix sums:
+    successors lighter than a cell in one line, heavier ones in another, and
+    a light cell is topped up by the heavy successor whose surplus is reached there.
+
+    The successors of a token are dealt by hash into blocks of about ``most``, so
+    that no window below orders an unbounded group. A token of more than one block
+    has a table of its blocks, too, with their numbers as successors.
+
+    Result: prev, block, cell, keep, next, other (tokens; for a table of blocks,
+    null), n_next, n_other (cells of the table that a draw comes to next) and
+    next_block, other_block (number of that table). Block 0 is where a walk enters
+    a token; it is the table of blocks where there is more than one.
     """
     bigrams = bigrams.where(F.col("prev") != EOS)
-    top = bigrams.groupBy("prev").agg(
-        F.max("n").alias("_top"), _cells(F.count("*")).alias("_cells"))
+    tops = bigrams.groupBy("prev").agg(
+        F.max("n").alias("_top"), F.ceil(F.count("*") / most).cast("long").alias("_blocks"))
     weights = (
-        bigrams.join(top, "prev")
-        .withColumn("_w", F.pow(F.col("n") / F.col("_top"), F.lit(1.0 / temperature)))
-        # never null, so the join on it puts no hash into the scan's filter
-        .withColumn("_lane", F.coalesce(F.substring(F.md5("next"), 1, 2), F.lit("")))
-        .select("prev", "next", "_cells", "_w", "_lane"))
-    by_prev = Window.partitionBy("prev")
-    lanes = (
-        weights.groupBy("prev", "_lane")
-        .agg(F.sum("_w").alias("_lw"), F.max("next").alias("_end"))
-        .withColumn("_total", F.sum("_lw").over(by_prev))
-        .withColumn("_from", F.sum("_lw").over(by_prev.orderBy("_lane")) - F.col("_lw"))
-        .withColumn("_final", F.max("_lane").over(by_prev) == F.col("_lane"))
-        .drop("_lw"))
-    upto = F.col("_from") + F.sum("_w").over(
-        Window.partitionBy("prev", "_lane").orderBy("next"))
-    sizes = top.select(F.col("prev").alias("next"), F.col("_cells").alias("next_cells"))
-    ranges = (
-        weights.join(lanes, ["prev", "_lane"]).withColumn("_upto", upto)
-        .select("prev", "next", "_cells",
-                ((F.col("_upto") - F.col("_w")) / F.col("_total")).alias("lo"),
-                # rounding must not leave a gap below 1
-                F.when(F.col("_final") & (F.col("next") == F.col("_end")), F.lit(1.0))
-                .otherwise(F.col("_upto") / F.col("_total")).alias("hi"))
-        .join(sizes, "next", "left"))
-    last = F.col("_cells") - 1
-    return ranges.select(
-        "prev", "next", "lo", "hi", "next_cells", F.explode(F.sequence(
-            F.least(F.floor(F.col("lo") * F.col("_cells")), last),
-            F.least(F.floor(F.col("hi") * F.col("_cells")), last))).alias("cell"))
+        bigrams.join(tops, "prev")
+        .withColumn("w", F.pow(F.col("n") / F.col("_top"), F.lit(1.0 / temperature)))
+        .withColumn("block", F.when(F.col("_blocks") > 1, F.pmod(
+            F.xxhash64("next"), F.col("_blocks")) + 1).otherwise(F.lit(0).cast("long")))
+        .select("prev", "block", F.col("next").alias("item"), "w"))
+    weights = materialize(weights, "weights")
+    totals = weights.groupBy("prev", "block").agg(F.sum("w").alias("w"), F.count("*").alias("cells"))
+    split = totals.where("block > 0").select(
+        "prev", F.lit(0).cast("long").alias("block"), F.lit(None).cast("string").alias("item"), "w",
+        F.col("block").alias("to_block"), F.col("cells").alias("to_cells"))
+    # where a walk enters each token: its cells, or those of its table of blocks
+    entries = totals.groupBy("prev").agg(
+        F.when(F.max("block") > 0, F.count("*")).otherwise(F.max("cells")).alias("to_cells"))
+    words_ = weights.join(entries.withColumnRenamed("prev", "item"), "item", "left").select(
+        "prev", "block", "item", "w", F.lit(0).cast("long").alias("to_block"), "to_cells")
+    return _alias_cells(words_.unionByName(split))
+
+
+def _alias_cells(items: DataFrame) -> DataFrame:
+    table = Window.partitionBy("prev", "block")
+    line = Window.partitionBy("prev", "block", "heavy").orderBy("item", "to_block")
+    # descending in the place along the sums: what was passed lies beyond this row, and a
+    # light cell comes before the heavy one whose surplus ends just there
+    back = table.orderBy(F.desc("place"), "heavy", F.desc("item"), F.desc("to_block"))
+    ahead = table.orderBy("place", F.desc("heavy"), "item", "to_block")
+    successor = F.struct("item", "to_block", "to_cells")
+    # rounded, so that neither the order of a sum nor a tie in it depends on partitioning
+    scaled = (
+        items.withColumn("share", F.round(
+            F.col("w") * F.count("*").over(table) / F.sum("w").over(table), _DIGITS))
+        .withColumn("heavy", F.col("share") >= 1)
+        .withColumn("cell", (F.row_number().over(table.orderBy("heavy", "item", "to_block")) - 1).cast("long"))
+        .withColumn("gap", F.abs(F.col("share") - 1))
+        .withColumn("upto", F.round(F.sum("gap").over(line.rowsBetween(*_UPTO)), _DIGITS))
+        .withColumn("place", F.when(F.col("heavy"), F.col("upto")).otherwise(F.round(F.coalesce(
+            F.sum("gap").over(line.rowsBetween(*_BEFORE)), F.lit(0.0)), _DIGITS))))
+    filled = (
+        scaled.withColumn("_other", F.last(F.when(F.col("heavy"), successor), ignorenulls=True)
+                          .over(back.rowsBetween(*_BEFORE)))
+        .withColumn("_drawn", F.coalesce(F.max(F.when(~F.col("heavy"), F.col("upto"))).over(
+            ahead.rowsBetween(*_BEFORE)), F.lit(0.0)))
+        .withColumn("keep", F.when(F.col("_other").isNull(), F.lit(1.0))
+                    .when(F.col("heavy"), F.least(F.lit(1.0), 1 + F.col("upto") - F.col("_drawn")))
+                    .otherwise(F.col("share"))))
+    other = F.coalesce("_other", successor)
+    return filled.select(
+        "prev", "block", "cell", "keep", F.col("item").alias("next"), other["item"].alias("other"),
+        F.col("to_block").alias("next_block"), other["to_block"].alias("other_block"),
+        F.col("to_cells").alias("n_next"), other["to_cells"].alias("n_other"))
+
+
+def _steps_sql(key: str, seed: int, steps: int, split: bool) -> str:
+    """The next ``steps`` tokens of every row of {state}, as one statement.
+
+    One text for all rounds, so a round is analysed once and its code compiled
+    once: the number of the step is a column. A row that stands at no token, for it
+    has ended, finds nothing and stays as it is; a place of its own keeps such rows
+    apart.
+    """
+    parts, before = [], "{state}"
+
+    def draw(tag: str, table: str, moves: int) -> None:
+        nonlocal before
+        name = f"s{len(parts)}"
+        u = (f"(_cells * (CAST(conv(substr(md5(concat('{seed}:{tag}', _step, ':', `{key}`)), 1, 8), 16, 10)"
+             " AS DOUBLE) / 4294967296D))")
+        cell = f"coalesce(least(CAST(floor({u}) AS BIGINT), _cells - 1), xxhash64(`{key}`))"
+        parts.append(f"""
+        {name}c AS (SELECT *, {cell} AS _cell, {u} - {cell} AS _u FROM {before}),
+        {name} AS (
+          SELECT /*+ MERGE(t) */ `{key}`, _step + {moves} AS _step,
+                 coalesce(IF(_u < keep, next, other), _at) AS _at,
+                 IF(keep IS NULL, _block, IF(_u < keep, next_block, other_block)) AS _block,
+                 IF(keep IS NULL, _cells, IF(_u < keep, n_next, n_other)) AS _cells,
+                 IF(next IS NULL, path, concat(path, array(IF(_u < keep, next, other)))) AS path
+          FROM {name}c LEFT JOIN {table} t ON _at = prev AND _block = block AND _cell = cell)""")
+        before = name
+
+    for _ in range(steps):
+        if split:
+            draw("block", "{blocks}", 0)
+        draw("step", "{table}", 1)
+    return f"WITH {','.join(parts)} SELECT * FROM {before}"
 
 
 def sample_continuations(prompts: DataFrame, key: str, text: str, bigrams: DataFrame,
-                         max_new_tokens: int, temperature: float, seed: int) -> DataFrame:
+                         max_new_tokens: int, temperature: float, seed: int,
+                         steps: int = STEPS_PER_TABLE, most: int = ALIAS_CELLS) -> DataFrame:
     """(key, path): sampled continuation of each prompt's last word.
 
-    All prompts move one token per step; those that reach EOS leave the loop.
-    The uniform of a step depends on seed, step and key only. The lookup key
-    includes the drawn cell, which spreads prompts that stand at one frequent
-    token. The state is written after each step, so lineage does not grow and
-    the planner sees its size: while it is small it is sent to the table, and
-    the table is not shuffled. A prompt with an unknown last word has no row.
+    All prompts move one token per step until they reach EOS or the cap. The
+    uniform of a step depends on seed, step and key only, so the result can be
+    replayed. The alias tables are laid out once by what a draw looks up and kept
+    in memory or on local disks as far as they fit; a lost part is read again
+    from the written table. So a step moves the prompts alone, and of a frequent
+    token each draw's own cell is looked up, which spreads the prompts that stand
+    at it. The state is written every ``steps`` steps, which bounds the plan.
+    A token with more than ``most`` successors takes two draws, of a block and of a
+    successor in it. A prompt with an unknown last word has no row.
     """
-    counts = materialize(bigrams, "bigrams")
-    table = materialize(sampling_table(counts, temperature), "sampling")
-    starts = counts.groupBy(F.col("prev").alias("_at")).agg(
-        _cells(F.count("*")).alias("_cells"))
-    active = (prompts.select(key, _last_word(text).alias("_at")).join(starts, "_at")
-              .withColumn("path", F.array().cast("array<string>")))
-    hit = ((F.col("_at") == F.col("prev")) & (F.col("_cell") == F.col("cell"))
-           & (F.col("_u") >= F.col("lo")) & (F.col("_u") < F.col("hi")))
-    done = []
-    cap = max(1, max_new_tokens)
-    for number in range(cap):
-        drawn = active.withColumn(
-            "_u", keyed_uniform(seed, f"step{number}", F.col(key))
-        ).withColumn("_cell", F.floor(F.col("_u") * F.col("_cells")))
-        moved = materialize(drawn.join(table, hit).select(
-            key, F.col("next").alias("_at"), F.col("next_cells").alias("_cells"),
-            F.concat("path", F.array("next")).alias("path")), "walk")
-        done.append(moved if number + 1 == cap else moved.where(F.col("_at") == EOS))
+    spark = prompts.sparkSession
+    table = materialize(alias_table(bigrams, temperature, most), "alias")
+    split = table.where("next is null and next_block > 0").limit(1).count() > 0
+    lookup = ["prev", "block", "cell"]
+    laid = table.repartition(*lookup).sortWithinPartitions(*lookup).persist(
+        StorageLevel.MEMORY_AND_DISK)
+    starts = table.where("block = 0").groupBy(F.col("prev").alias("_at")).agg(
+        F.count("*").alias("_cells"))
+    active = materialize(prompts.select(F.col(key), _last_word(text).alias("_at")).join(starts, "_at")
+                         .withColumn("_block", F.lit(0).cast("long")).withColumn("_step", F.lit(0))
+                         .withColumn("path", F.array().cast("array<string>")), "walk")
+    # rows at a token of one block have no block to draw
+    blocks = table.where("next is null and next_block > 0")
+    done, cap = [], max(1, max_new_tokens)
+    # a step of two draws counts twice: the analyser passes a plan as often as it is deep
+    steps = max(1, steps // 2) if split else steps
+    for first in range(0, cap, steps):
+        text_ = _steps_sql(key, seed, min(steps, cap - first), split)
+        moved = materialize(spark.sql(text_, state=active, table=laid, **(
+            {"blocks": blocks} if split else {})), "walk")
+        done.append(moved if first + steps >= cap else moved.where(F.col("_at") == EOS))
         active = moved.where(F.col("_at") != EOS)
+    laid.unpersist()
     return reduce(DataFrame.unionByName, done).select(key, "path")
 
 

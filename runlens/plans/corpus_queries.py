@@ -9,8 +9,6 @@ from runlens.plans.registry import query
 from runlens.schemas import MAX_NEW_TOKENS, SEED
 from runlens.sources.tables import text_table
 
-# sampling takes one job a token, so its query stops early
-SAMPLE_TOKENS = 8
 SAMPLE_TEMPERATURE = 0.6
 
 _BIGRAMS = r"""
@@ -47,33 +45,47 @@ def ngram_continue(spark, d):
 @query("ngram_sample", "WITH RECURSIVE " + _BIGRAMS % ("", "", "") + f""",
 weights AS (SELECT *, pow(n / max(n) OVER (PARTITION BY prev), 1 / {SAMPLE_TEMPERATURE}) AS w
             FROM bigrams WHERE prev <> '</s>'),
-sums AS (SELECT *, sum(w) OVER (PARTITION BY prev ORDER BY substr(md5(next), 1, 2), next
-                                ROWS UNBOUNDED PRECEDING) AS upto,
-                sum(w) OVER (PARTITION BY prev) AS total,
-                row_number() OVER (PARTITION BY prev
-                                   ORDER BY substr(md5(next), 1, 2) DESC, next DESC) AS back
-         FROM weights),
-ranges AS (SELECT prev, next, (upto - w) / total AS lo,
-                  CASE WHEN back = 1 THEN 1 ELSE upto / total END AS hi FROM sums),
+shares AS (SELECT prev, next, round(w * count(*) OVER p / sum(w) OVER p, 9) AS share
+           FROM weights WINDOW p AS (PARTITION BY prev)),
+sums AS (SELECT *, share >= 1 AS heavy, abs(share - 1) AS gap FROM shares),
+lines AS (
+  SELECT *, row_number() OVER (PARTITION BY prev ORDER BY heavy, next) - 1 AS cell,
+         round(sum(gap) OVER (w ROWS UNBOUNDED PRECEDING), 9) AS upto,
+         round(coalesce(sum(gap) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 9) AS before
+  FROM sums WINDOW w AS (PARTITION BY prev, heavy ORDER BY next)),
+placed AS (SELECT *, CASE WHEN heavy THEN upto ELSE before END AS place FROM lines),
+filled AS (
+  SELECT *, last_value(CASE WHEN heavy THEN next END IGNORE NULLS) OVER (
+              PARTITION BY prev ORDER BY place DESC, heavy, next DESC
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS other,
+         coalesce(max(CASE WHEN NOT heavy THEN upto END) OVER (
+              PARTITION BY prev ORDER BY place, heavy DESC, next
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS drawn
+  FROM placed),
+cells AS (
+  SELECT prev, cell, next, coalesce(other, next) AS other, count(*) OVER (PARTITION BY prev) AS size,
+         CASE WHEN other IS NULL THEN 1 WHEN heavy THEN least(1, 1 + upto - drawn) ELSE share END AS keep
+  FROM filled),
 prompts AS (SELECT conv_id || ':' || turn AS id,
                    nullif(regexp_extract(text, '(\\S+)\\s*$', 1), '') AS last
             FROM conversations WHERE role = 'user'),
 walk(id, step, token) AS (
   SELECT id, 0, last FROM prompts WHERE last IN (SELECT prev FROM bigrams)
   UNION ALL
-  SELECT w.id, w.step + 1, r.next FROM walk w JOIN ranges r ON r.prev = w.token
-   AND (CAST('0x' || substr(md5('{SEED}:step' || w.step || ':' || w.id), 1, 8) AS BIGINT)
-        / 4294967296.0::DOUBLE) >= r.lo
-   AND (CAST('0x' || substr(md5('{SEED}:step' || w.step || ':' || w.id), 1, 8) AS BIGINT)
-        / 4294967296.0::DOUBLE) < r.hi
-  WHERE w.step < {SAMPLE_TOKENS} AND w.token <> '</s>')
+  SELECT d.id, d.step + 1, CASE WHEN d.u * size - cell < keep THEN c.next ELSE c.other END
+  FROM (SELECT w.id, w.step, w.token, size AS n,
+               (CAST('0x' || substr(md5('{SEED}:step' || w.step || ':' || w.id), 1, 8) AS BIGINT)
+                / 4294967296.0::DOUBLE) AS u
+        FROM walk w JOIN (SELECT DISTINCT prev, size FROM cells) s ON s.prev = w.token
+        WHERE w.step < {MAX_NEW_TOKENS} AND w.token <> '</s>') d
+  JOIN cells c ON c.prev = d.token AND c.cell = least(CAST(floor(d.u * d.n) AS BIGINT), d.n - 1))
 SELECT id, string_agg(token, ' ' ORDER BY step) AS continuation, count(*) AS n
 FROM walk WHERE step > 0 GROUP BY id""")
 def ngram_sample(spark, d):
     bigrams = ngram.bigram_counts(text_table(spark, d, "documents"), "text")
     turns = text_table(spark, d, "conversations").where(F.col("role") == "user").select(
         F.concat_ws(":", "conv_id", "turn").alias("id"), "text")
-    walked = ngram.sample_continuations(turns, "id", "text", bigrams, SAMPLE_TOKENS,
+    walked = ngram.sample_continuations(turns, "id", "text", bigrams, MAX_NEW_TOKENS,
                                         SAMPLE_TEMPERATURE, SEED)
     return walked.select("id", F.array_join("path", " ").alias("continuation"),
                          F.size("path").cast("long").alias("n"))

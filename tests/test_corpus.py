@@ -51,29 +51,53 @@ def test_continuation_of_prompts(spark):
     assert got == {0: ["sat", "</s>"], 1: None, 2: None}
 
 
-def test_sampling_table_covers_the_unit_interval(spark):
+@pytest.mark.parametrize("most", [1 << 16, 3])
+def test_alias_tables_hold_the_softmax(spark, most):
+    """The mass of every successor, over its own cells and those it tops up, through blocks too."""
     table = bigrams(t for _, _, t in TEXTS)
-    counts = ngram.bigram_counts(texts(spark), "text")
-    rows = ngram.sampling_table(counts, 0.5).collect()
-    ranges = defaultdict(set)
+    table["many"] = Counter({f"s{i}": 1 + i % 7 * (i % 5) for i in range(40)})
+    table["tie"] = Counter({"a": 3, "b": 3, "c": 1, "d": 1})
+    counts = spark.createDataFrame(
+        [(p, t, n) for p, c in table.items() for t, n in c.items()], "prev string, next string, n long")
+    rows = ngram.alias_table(counts, 0.5, most).collect()
+    cells = defaultdict(list)
+    for r in rows:
+        cells[r.prev, r.block].append(r)
+        assert 0 <= r.keep <= 1
+
+    def masses(prev, block):
+        own = cells[prev, block]
+        assert sorted(r.cell for r in own) == list(range(len(own)))
+        out = Counter()
+        for r in own:
+            for share, token, to in ((r.keep, r.next, r.next_block), (1 - r.keep, r.other, r.other_block)):
+                if token is None:
+                    for inner, m in masses(prev, to).items():
+                        out[inner] += m * share / len(own)
+                else:
+                    out[token] += share / len(own)
+        return out
+    assert {p for p, _ in cells} == set(table)
+    assert any(b for _, b in cells) == (most == 3)
+    for prev, c in table.items():
+        weight = {t: n ** 2 for t, n in c.items()}
+        got = masses(prev, 0)
+        assert {t for t, m in got.items() if m > 1e-8} == set(weight)
+        for token, w in weight.items():
+            assert got[token] == pytest.approx(w / sum(weight.values()), abs=1e-7)
+    # a walk comes to the table that its token has
     for r in rows:
-        ranges[r.prev].add((r.lo, r.hi, r.next))
-    assert set(ranges) == set(table)
-    for prev, entries in ranges.items():
-        ordered = sorted(entries)
-        assert ordered[0][0] == 0.0 and ordered[-1][1] == 1.0
-        assert all(abs(a[1] - b[0]) < 1e-12 for a, b in zip(ordered, ordered[1:]))
-        weight = {t: n ** 2 for t, n in table[prev].items()}
-        for lo, hi, token in ordered:
-            assert hi - lo == pytest.approx(weight[token] / sum(weight.values()))
-        # a draw reads one cell, and all cells together stay short
-        assert sum(r.prev == prev for r in rows) <= 4 * len(entries)
-
-
-def test_sampling_frequencies_and_replay(spark):
+        if r.next is not None and r.next in table:
+            assert r.n_next == len(cells[r.next, 0])
+        elif r.next is None:
+            assert r.n_next == len(cells[r.prev, r.next_block])
+
+
+@pytest.mark.parametrize("most", [1 << 16, 2])
+def test_sampling_frequencies_and_replay(spark, most):
     counts = ngram.bigram_counts(texts(spark), "text")
     prompts = spark.range(4_000).select(F.col("id").alias("k"), F.lit("on the").alias("text"))
-    walked = ngram.sample_continuations(prompts, "k", "text", counts, 3, 1.0, 42)
+    walked = ngram.sample_continuations(prompts, "k", "text", counts, 3, 1.0, 42, most=most)
     rows = {r.k: list(r.path) for r in walked.collect()}
     assert len(rows) == 4_000
     c = bigrams(t for _, _, t in TEXTS)
@@ -85,7 +109,7 @@ def test_sampling_frequencies_and_replay(spark):
         assert ngram.EOS not in path[:-1]
         assert all(b in c[a] for a, b in zip(["the", *path], path))
     again = {r.k: list(r.path) for r in ngram.sample_continuations(
-        prompts.repartition(5), "k", "text", counts, 3, 1.0, 42).collect()}
+        prompts.repartition(5), "k", "text", counts, 3, 1.0, 42, steps=1, most=most).collect()}
     assert again == rows
 
 
