@@ -2,9 +2,10 @@
 
 A window ordered by value sorts every row of a group in one task, so a group
 holding a third of the data would be done by one core. Here the rows are first
-reduced to (group, value, count), values fall into fixed logarithmic cells, and
-ranks come from running sums over cells plus running sums inside one cell.
-Both are exact: cells are monotone in the value and results are whole.
+reduced to (group, value, count) and cut into ranges of equal size over group
+and value, at splitters that Spark samples from the rows themselves, so the
+ranges are even however the values lie. Ranks come from running sums over
+ranges, a few rows a group, plus running sums inside one range.
 """
 
 from __future__ import annotations
@@ -13,27 +14,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# cells per doubling of the value; a cell spans at most 0.07 % of its value
-CELLS_PER_OCTAVE = 1024
-# above the log2 range of doubles, so the sign decides the order first
-_OFFSET = 1100 * CELLS_PER_OCTAVE
-
-
-# beyond every cell of a finite value
-_END = 1 << 62
-
-
-def value_cell(value: Column) -> Column:
-    """A cell number that never decreases as the value grows (NaN counts as largest)."""
-    v = value.cast("double")
-    infinite = F.abs(v) == float("inf")
-    finite = F.abs(F.when((v != 0) & ~infinite & ~F.isnan(v), v))
-    log_cell = F.floor(F.log2(finite) * CELLS_PER_OCTAVE) + _OFFSET
-    cell = (F.when(F.isnan(v) | (infinite & (v > 0)), F.lit(_END))
-            .when(infinite, F.lit(-_END))
-            .when(v > 0, log_cell).when(v < 0, -log_cell))
-    # never null, so joins on the cell add no null test to every scanned row
-    return F.coalesce(cell, F.lit(0)).cast("long")
+from runlens.functions.metrics import interpolated
+from runlens.session import broadcast_if_small, materialize
 
 
 def _value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -43,28 +25,36 @@ def _value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return (
         df.where(F.col(value).isNotNull())
         .groupBy(key.alias("_k"), F.col(value).alias("_v"))
-        .agg(F.count("*").alias("_c"))
-        .withColumn("_cell", value_cell(F.col("_v")))
-    )
+        .agg(F.count("*").alias("_c")))
+
+
+def _ranges(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Value counts with the number of their range; written, so that the borders stay."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = _value_counts(df, keys, value).repartitionByRange(n, "_k", "_v")
+    return materialize(counts.withColumn("_part", F.spark_partition_id()), "ranges")
 
 
 def _unpacked(keys: Sequence[str]) -> list[Column]:
     return [F.col("_k")[k].alias(k) for k in keys]
 
 
-def _cell_starts(counts: DataFrame) -> DataFrame:
-    # number of cells per group is bounded by the double range, not by the data
+def _starts(ranges: DataFrame) -> DataFrame:
+    """For each group and range: rows of the group, before the range and up to its end.
+
+    There are as many rows as groups and ranges together, and as ranges in a group.
+    """
     group = Window.partitionBy("_k")
     return (
-        counts.groupBy("_k", "_cell").agg(F.sum("_c").alias("_cells"))
-        .withColumn("_upto", F.sum("_cells").over(group.orderBy("_cell")))
-        .withColumn("_n", F.sum("_cells").over(group))
-        .withColumn("_before", F.col("_upto") - F.col("_cells"))
-    )
+        ranges.groupBy("_k", "_part").agg(F.sum("_c").alias("_rows"))
+        .withColumn("_upto", F.sum("_rows").over(group.orderBy("_part")))
+        .withColumn("_n", F.sum("_rows").over(group))
+        .withColumn("_before", F.col("_upto") - F.col("_rows"))
+        .drop("_rows"))
 
 
-def _upto_in_cell() -> Column:
-    return F.sum("_c").over(Window.partitionBy("_k", "_cell").orderBy("_v"))
+def _upto_in_range() -> Column:
+    return F.sum("_c").over(Window.partitionBy("_part", "_k").orderBy("_v"))
 
 
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str,
@@ -72,23 +62,23 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str,
     """Linear-interpolated percentiles of ``value`` for each group.
 
     Result: ``keys``, ``n`` and one column per entry of ``probs``. Only the
-    few cells that hold a wanted rank are ranked value by value.
+    few ranges that hold a wanted rank are ranked value by value.
     """
-    counts = _value_counts(df, keys, value)
+    ranges = _ranges(df, keys, value)
     pos = {name: F.lit(float(q)) * (F.col("_n") - 1) for name, q in probs.items()}
     ranks = F.array_distinct(F.array(
         *[F.floor(p).cast("long") for p in pos.values()],
         *[F.ceil(p).cast("long") for p in pos.values()]))
     wanted = (
-        _cell_starts(counts)
+        _starts(ranges)
         .withColumn("_ranks", F.filter(ranks, lambda r: (r >= F.col("_before"))
                                        & (r < F.col("_upto"))))
         .where(F.size("_ranks") > 0)
-        .select("_k", "_cell", "_before", "_n", "_ranks")
+        .select("_k", "_part", "_before", "_n", "_ranks")
     )
     hits = (
-        counts.join(wanted, ["_k", "_cell"])
-        .withColumn("_hi", F.col("_before") + _upto_in_cell())
+        ranges.join(broadcast_if_small(wanted), ["_k", "_part"])
+        .withColumn("_hi", F.col("_before") + _upto_in_range())
         .withColumn("_lo", F.col("_hi") - F.col("_c"))
         .select("_k", "_n", "_v", F.explode(F.filter(
             "_ranks", lambda r: (r >= F.col("_lo")) & (r < F.col("_hi")))).alias("_r"))
@@ -97,26 +87,29 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str,
     def at(rank: Column) -> Column:
         return F.max(F.when(F.col("_r") == rank, F.col("_v")))
 
-    def lerp(p: Column) -> Column:
-        lo, hi = at(F.floor(p).cast("long")), at(F.ceil(p).cast("long"))
-        return lo + (hi - lo) * F.max(p - F.floor(p))
+    def between(p: Column) -> Column:
+        return interpolated(at(F.floor(p).cast("long")), at(F.ceil(p).cast("long")),
+                            F.max(p - F.floor(p)))
 
     # at most two rows per percentile and group reach this aggregate
     return (
         hits.groupBy("_k")
-        .agg(F.max("_n").alias("n"), *[lerp(p).alias(k) for k, p in pos.items()])
+        .agg(F.max("_n").alias("n"), *[between(p).alias(k) for k, p in pos.items()])
         .select(*_unpacked(keys), "n", *pos))
 
 
 def value_distribution(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Empirical CDF: ``keys``, value, ``n`` copies and ``cume_dist``."""
-    counts = _value_counts(df, keys, value)
-    starts = _cell_starts(counts).select("_k", "_cell", "_before", "_n")
+    """Empirical CDF: ``keys``, value, ``n`` copies and ``cume_dist``.
+
+    Every range is one task, which has an even share of all values.
+    """
+    ranges = _ranges(df, keys, value)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
-        counts.join(starts, ["_k", "_cell"])
-        .withColumn("_upto", F.col("_before") + _upto_in_cell())
+        ranges.repartitionByRange(n, "_part").withColumn("_own", _upto_in_range())
+        .join(broadcast_if_small(_starts(ranges)), ["_k", "_part"])
         .select(*_unpacked(keys), F.col("_v").alias(value), F.col("_c").alias("n"),
-                (F.col("_upto") / F.col("_n")).alias("cume_dist"))
+                ((F.col("_before") + F.col("_own")) / F.col("_n")).alias("cume_dist"))
     )
 
 

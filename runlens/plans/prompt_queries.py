@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from runlens.operators import matrix as mx, prompts as pr
+from runlens.operators import matrix as mx, prompts as pr, sampling
 from runlens.plans import views
 from runlens.plans.registry import query
-from runlens.schemas import (DOMAINS, DRAFT_LENGTHS, MODEL_PAIRS, PROMPTS_PER_DOMAIN,
+from runlens.schemas import (DOMAINS, DRAFT_LENGTHS, MODEL_PAIRS, PROMPTS_PER_DOMAIN, SEED,
                              TEMPERATURES, TINY_PROMPTS_PER_DOMAIN)
 from runlens.session import materialize, scratch_path
 from runlens.sources.model_listing import flatten_listing, read_listing
@@ -179,6 +179,21 @@ def length_strata(spark, d):
         F.max("token_count").alias("max_tokens"))
 
 
+@query("stratified_sample", rf"""
+WITH counted AS (
+  SELECT doc_id, lang, CAST(least(len(regexp_extract_all(text, '\s*\S+')) // 256, 7) AS BIGINT) AS stratum
+  FROM documents)
+SELECT doc_id, lang, stratum FROM counted QUALIFY row_number() OVER (
+  PARTITION BY lang, stratum
+  ORDER BY CAST('0x' || substr(md5('{SEED}:' || doc_id), 1, 15) AS BIGINT), doc_id) <= 10 + 5 * stratum""")
+def stratified_sample(spark, d):
+    """Documents by language and length, longer strata with larger quotas."""
+    docs = text_table(spark, d, "documents").select(
+        "doc_id", "lang", pr.tx.token_count(F.col("text")).alias("token_count"))
+    strata = materialize(pr.length_strata(docs, 256, 8).drop("token_count"), "strata")
+    return sampling.stratified_sample(strata, ["lang", "stratum"], "doc_id", 10 + 5 * F.col("stratum"), SEED)
+
+
 # --- matrices and the registry ----------------------------------------------
 
 _TEMPS = ", ".join(f"{t}::DOUBLE" for t in TEMPERATURES)

@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from runlens.functions import config as cf, sequences as seq
 from runlens.functions.metrics import summary_line, with_metrics
-from runlens.operators import reports as rp, results as res, verification as vf
+from runlens.operators import reports as rp, results as res, sketches as sk, verification as vf
 from runlens.operators.indexing import with_group_index
 from runlens.operators.spans import phase_map
 from runlens.plans import views
 from runlens.plans.registry import query
 from runlens.schemas import CONFIG, MAX_NEW_TOKENS, RECORD, RESULT
-from runlens.session import scratch_path
+from runlens.session import materialize, scratch_path
 from runlens.sources.result_files import read_records, write_records
 
 _R = "WITH " + views.RECORDS_SQL
@@ -393,6 +393,23 @@ def latency_pooled_approx(spark, d):
         _r9("p50", "p95", "p99"))
 
 
+@query("latency_sketch", _STEPS.replace("value / 1000 AS latency_s", "value / 1000 AS latency_s, run_idx") + """
+SELECT model_pair_name, domain, K, CAST(count(*) AS BIGINT) AS n, count(DISTINCT run_idx) AS n_days,
+       TRUE AS p50_holds, TRUE AS p95_holds, TRUE AS p99_holds
+FROM steps GROUP BY ALL""")
+def latency_sketch(spark, d):
+    """Daily sketches merged over all days; each answer's true rank must lie within the bound."""
+    steps = views.with_condition(views.rounds(spark, d)).select(
+        *_GROUP[:2], F.coalesce("K", F.lit(0)).alias("K"), "run_idx",
+        (F.col("value") / 1000).alias("latency_s"))
+    daily = materialize(sk.daily_sketches(steps, _GROUP, F.col("run_idx"), "latency_s"), "sketches")
+    # the answers are written: sketches of another run could differ within the bound
+    answers = materialize(sk.sketch_percentiles(sk.merged_sketches(daily, _GROUP), _GROUP, rp.TAIL), "answers")
+    checked = sk.with_true_ranks(answers, steps, _GROUP, "latency_s", rp.TAIL)
+    return checked.select(*_GROUP, "n", "n_days", *[
+        (sk.rank_error(name, q) <= sk.RANK_ERROR).alias(f"{name}_holds") for name, q in rp.TAIL.items()])
+
+
 @query("latency_cdf", _STEPS + """
 SELECT DISTINCT model_pair_name, domain, K, round(latency_s, 6) AS latency_s,
        round(cume_dist() OVER (PARTITION BY model_pair_name, domain, K ORDER BY latency_s), 6)

@@ -63,14 +63,37 @@ def test_approximate_percentiles_stay_in_their_rank_bound(spark):
             assert lo - n / accuracy - 1 <= q * n <= hi + n / accuracy + 1
 
 
-def test_cells_never_decrease(spark):
-    rng = np.random.default_rng(3)
-    values = sorted({0.0, float("inf"), float("-inf"), 5e-324, 1.7e308, -1.7e308, *rng.normal(0, 1e3, 3_000).tolist(),
-                     *(2.0 ** np.arange(-30, 30)).tolist()})
-    df = spark.createDataFrame([(v,) for v in values], "v double")
-    cells = [r.c for r in df.select("v", ranked.value_cell(F.col("v")).alias("c"))
-             .orderBy("v").collect()]
-    assert cells == sorted(cells)
+def test_percentiles_are_interpolated_as_numpy_does(spark):
+    """Two values on a tie of their printed mean; the nearer end decides the last digit."""
+    df = spark.createDataFrame([("a", 0.20194), ("a", 0.0070599999999999994), ("b", 0.06301), ("b", 0.03281)],
+                               "g string, v double")
+    got = {r.g: r for r in ranked.exact_percentiles(df, ["g"], "v", TAIL).collect()}
+    for g, values in (("a", [0.20194, 0.0070599999999999994]), ("b", [0.06301, 0.03281])):
+        for name, q in TAIL.items():
+            assert got[g][name] == np.percentile(values, 100 * q)
+
+
+def test_values_that_lie_close_together_are_split_evenly(spark):
+    """One group holds most rows, and all its values lie within 0.05 %."""
+    rng = np.random.default_rng(1)
+    values = 100 + rng.random(40_000) * 0.04
+    df = spark.createDataFrame([("hot", float(v)) for v in values] + [("few", 1.0)], "g string, v double")
+    sizes = [r["count"] for r in ranked._ranges(df, ["g"], "v").groupBy("_part").count().collect()]
+    assert len(sizes) == 8 and max(sizes) <= 2 * sum(sizes) / len(sizes)
+    got = {r.g: r for r in ranked.exact_percentiles(df, ["g"], "v", TAIL).collect()}
+    assert [got["hot"][n] for n in TAIL] == [np.quantile(values, q) for q in TAIL.values()]
+    cdf = ranked.value_distribution(df, ["g"], "v")
+    assert {r.v: r.cume_dist for r in cdf.where("g = 'hot'").collect()} == {
+        float(v): (i + 1) / 40_000 for i, v in enumerate(np.sort(values))}
+    # a range is one task of the ranking, dealt by its number and not by a hash
+    plan = cdf._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning(_part" in plan and "hashpartitioning(_part" not in plan
+
+
+def test_infinite_values_have_ranks(spark):
+    df = spark.createDataFrame([(v,) for v in (float("inf"), float("-inf"), 0.0, -0.0, 2.0)], "v double")
+    rows = {r.v: (r.n, r.cume_dist) for r in ranked.value_distribution(df, [], "v").collect()}
+    assert rows == {float("-inf"): (1, 0.2), 0.0: (2, 0.6), 2.0: (1, 0.8), float("inf"): (1, 1.0)}
 
 
 def test_one_group_and_whole_numbers(spark):
