@@ -30,33 +30,33 @@ def truncate_tokens(text: Column, n: int) -> Column:
     return F.regexp_extract(text, rf"^(?:\s*+\S++){{0,{n}}}+", 0)
 
 
-def encode_udf(tokenizer_factory: Callable[[], object]):
-    """Vectorised ``text -> array<int>`` for a tokenizer with ``encode``.
+def count_udf(tokenizer_factory: Callable[[], object]):
+    """Vectorised ``text -> number of tokens`` for a tokenizer with ``encode``.
 
     ``tokenizer_factory`` runs once per Python worker; rows reach it in Arrow
-    batches.
+    batches, and only the numbers come back.
     """
     cache: dict[str, object] = {}
 
-    @F.pandas_udf(ArrayType(IntegerType()))
-    def encode(texts: pd.Series) -> pd.Series:
+    @F.pandas_udf("long")
+    def count(texts: pd.Series) -> pd.Series:
         if "tok" not in cache:
             cache["tok"] = tokenizer_factory()
         tok = cache["tok"]
-        return texts.map(lambda t: None if t is None else list(tok.encode(t)))
+        return texts.map(lambda t: None if t is None else len(tok.encode(t))).astype("Int64")
 
-    return encode
+    return count
 
 
-def decode_udf(tokenizer_factory: Callable[[], object]):
-    """Vectorised ``array<int> -> text`` for a tokenizer with ``decode``."""
+def truncate_udf(tokenizer_factory: Callable[[], object], n: int):
+    """Vectorised ``text -> text of its first n tokens``, in one trip to the worker."""
     cache: dict[str, object] = {}
 
     @F.pandas_udf("string")
-    def decode(ids: pd.Series) -> pd.Series:
+    def truncate(texts: pd.Series) -> pd.Series:
         if "tok" not in cache:
             cache["tok"] = tokenizer_factory()
         tok = cache["tok"]
-        return ids.map(lambda v: None if v is None else tok.decode(list(v)))
+        return texts.map(lambda t: None if t is None else tok.decode(list(tok.encode(t)[:n])))
 
-    return decode
+    return truncate

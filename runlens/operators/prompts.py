@@ -33,10 +33,8 @@ class Tokenizer:
 
 def custom_tokenizer(factory: Callable[[], object]) -> Tokenizer:
     """Use the caller's object with ``encode`` and ``decode``."""
-    encode, decode = tx.encode_udf(factory), tx.decode_udf(factory)
-    return Tokenizer(
-        count=lambda t: F.size(encode(t)).cast("long"),
-        truncate=lambda t, n: decode(F.slice(encode(t), 1, n)))
+    return Tokenizer(count=tx.count_udf(factory),
+                     truncate=lambda t, n: tx.truncate_udf(factory, n)(t))
 
 
 def prompt_id(domain: Column | str, idx: Column) -> Column:

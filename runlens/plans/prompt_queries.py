@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import functions as F
 
-from runlens.operators import matrix as mx, prompts as pr, sampling
+from runlens.operators import matrix as mx, prompts as pr, sampling, token_rows as tr
 from runlens.plans import views
 from runlens.plans.registry import query
 from runlens.schemas import (DOMAINS, DRAFT_LENGTHS, MODEL_PAIRS, PROMPTS_PER_DOMAIN, SEED,
                              TEMPERATURES, TINY_PROMPTS_PER_DOMAIN)
 from runlens.session import materialize, scratch_path
 from runlens.sources.model_listing import flatten_listing, read_listing
+from runlens.sources import result_store as rs
+from runlens.sources.json_array import load_prompt_arrays, save_prompt_arrays
 from runlens.sources.prompt_files import load_prompts, save_prompts
 from runlens.sources.registry import join_registry, unknown_pairs
 from runlens.sources.tables import table, text_table
@@ -79,6 +84,14 @@ def source_fallback(spark, d):
     return pr.with_fallback(primary, bank)
 
 
+@query("prompts_array", f"{_P} SELECT {_ALL} FROM prompts")
+def prompts_array(spark, d):
+    """All prompts as one JSON array, read again in ranges of bytes."""
+    path = scratch_path(spark, "prompt-array")
+    save_prompt_arrays(views.prompts(spark, d).coalesce(1), path)
+    return _digest(load_prompt_arrays(spark, path, 1 << 20))
+
+
 @query("prompts_by_domain", f"{_P} SELECT {_ALL} FROM prompts WHERE domain = 'conversation'")
 def prompts_by_domain(spark, d):
     path = scratch_path(spark, "prompts-parquet")
@@ -166,6 +179,46 @@ def token_counts_udf(spark, d):
         "doc_id", tok.count(F.col("text")).alias("token_count"))
 
 
+@query("token_rows", r"""
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '\S+')) AS word,
+                  unnest(range(len(regexp_extract_all(text, '\S+')))) AS position FROM documents)
+SELECT doc_id, count(*) AS n, CAST(sum(len(word)) AS BIGINT) AS ids,
+       CAST(sum(len(word) * (position % 7 + 1)) AS BIGINT) AS placed_ids FROM w GROUP BY doc_id""")
+def token_rows(spark, d):
+    """A tokenizer that numbers words by their length, as rows."""
+    def factory():
+        class LengthTokenizer:
+            def encode(self, text):
+                return [len(w) for w in re.findall(r"[^ \t-\r]+", text)]
+
+        return LengthTokenizer()
+
+    rows = tr.token_rows(text_table(spark, d, "documents"), ["doc_id"], "text", factory)
+    return rows.groupBy("doc_id").agg(
+        F.count("*").alias("n"), F.sum("token_id").alias("ids"),
+        F.sum(F.col("token_id") * (F.col("position") % 7 + 1)).alias("placed_ids"))
+
+
+@query("token_cut", r"""
+WITH w AS (SELECT doc_id, text, regexp_extract_all(text, '\S+') AS words FROM documents)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_tokens,
+       md5(CASE WHEN len(words) > 64 THEN array_to_string(words[1:64], ' ') ELSE text END) AS cut_md5 FROM w""")
+def token_cut(spark, d):
+    """Count and cut in one trip to the tokenizer."""
+    def factory():
+        class WordTokenizer:
+            def encode(self, text):
+                return re.findall(r"[^ \t-\r]+", text)
+
+            def decode(self, words):
+                return " ".join(words)
+
+        return WordTokenizer()
+
+    cut = tr.counted_and_cut(text_table(spark, d, "documents"), ["doc_id"], "text", factory, 64)
+    return cut.select("doc_id", "n_tokens", F.md5("cut").alias("cut_md5"))
+
+
 @query("length_strata", _TOKENS + " SELECT domain, CAST(least(token_count // 64, 7) AS BIGINT)"
        " AS stratum, count(*) AS n, min(token_count) AS min_tokens,"
        " max(token_count) AS max_tokens FROM prompts WHERE token_count BETWEEN 8 AND 4096"
@@ -258,6 +311,43 @@ def config_selected(spark, d):
         F.size("generated_ids").cast("long").alias("num_tokens"))
 
 
+RUN = ["config_hash", "prompt_id"]
+
+
+@query("store_pending", _P + "," + views.RECORDS_SQL + "," +
+       _CONFIGS % ("NULL::BIGINT, " + _KS) +
+       " SELECT prompt_id, config_hash FROM hashed_configs c WHERE NOT EXISTS ("
+       "SELECT 1 FROM hashed h WHERE h.prompt_id = c.prompt_id"
+       " AND h.config_hash = c.config_hash)")
+def store_pending(spark, d):
+    """The planned runs that a bucketed store of results lacks; only they are moved."""
+    base = views.prompts(spark, d).select("prompt_id", "domain")
+    planned = mx.config_matrix(base, (None, *DRAFT_LENGTHS)).select("prompt_id", "config_hash")
+    return rs.pending_in_store(planned, _store(spark, d, RUN), RUN)
+
+
+@query("store_by_config", f"WITH {views.RECORDS_SQL} SELECT config_hash, count(*) AS n, "
+       "CAST(sum(num_tokens) AS BIGINT) AS num_tokens, max(run_idx) AS newest FROM hashed GROUP BY ALL")
+def store_by_config(spark, d):
+    """Results by config from the store, which is filled in two goes."""
+    return rs.results_per_config(
+        spark, _store(spark, d, ["config_hash"]), F.sum("num_tokens").cast("long").alias("num_tokens"),
+        F.max("run_idx").alias("newest"))
+
+
+def _store(spark, d, by):
+    """A store of the first days, in which the results of one pair after another are replaced by all."""
+    name = f"results_{uuid.uuid4().hex}"
+    results = materialize(views.hashed_records(spark, d).select(
+        "config_hash", "model_pair_name", "prompt_id", "run_idx",
+        F.size("generated_ids").cast("long").alias("num_tokens")), "results")
+    rs.create_store(results.where("run_idx < 15"), name, scratch_path(spark, "store"), 16, by)
+    for pairs in (MODEL_PAIRS[:2], MODEL_PAIRS[2:]):
+        mine = F.col("model_pair_name").isin(*[p[0] for p in pairs])
+        rs.replace_pairs(results.where(mine), name, 16, by)
+    return name
+
+
 _REGISTRY = "(VALUES " + ", ".join(
     f"({i}, " + ", ".join(f"'{v}'" for v in p) + ")" for i, p in enumerate(MODEL_PAIRS)
 ) + ") AS g(ord, model_pair_name, draft_model_id, target_model_id, draft_dtype, target_dtype)"
