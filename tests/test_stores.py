@@ -121,22 +121,21 @@ def test_a_pair_is_replaced_and_the_others_stay(spark, store):
     assert rows == {r for r in RESULTS if r[1] != "p2"} | set(fresh)
 
 
-class Letters:
-    def encode(self, text):
-        return [ord(c) for c in text]
-
-    def decode(self, ids):
-        return "".join(map(chr, ids))
-
-
-def test_token_rows(spark, monkeypatch):
-    monkeypatch.setattr(tr, "_PIECE", 8)
-    rows = [(1, "a", "abc"), (2, None, "日本" * 30), (3, "b", None), (4, "b", ""), (1, "a", "abc")]
+def test_token_rows(spark):
+    def letters():
+        class Letters:
+            def encode(self, text):
+                return [ord(c) for c in text]
+
+            def decode(self, ids):
+                return "".join(map(chr, ids))
+        return Letters()
+    rows = [(1, "a", "abc"), (2, None, "日本" * 40_000), (3, "b", None), (4, "b", ""), (1, "a", "abc")]
     df = spark.createDataFrame(rows, "id long, position string, text string")
-    got = tr.token_rows(df, ["id", "position"], "text", Letters).collect()
+    got = tr.token_rows(df, ["id", "position"], "text", letters).collect()
     want = [(i, g, p, ord(c)) for i, g, t in rows for p, c in enumerate(t or "")]
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
-    cut = tr.counted_and_cut(df, ["id"], "text", Letters, 5).collect()
+    cut = tr.counted_and_cut(df, ["id"], "text", letters, 5).collect()
     assert sorted(map(tuple, cut), key=repr) == sorted(
         [(i, len(t or ""), t[:5] if t else t) for i, _, t in rows], key=repr)
-    assert tr.token_rows(df.where("id > 9"), ["id"], "text", Letters).count() == 0
+    assert tr.token_rows(df.where("id > 9"), ["id"], "text", letters).count() == 0
