@@ -1,14 +1,16 @@
-"""Removal of repeated multi-line runs, or of chunks with content-defined bounds.
-
-``dedup_runs`` finds every run. The shortest runs are two lines with content
-and the blank lines between them; a longer one is made of these and of blank
-lines before and after. Each shortest run, and each with one to all of its
-neighbouring blank lines, has one hash. Those of equal hash are compared byte
-for byte with their first occurrence, and the lines of the equal ones go.
-
-``dedup_lines`` removes chunks only: a chunk ends after a line whose rolling
-hash over the last lines is divisible by a fixed number, so the same run of
-lines is cut alike wherever it stands, but runs between bounds are not found.
+"""Removal of repeated multi-line chunks with content-defined bounds.
+
+A line is a bound where the rolling hash over the last lines (by default over
+the line alone) falls into a fixed part of its range, so the same lines are
+bounds wherever they stand. A chunk reaches from a bound to the next line with
+content, or from the line with content before it to the bound; chunks overlap,
+and a repeated run is cut wherever a bound stands in it. Blank lines between
+belong to a chunk; those before and after go with it as far as its first
+occurrence has them, too. Chunks of equal hash are compared byte for byte with
+their first occurrence, and the lines of the equal ones go.
+
+``dedup_runs`` is the exhaustive form, without bounds: every two neighbouring
+lines with content are a chunk. It says what share the bounds find.
 """
 
 from __future__ import annotations
@@ -23,179 +25,120 @@ from runlens.llm.hashing import fold, lines, mix, slabs
 from runlens.llm.rows import unwrapped, wrapped
 from runlens.session import materialize
 
-#: lines under the rolling hash, expected lines to the next bound, and lines
-#: with content that a removable chunk has at least
-WINDOW, SPACING, LEAST_LINES = 2, 3, 2
+#: lines under the rolling hash, and the share of lines that are bounds: so many of so many
+WINDOW, BOUNDS = 1, (7, 8)
 
 _U = np.uint64
 
 
-def chunk_bounds(line_hashes: np.ndarray, first: np.ndarray,
-                 window: int = WINDOW, spacing: int = SPACING) -> np.ndarray:
-    """Line numbers at which chunks begin, and the end, over several documents.
+def chunk_bounds(line_hashes: np.ndarray, first: np.ndarray, window: int = WINDOW,
+                 share: tuple[int, int] = BOUNDS) -> np.ndarray:
+    """Which lines are bounds, over several documents.
 
-    ``first`` has each document's first line. A document's first line begins a
-    chunk; any other does if the hash of the ``window`` lines before it, all in
-    the same document, is divisible by ``spacing``.
+    ``first`` has each document's first line. A line is one if the rolling hash of the
+    ``window`` lines that end with it, all in its document, has a remainder below
+    share[0] when divided by share[1].
     """
     n = len(line_hashes)
-    begins = np.zeros(n + 1, dtype=bool)
+    bounds = np.zeros(n, dtype=bool)
     if n >= window:
-        begins[window:] = fold(line_hashes, window) % _U(spacing) == 0
-    for early in range(1, window):
+        bounds[window - 1:] = fold(line_hashes, window) % _U(share[1]) < _U(share[0])
+    for early in range(window - 1):
         at = first[:-1] + early
-        begins[at[at <= n]] = False
-    begins[first] = True
-    return np.flatnonzero(begins)
-
-
-def chunks(docs: DataFrame, window: int = WINDOW, spacing: int = SPACING) -> DataFrame:
-    """The chunks of ``docs`` (doc_id, version, text) with enough content lines.
-
-    Returns doc_id, version, line (number of the first, from 0), n_lines, hash.
-    """
-    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            for low, high, text, rows in slabs(part.column(2)):
-                hashes, starts, ends, first = lines(text, rows)
-                cut = chunk_bounds(hashes, first, window, spacing)
-                begin, end = cut[:-1], cut[1:]
-                content = np.append(0, np.cumsum(ends > starts))
-                keep = content[end] - content[begin] >= LEAST_LINES
-                begin, end = begin[keep], end[keep]
-                row = np.searchsorted(first, begin, side="right") - 1
-                size = end - begin
-                place = _count(size)
-                # a line counts by its place within the chunk
-                each = mix(hashes[np.repeat(begin, size) + place]
-                           + place.astype(np.uint64) * _U(0x9E3779B97F4A7C15))
-                total = np.add.reduceat(each, np.cumsum(size) - size) if len(begin) \
-                    else np.empty(0, np.uint64)
-                yield pa.RecordBatch.from_arrays([
-                    part.column(0).slice(low, high - low).take(pa.array(row)),
-                    part.column(1).slice(low, high - low).take(pa.array(row)),
-                    pa.array((begin - first[row]).astype(np.int32)),
-                    pa.array(size.astype(np.int32)),
-                    pa.array(mix(total + size.astype(np.uint64)).view(np.int64)),
-                ], names=["doc_id", "version", "line", "n_lines", "hash"])
-
-    return docs.select("doc_id", "version", "text").mapInArrow(
-        batches, "doc_id long, version long, line int, n_lines int, hash long")
-
+        bounds[at[at < first[1:]]] = False
+    return bounds
 
-def _count(sizes: np.ndarray) -> np.ndarray:
-    ends = np.cumsum(sizes)
-    return np.arange(int(sizes.sum())) - np.repeat(ends - sizes, sizes)
 
+def chunks(docs: DataFrame, window: int = WINDOW, share: tuple[int, int] = BOUNDS) -> DataFrame:
+    """The chunks of ``docs`` (doc_id, version, text).
 
-def repeated_chunks(docs: DataFrame, window: int = WINDOW, spacing: int = SPACING) -> DataFrame:
-    """Chunks that stand, byte for byte, earlier in the table as well.
-
-    Earlier is the order of (doc_id, version, line); version is a hash of the
-    text, which tells rows of one doc_id with different texts apart. Returns
-    doc_id, version, line and n_lines of every occurrence but the first.
-    """
-    keyed = wrapped(docs).select("doc_id", "version", "row.text").where("doc_id is not null")
-    return _repeated(keyed, materialize(chunks(keyed, window, spacing), "chunks"))
-
-
-def shortest_runs(docs: DataFrame) -> DataFrame:
-    """Two lines with content and the blank lines between, everywhere in ``docs``.
-
-    Comes also with one to all of the blank lines before, and after, each as a
-    run of its own. ``docs`` and the result are those of ``chunks``.
+    Returns doc_id, version, line (number of the first, from 0), n_lines, hash, and the
+    blank lines ``above`` and ``below``, up to the next line with content or the edge.
     """
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for low, high, text, rows in slabs(part.column(2)):
                 hashes, starts, ends, first = lines(text, rows)
+                bound = chunk_bounds(hashes, first, window, share)
                 full = np.flatnonzero(ends > starts)
                 row = np.searchsorted(first, full, side="right") - 1
-                pair = np.flatnonzero(row[1:] == row[:-1])
+                pair = np.flatnonzero((row[1:] == row[:-1]) & (bound[full[1:]] | bound[full[:-1]]))
                 row, begin, end = row[pair], full[pair], full[pair + 1]
-                # blank lines to the content, or the document's edge, on both sides
                 above = begin - np.maximum(first[row], np.append(-1, full)[pair] + 1)
                 below = np.minimum(first[row + 1], np.append(full, len(hashes))[pair + 2]) - end - 1
                 base = fold(np.stack([hashes[begin], hashes[end], (end - begin).astype(np.uint64)],
                                      axis=1).ravel(), 3)[::3]
-                n = np.arange(len(pair))
-                before, after = np.repeat(n, above), np.repeat(n, below)
-                one = np.concatenate([n, before, after])
-                up = np.concatenate([0 * n, _count(above) + 1, 0 * after])
-                down = np.concatenate([0 * n, 0 * before, _count(below) + 1])
-                row, at = row[one], begin[one] - up
                 yield pa.RecordBatch.from_arrays([
                     part.column(0).slice(low, high - low).take(pa.array(row)),
                     part.column(1).slice(low, high - low).take(pa.array(row)),
-                    pa.array((at - first[row]).astype(np.int32)),
-                    pa.array((end[one] + down + 1 - at).astype(np.int32)),
-                    pa.array(mix(mix(base[one] + up.astype(np.uint64)) + down.astype(np.uint64))
-                             .view(np.int64)),
-                ], names=["doc_id", "version", "line", "n_lines", "hash"])
+                    *[pa.array(x.astype(np.int32)) for x in (begin - first[row], end + 1 - begin)],
+                    pa.array(mix(base).view(np.int64)),
+                    *[pa.array(x.astype(np.int32)) for x in (above, below)],
+                ], names=["doc_id", "version", "line", "n_lines", "hash", "above", "below"])
 
     return docs.select("doc_id", "version", "text").mapInArrow(
-        batches, "doc_id long, version long, line int, n_lines int, hash long")
+        batches, "doc_id long, version long, line int, n_lines int, hash long, above int, below int")
 
 
-def repeated_runs(docs: DataFrame) -> DataFrame:
-    """Shortest runs that stand, byte for byte, earlier in the table as well.
+def repeated_chunks(docs: DataFrame, window: int = WINDOW,
+                    share: tuple[int, int] = BOUNDS) -> DataFrame:
+    """Chunks that stand, byte for byte, earlier in the table as well.
 
-    Order and result are those of ``repeated_chunks``. A run that overlaps its
-    first occurrence, as in a document that repeats one line, is not later.
+    Earlier is the order of (doc_id, version, line); version is a hash of the
+    text, which tells rows of one doc_id with different texts apart. Returns
+    doc_id, version, line and n_lines of every occurrence but the first, with the blank
+    lines around that the first one has, too. A chunk that overlaps its first
+    occurrence, as in a document that repeats one line, is not later.
     """
     keyed = wrapped(docs).select("doc_id", "version", "row.text").where("doc_id is not null")
-    return _repeated(keyed, materialize(shortest_runs(keyed), "runs"), apart=True)
-
-
-def _repeated(keyed: DataFrame, found: DataFrame, apart: bool = False) -> DataFrame:
+    found = materialize(chunks(keyed, window, share), "chunks")
     again = found.groupBy("hash").agg(
-        F.min(F.struct("doc_id", "version", "line")).alias("first"),
-        F.max(F.struct("doc_id", "version", "line")).alias("last")) \
+        F.min(F.struct("doc_id", "version", "line", "above", "below")).alias("first"),
+        F.max(F.struct("doc_id", "version", "line", "above", "below")).alias("last")) \
         .where("first <> last").drop("last")
-    suspects = found.join(again, "hash")
-    if apart:
-        suspects = suspects.where(
-            "not (doc_id = first.doc_id and version = first.version "
-            "and line > first.line and line < first.line + n_lines)")
+    suspects = found.join(again, "hash").where(
+        "not (doc_id = first.doc_id and version = first.version "
+        "and line > first.line and line < first.line + n_lines)")
     suspects = suspects.groupBy("doc_id", "version").agg(
-        F.collect_set(F.struct("line", "n_lines", "hash", F.expr(
-            "first = struct(doc_id, version, line)").alias("leads"))).alias("suspects"))
+        F.collect_set(F.struct(
+            "line", "n_lines", "hash", F.least("above", "first.above").alias("up"),
+            F.least("below", "first.below").alias("down"),
+            F.expr("first.doc_id = doc_id and first.version = version and first.line = line")
+            .alias("leads"))).alias("suspects"))
     # cut out before they are unfolded, so that the lines are not carried with each
     texts = keyed.join(suspects.hint("merge"), ["doc_id", "version"]) \
         .withColumn("lines", F.split("text", "\n", -1)) \
         .select("doc_id", "version", F.explode(F.expr(
-            "transform(suspects, s -> struct(s.line, s.n_lines, s.hash, s.leads, array_join(slice("
-            "lines, s.line + 1, s.n_lines), '\n') as chunk))")).alias("s")) \
+            "transform(suspects, s -> struct(s.line, s.n_lines, s.hash, s.up, s.down, s.leads, "
+            "array_join(slice(lines, s.line + 1, s.n_lines), '\n') as chunk))")).alias("s")) \
         .select("doc_id", "version", "s.*")
     texts = materialize(texts, "chunk-texts")
     leads = texts.where("leads").select("hash", F.col("chunk").alias("lead")) \
         .dropDuplicates(["hash"])
     return texts.where("not leads").join(leads, "hash").where("chunk = lead") \
-        .select("doc_id", "version", "line", "n_lines").distinct()
+        .select("doc_id", "version", (F.col("line") - F.col("up")).alias("line"),
+                (F.col("n_lines") + F.col("up") + F.col("down")).alias("n_lines")).distinct()
 
 
-def dedup_lines(docs: DataFrame, window: int = WINDOW, spacing: int = SPACING) -> DataFrame:
+def dedup_lines(docs: DataFrame, window: int = WINDOW, share: tuple[int, int] = BOUNDS) -> DataFrame:
     """``docs`` with repeated multi-line chunks cut out of the texts.
 
     Needs doc_id and text and keeps all rows and columns, of whatever names;
-    the text keeps its other lines. A chunk has at least two lines with content
-    and stays where it stands first, in order of doc_id. A document made of
-    repeated chunks alone is left with an empty text. Null and empty texts and
-    rows with a null doc_id stay as they are; rows equal in doc_id and text are
-    one document, and are cut alike. Also adds n_lines_cut, unless the table
-    has a column of that name.
+    the text keeps its other lines. A chunk has two lines with content and stays
+    where it stands first, in order of doc_id. A document made of repeated chunks
+    alone is left with an empty text. Null and empty texts and rows with a null
+    doc_id stay as they are; rows equal in doc_id and text are one document, and
+    are cut alike; an empty table stays empty. Also adds n_lines_cut, unless the
+    table has a column of that name. Work and rows grow with the lines, blank ones
+    included. A repeated run without any bound is not found: of two lines one in
+    64, of more lines fewer.
     """
-    return _without(docs, repeated_chunks(docs, window, spacing))
+    return _without(docs, repeated_chunks(docs, window, share))
 
 
 def dedup_runs(docs: DataFrame) -> DataFrame:
-    """``docs`` with every repeated run of lines cut out of the texts.
-
-    As ``dedup_lines``, but every line goes that lies in a run, of at least two
-    lines with content, which stands earlier in the table as well, apart from
-    it. Every line stays where it stands first, in order of doc_id.
-    """
-    return _without(docs, repeated_runs(docs))
+    """As ``dedup_lines``, but with every line a bound, so that no repeated run is left."""
+    return dedup_lines(docs, WINDOW, (1, 1))
 
 
 def _without(docs: DataFrame, repeated: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from runlens.session import materialize
 from runlens.llm import minhash, mixing, quality, queries
 
 WORDS = "the of and to in is that for it as with was on are by".split()
@@ -220,9 +221,37 @@ def test_stages_take_effect(spark, folder):
         df.unpersist()
 
 
+def test_near_dedup_tells_texts_of_one_id_apart(spark):
+    words = [f"w{i}" for i in range(60)]
+    a, b, near = " ".join(words), " ".join(reversed(words)), " ".join(words[:-1] + ["x"])
+    rows = [(5, a, 1), (5, b, 2), (5, a, 3), (2, near, 4), (9, b, 5), (None, a, 6), (7, None, 7), (8, "", 8), (7, None, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, version int")
+    kept = {r["version"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    # of a and near the smaller id, of b the smaller id, although that id's other text is a copy
+    assert kept == {4, 2, 6, 7, 8, 9}
+    assert corpus_pipeline.near_dedup(spark, docs.where("false"), "").count() == 0
+
+
+def test_stages_on_nulls_repeats_and_long_texts(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(40)
+    odd = spark.createDataFrame(
+        [(None, None, None, None, None), (9001, None, "en", None, None), (9002, "", None, "src0", 0),
+         (9003, "word " * 60_000, "en", "src0", 300_000), (9003, "word " * 60_000, "en", "src0", 300_000)],
+        docs.schema)
+    rows = docs.unionByName(odd).unionByName(docs.limit(3))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, rows, folder)
+        if name != "pack":
+            assert out.columns == docs.columns
+            rows = materialize(out, "stage")
+            assert stage(spark, docs.where("false"), folder).count() == 0
+        else:
+            assert out.count() > 0
+
+
 def test_every_operator_is_registered():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert set(queries.ORACLES) <= set(queries.QUERIES)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 import re
 
 import numpy as np
@@ -91,25 +92,32 @@ def test_pii_query_against_the_patterns(spark, folder):
 
 # --- line chunks -----------------------------------------------------------
 
-def line_bounds(text):
+def line_bounds(text, **how):
     for _, _, data, rows in hashing.slabs(pa.array([text])):
         hashes, _, _, first = hashing.lines(data, rows)
-        return line_chunks.chunk_bounds(hashes, first).tolist()
-
-
-def cut_lines(rows):
-    """(doc_id, text) -> text without chunks seen before, in order of doc_id."""
-    seen, out = set(), {}
-    for i, text in sorted(set(r for r in rows if r[0] is not None and r[1] is not None)):
-        lines, kept = text.split("\n"), []
-        bounds = line_bounds(text)
-        for a, b in zip(bounds[:-1], bounds[1:]):
-            chunk = "\n".join(lines[a:b])
-            if sum(map(bool, lines[a:b])) >= 2 and chunk in seen:
-                continue
-            seen.add(chunk)
-            kept += lines[a:b]
-        out[i, text] = "\n".join(kept)
+        return line_chunks.chunk_bounds(hashes, first, **how).tolist()
+
+
+def chunks_of(lines, bounds):
+    """(first line, line after the last, blank lines above, below) of the chunks of a text."""
+    full = [i for i, x in enumerate(lines) if x]
+    for n, (a, b) in enumerate(zip(full[:-1], full[1:])):
+        if bounds[a] or bounds[b]:
+            above = a - (full[n - 1] + 1 if n else 0)
+            below = (full[n + 2] if n + 2 < len(full) else len(lines)) - b - 1
+            yield a, b + 1, above, below
+
+
+def cut_lines(rows, **how):
+    """(doc_id, text) -> text without chunks that stand earlier, in order of doc_id."""
+    first, out = {}, {}
+    for n, (i, text) in enumerate(sorted(set(r for r in rows if r[0] is not None and r[1]))):
+        lines, cut = text.split("\n"), set()
+        for a, b, above, below in chunks_of(lines, line_bounds(text, **how)):
+            m, end, up, down = first.setdefault(tuple(lines[a:b]), (n, b, above, below))
+            if (m, end) <= (n, a):
+                cut |= set(range(a - min(up, above), b + min(down, below)))
+        out[i, text] = "\n".join(x for k, x in enumerate(lines) if k not in cut)
     return out
 
 
@@ -127,8 +135,10 @@ def test_line_chunks_equal_brute_force(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in line_chunks.dedup_lines(docs).collect()}
     want = cut_lines(rows)
-    assert got == {i: want[i, t] for i, t in rows}
+    assert got == {i: want.get((i, t), "") for i, t in rows}
     assert sum(len(t) for t in got.values()) < 0.8 * sum(len(t) for _, t in rows)
+    wide = {r["doc_id"]: r["text"] for r in line_chunks.dedup_lines(docs, 2, (1, 3)).collect()}
+    assert wide == {i: cut_lines(rows, window=2, share=(1, 3)).get((i, t), "") for i, t in rows} != got
 
 
 def test_lines_of_a_slab_equal_split():
@@ -143,8 +153,20 @@ def test_lines_of_a_slab_equal_split():
 
 def test_bounds_do_not_shift():
     lines = [f"line {i}" for i in range(200)]
-    whole, later = line_bounds("\n".join(lines)), line_bounds("\n".join(["new"] * 7 + lines))
-    assert {b for b in whole if b >= 3} == {b - 7 for b in later if b >= 10}
+    for how in ({}, {"window": 3, "share": (1, 4)}):
+        whole, later = line_bounds("\n".join(lines), **how), line_bounds("\n".join(["new"] * 7 + lines), **how)
+        assert whole[2:] == later[9:] and 0 < sum(whole) < 200
+
+
+def test_long_runs_of_blank_lines(spark):
+    rows = [(i, f"a\nb{chr(10) * 20_000}c\nd{chr(10) * 5_000}{i}\nz") for i in range(3)]
+    rows.append((9, "\n" * 50_000))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    began = time.time()
+    got = {r["doc_id"]: (r["text"], r["n_lines_cut"]) for r in line_chunks.dedup_runs(docs).collect()}
+    assert time.time() - began < 30
+    assert got[0] == (rows[0][1], 0) and got[9] == (rows[3][1], 0)
+    assert got[2][0].split("\n") == ["2", "z"] and got[2][1] == 4 + 19_999 + 4_999
 
 
 def test_line_chunks_nulls_repeats_and_columns(spark):
@@ -195,15 +217,36 @@ def test_line_runs_equal_brute_force_over_all_runs(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: (r["text"], r["n_lines_cut"])
            for r in line_chunks.dedup_runs(docs).collect()}
-    assert got == without_runs(rows)
+
+    def content(text):
+        return [x for x in text.split("\n") if x]
+    # of the blank lines around a chunk only those go that its first occurrence has
+    want = without_runs(rows)
+    assert {i: content(t) for i, (t, _) in got.items()} == {i: content(t) for i, (t, _) in want.items()}
     assert got[95][0] == "c\nd\ne\nf\ng" and got[93][0] == "l\nl\n" and got[92][1] == 0
 
 
-def test_line_runs_of_the_query_are_whole(spark, tmp_path):
-    rows = [(1, "a\nmid one\nmid two\nb"), (2, "c\nd\ne\nmid one\nmid two\nf")]
+def test_bounds_find_most_of_all_repeated_lines(spark):
+    rng = random.Random(4)
+    block = [f"shared line {i} {rng.random()}" for i in range(600)]
+    rows = []
+    for i in range(300):
+        lines = [f"own {rng.random()}" for _ in range(6)]
+        for _ in range(3):
+            at, begin = rng.randint(0, len(lines)), rng.randint(0, 590)
+            lines[at:at] = block[begin:begin + rng.randint(2, 8)]
+        rows.append((i, "\n".join(lines)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = line_chunks.dedup_lines(docs).agg({"n_lines_cut": "sum"}).first()[0]
+    assert found >= 0.9 * line_chunks.dedup_runs(docs).agg({"n_lines_cut": "sum"}).first()[0] > 1000
+
+
+def test_the_query_cuts_repeated_chunks(spark, tmp_path):
+    rows = [(1, "a\nmid one\nmid two\nmid three\nb"), (2, "c\nd\ne\nmid one\nmid two\nmid three\nf")]
+    assert any(line_bounds(rows[0][1])[1:4])
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r["text"] for r in queries.QUERIES["op10_line_dedup"](spark, str(tmp_path)).collect()}
-    assert got == {1: rows[0][1], 2: "c\nd\ne\nf"}
+    assert got == {i: cut_lines(rows)[i, t] for i, t in rows} and got[2] != rows[1][1]
 
 
 # --- passages --------------------------------------------------------------
