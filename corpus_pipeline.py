@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from runlens.llm import line_chunks, minhash, mixing, packing, quality
-from runlens.llm.rows import kept_rows
+from runlens.llm.rows import kept_rows, wrapped
 from runlens.session import materialize
 
 #: token shares of clean, poor and toxic documents. Clean documents are the full
@@ -27,17 +27,37 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated runs of lines go; n_chars follows the text."""
-    cut = line_chunks.dedup_runs(docs).drop("n_lines_cut")
+    """Repeated chunks of lines go; n_chars follows the text."""
+    cut = line_chunks.dedup_lines(docs).drop("n_lines_cut")
     return cut.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group at a word-shingle similarity of 0.8 stays."""
-    groups = minhash.near_duplicates(docs)
-    kept = groups.where("kept and doc_id is not null").select("doc_id")
-    return docs.where("doc_id is null").unionByName(
-        docs.join(kept.hint("merge"), "doc_id", "left_semi"))
+    named = _with_own_id(docs)
+    groups = minhash.near_duplicates(named.select("doc_id", "text")).select(
+        F.col("doc_id").alias("id"), "component_id")
+    ids = named.select(F.col("doc_id").alias("id"), "key").where("id is not null").distinct()
+    # of each group the smallest doc_id, and of its texts the smallest version
+    first = groups.where("id is not null").join(ids, "id").groupBy("component_id").agg(
+        F.min("key").alias("key")).select("key.*")
+    return docs.where("doc_id is null").unionByName(kept_rows(docs.where("doc_id is not null"), first))
+
+
+def _with_own_id(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, key): texts under an id of their own, also where they share a doc_id.
+
+    ``key`` is (doc_id, version), and doc_id a hash of it. Should two keys share a hash,
+    another one is taken. A null doc_id stays null.
+    """
+    rows = wrapped(docs).select(F.struct("doc_id", "version").alias("key"), F.col("row.text").alias("text"))
+    for salt in range(64):
+        own = rows.withColumn("doc_id", F.when(
+            F.col("key.doc_id").isNotNull(), F.xxhash64(F.lit(salt), "key.doc_id", "key.version")))
+        if own.select("doc_id", "key").distinct().where("doc_id is not null").groupBy("doc_id").agg(
+                F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+            return own
+    raise RuntimeError("every hash that was tried gave two texts one id")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
