@@ -1,7 +1,9 @@
 """Order MinHash fingerprints, as DataFrame expressions only.
 
-A text is read as pieces (runs of non-blanks, cut every eight characters; single
-characters in a text of under 64), and every run of three pieces is a k-mer. Repeated k-mers are numbered by
+A text is read as pieces: runs of non-blanks, cut after every character of a fixed
+eighth of all characters. The cuts depend on the characters alone, so they do not shift
+with what stands before, and texts of any length and script are read alike. Every
+run of three pieces is a k-mer. Repeated k-mers are numbered by
 occurrence, so each (k-mer, occurrence) is one element. Its hash names one of
 64 bins and a rank within it; the two smallest of each bin are selected, put
 back into text order, and hashed as a tuple. Two texts share a tuple only if
@@ -15,7 +17,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: pieces per k-mer and elements per tuple; bins are the top bits of the hash
 KMER, TUPLE, BIN_BITS = 3, 2, 6
-PIECE, SHORT, SHORT_PIECE = r"\\S{1,8}", 64, r"\\S"
+#: pieces are found in UTF-16 code units, two bytes read as two characters each. A unit
+#: whose low byte leaves 5 when divided by 8 ends a piece; in English these are e, m and u
+_LAST = "".join(rf"\x{b:02X}" for b in range(5, 256, 8))
+_NO_BLANK = r"(?!\x00[\x09-\x0D\x20])[\x00-\xFF]"
+#: after the blanks since the last piece, so that a match begins at a whole unit
+PIECE = (r"\G(?:\x00[\x09-\x0D\x20])*+("
+         rf"(?:{_NO_BLANK}[^{_LAST}])++(?:{_NO_BLANK}[{_LAST}])?|{_NO_BLANK}[{_LAST}])")
 
 _PLACE_BITS = 23
 _PLACE = (1 << _PLACE_BITS) - 1
@@ -31,12 +39,14 @@ def signature(text: str) -> Column:
     """Tuple hashes of the text column of that name: an array of int, ordered by bin, empty bins left out.
 
     Each entry holds its bin above 24 bits of tuple hash. A null or blank text
-    has an empty array, a text of fewer pieces than a k-mer one entry.
+    has an empty array, a text of fewer pieces than a k-mer one entry. Beyond 8.4 million
+    pieces neighbours share a place, and are put in order by their hashes.
     """
     kmers = " , ".join(f"get(w, i + {j})" for j in range(KMER))
     packed = (f"if(size(w) < {KMER}, filter(array(xxhash64(w) & {_HASH}L), x -> size(w) > 0), "
               f"transform(sequence(0, size(w) - {KMER}), "
-              f"i -> (xxhash64({kmers}) & {_HASH}L) | (i & {_PLACE})))")
+              f"i -> (xxhash64({kmers}) & {_HASH}L) | shiftright(i, greatest(0, "
+              f"cast(ceil(log2(size(w))) as int) - {_PLACE_BITS}))))")
     again = (f"filter(sequence(0, size(s) - 1), j -> j > 0 and "
              f"(get(s, j) & {_HASH}L) = (get(s, j - 1) & {_HASH}L))")
     # runs of equal k-mers are neighbours: their later members get numbers 1, 2, ..
@@ -57,8 +67,8 @@ def signature(text: str) -> Column:
                 f"(shiftrightunsigned(v, 24) & {(1 << 40) - 1}L))), x -> x & {(1 << 40) - 1}L)")
     tuples = (f"transform({begins}, j -> cast(shiftleft({bin_of.format('get(e, j)')}, 24) | "
               f"(xxhash64({in_order}) & 16777215L) as int))")
-    pieces = (f"regexp_extract_all(coalesce(`{text}`, ''), "
-              f"if(char_length(`{text}`) < {SHORT}, '{SHORT_PIECE}', '{PIECE}'), 0)")
+    pieces = (f"regexp_extract_all(decode(encode(coalesce(`{text}`, ''), 'UTF-16BE'), "
+              f"'ISO-8859-1'), r'{PIECE}', 1)")
     return F.expr(_let("w", pieces, _let(
         "s", f"sort_array({packed})",
         f"if(size(s) = 0, cast(array() as array<int>), {_let('e', elements, tuples)})")))
