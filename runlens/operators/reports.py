@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from runlens.functions import distributions as dist
 from runlens.functions.metrics import seconds_to_ms
@@ -46,13 +46,18 @@ def measured_speedup(records: DataFrame) -> DataFrame:
     """Each drafted run against its plain baseline.
 
     The baseline is the mean of the plain runs of the same prompt, temperature
-    and pair, taken over the group of the run, so records are read once. A
+    and pair: one row a group, combined within tasks. The join with the drafted
+    runs has unique keys on that side, so a prompt with very many runs is split. A
     drafted run without a plain one stays, with no baseline and no speedup.
     """
-    group = Window.partitionBy("prompt_id", "temperature", "model_pair_name")
-    plain = F.when(F.col("K").isNull(), F.col("tokens_per_second"))
-    return (records.withColumn("baseline_tok_s", F.avg(plain).over(group))
-            .where(F.col("K").isNotNull()).withColumn("speedup", F.when(
+    key = ["prompt_id", "temperature", "model_pair_name"]
+    # never null itself, so runs with a null in their key find their baseline, too
+    packed = F.struct(*key).alias("_k")
+    baseline = records.where(F.col("K").isNull()).groupBy(packed).agg(
+        F.avg("tokens_per_second").alias("baseline_tok_s"))
+    drafted = records.where(F.col("K").isNotNull()).withColumn("_k", F.struct(*key))
+    return (drafted.join(baseline, "_k", "left").drop("_k")
+            .withColumn("speedup", F.when(
                 F.col("baseline_tok_s") > 0,
                 F.col("tokens_per_second") / F.col("baseline_tok_s"))))
 

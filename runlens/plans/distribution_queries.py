@@ -157,12 +157,17 @@ def preservation_check(spark, d):
         F.bool_and("ok").alias("preserved"), F.count("*").alias("n"))
 
 
-@query("vector_rejects", "SELECT count(*) FILTER (WHERE len(embedding) = 64) AS good, "
-       "count(*) FILTER (WHERE len(embedding) <> 64) AS bad FROM embeddings")
+@query("vector_rejects", "SELECT CASE WHEN vec_id % 7 = 3 THEN 'bad' ELSE 'good' END AS kind, count(*) AS n, "
+       "CAST(sum(vec_id) AS BIGINT) AS ids FROM embeddings GROUP BY ALL")
 def vector_rejects(spark, d):
-    ok = dist.same_vocabulary(F.col("p"), F.col("q"))
-    return views.vectors(spark, d).select(ok.alias("ok")).agg(
-        F.count_if("ok").alias("good"), F.count_if(~F.col("ok")).alias("bad"))
+    """Every seventh draft lacks the last token of the vocabulary; these rows are told apart."""
+    q = F.col("q")
+    cut = views.vectors(spark, d).withColumn("q", F.when(
+        F.col("vec_id") % 7 == 3, F.slice(q, 1, F.size(q) - 1)).otherwise(q))
+    kinds = zip(("good", "bad"), vf.split_bad_vectors(cut))
+    good, bad = (rows.select(F.lit(kind).alias("kind"), "vec_id") for kind, rows in kinds)
+    return good.unionByName(bad).groupBy("kind").agg(
+        F.count("*").alias("n"), F.sum("vec_id").alias("ids"))
 
 
 _ROUND_OUTPUT = (
@@ -207,12 +212,12 @@ SELECT round_id, count(*) AS n_compared,
        CASE WHEN bool_and(a = b) THEN 'equal' ELSE 'differs' END AS verdict
 FROM tops GROUP BY round_id""")
 def token_agreement(spark, d):
-    """Greedy tokens of target and draft, round by round."""
-    v = views.vectors(spark, d).where(F.col("pos") < views.DRAFTS)
+    """Greedy tokens of the target, which has one more than was drafted, and of the draft."""
+    v = views.vectors(spark, d)
 
-    def greedy(vector):
-        picked = v.select("round_id", "pos", dist.argmax(F.col(vector)).alias("t"))
+    def greedy(rows, vector):
+        picked = rows.select("round_id", "pos", dist.argmax(F.col(vector)).alias("t"))
         return picked.groupBy("round_id").agg(F.transform(
             F.sort_array(F.collect_list(F.struct("pos", "t"))), lambda s: s["t"]).alias("ids"))
 
-    return res.token_agreement(greedy("p"), greedy("q"), "round_id")
+    return res.token_agreement(greedy(v, "p"), greedy(v.where(F.col("pos") < views.DRAFTS), "q"), "round_id")

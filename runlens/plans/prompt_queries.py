@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ from runlens.sources import result_store as rs
 from runlens.sources.json_array import load_prompt_arrays, save_prompt_arrays
 from runlens.sources.prompt_files import load_prompts, save_prompts
 from runlens.sources.registry import join_registry, unknown_pairs
-from runlens.sources.tables import table, text_table
+from runlens.sources.tables import first_available, table, text_table
 
 _P = "WITH " + views.PROMPTS_SQL
 _ALL = "prompt_id, domain, md5(raw_text) AS text_md5, token_count"
@@ -66,22 +67,26 @@ def prompts_roundtrip(spark, d):
     return _digest(load_prompts(spark, path))
 
 
-@query("source_fallback", f"{_P} SELECT prompt_id, domain, md5(raw_text) AS text_md5, "
-       "'primary' AS origin FROM prompts WHERE domain <> 'code' UNION ALL "
-       "SELECT 'code_' || printf('%03d', doc_id), 'code', md5(text), 'bank' FROM documents")
+@query("source_fallback", f"""{_P} SELECT prompt_id, domain, md5(raw_text) AS text_md5
+FROM prompts WHERE domain <> 'summarization'
+UNION ALL SELECT 'summarization_' || printf('%03d', i), 'summarization', md5('Report ' || i ||
+  ' describes a project that met its first goal late, its second goal early, and ' || i ||
+  ' smaller goals in between.' || chr(10) || chr(10) || 'Summarize the above article:')
+FROM range(50) AS bank(i)""")
 def source_fallback(spark, d):
-    """Pages are taken as out of reach, so the bank supplies all code prompts."""
+    """Two paths cannot be opened: another one has the code texts, the bank the summaries."""
     sources = views.text_sources(spark, d)
-    del sources["code"]
-    primary = pr.build_prompts(sources, None).select(
-        "prompt_id", "domain", F.md5("raw_text").alias("text_md5"),
-        F.lit("primary").alias("origin"))
-    docs = table(spark, d, "documents").select("doc_id", F.md5("text").alias("text_md5"))
-    # the bank covers every domain; only the one that is missing is used
-    bank = docs.withColumn("domain", F.explode(F.array(*[F.lit(x) for x in DOMAINS]))).select(
-        pr.prompt_id(F.col("domain"), F.col("doc_id")).alias("prompt_id"), "domain",
-        "text_md5", F.lit("bank").alias("origin"))
-    return pr.with_fallback(primary, bank)
+
+    def opened(domain, *names):
+        nothing = sources[domain].table.where(F.lit(False))
+        return replace(sources[domain], table=first_available(
+            spark, [f"{d}/{name}.parquet" for name in names], "parquet", nothing))
+    sources["code"] = opened("code", "pages_of_another_day", "pages")
+    sources["summarization"] = opened("summarization", "articles_of_another_day")
+    primary = pr.build_prompts(sources, None)
+    bank = pr.default_bank(spark).select("prompt_id", "domain", "raw_text")
+    return pr.with_fallback(primary.select(*bank.columns), bank).select(
+        "prompt_id", "domain", F.md5("raw_text").alias("text_md5"))
 
 
 @query("prompts_array", f"{_P} SELECT {_ALL} FROM prompts")

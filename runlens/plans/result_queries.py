@@ -8,7 +8,6 @@ from runlens.functions import config as cf, sequences as seq
 from runlens.functions.metrics import summary_line, with_metrics
 from runlens.operators import reports as rp, results as res, sketches as sk, verification as vf
 from runlens.operators.indexing import with_group_index
-from runlens.operators.spans import phase_map
 from runlens.plans import views
 from runlens.plans.registry import query
 from runlens.schemas import CONFIG, MAX_NEW_TOKENS, RECORD, RESULT
@@ -340,22 +339,6 @@ def phase_breakdown(spark, d):
         "draft_share", "verify_share", "overhead_share")})
 
 
-@query("phase_map", _PHASES + """
-SELECT user_id, kslot, run_idx, round(draft_ms, 6) AS draft, round(verify_ms, 6) AS verify,
-       CAST(3 AS BIGINT) AS n_phases FROM totals""")
-def phase_maps(spark, d):
-    totals = rp.phase_totals(_phases(spark, d), views.RUN_KEYS)
-    long = totals.select(
-        F.struct(*views.RUN_KEYS).alias("run"),
-        F.inline(F.array(*[F.struct(F.lit(i).alias("first_stop"), F.lit(n).alias("phase"),
-                                    F.col(f"{n}_ms").alias("elapsed_ms"))
-                           for i, n in enumerate(("draft", "verify", "sampling"))])))
-    return phase_map(long).select(
-        "run.*", F.round(F.col("phases")["draft"], 6).alias("draft"),
-        F.round(F.col("phases")["verify"], 6).alias("verify"),
-        F.size("phases").cast("long").alias("n_phases"))
-
-
 # --- latencies over all steps of a group -------------------------------------
 
 def _group_steps(spark, d):

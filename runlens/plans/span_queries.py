@@ -6,7 +6,7 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
-from runlens.operators.spans import latest_spans, pair_spans
+from runlens.operators.spans import latest_spans, pair_spans, phase_map
 from runlens.plans import views
 from runlens.plans.registry import query
 from runlens.plans.result_queries import _MEANS, _R, _SUMMARY, _r6
@@ -41,6 +41,23 @@ def span_latest(spark, d):
         "run", "phase", F.round("elapsed_ms", 6).alias("elapsed_ms"), "n_completed")
 
 
+@query("phase_map", _SPANS + """,
+latest AS (SELECT run, phase, arg_max(elapsed_ms, (ts, event_id)) AS elapsed_ms, min(ts) AS first_stop
+           FROM spans WHERE status = 'completed' GROUP BY run, phase)
+SELECT run, string_agg(phase, ',' ORDER BY first_stop, phase) AS phases, count(*) AS n_phases,
+       round(max(elapsed_ms) FILTER (WHERE phase = 'draft'), 6) AS draft,
+       round(max(elapsed_ms) FILTER (WHERE phase = 'verify'), 6) AS verify,
+       round(max(elapsed_ms) FILTER (WHERE phase = 'sampling'), 6) AS sampling
+FROM latest GROUP BY run""")
+def phase_maps(spark, d):
+    """One map per run of its phases' latest spans, in the order in which they first completed."""
+    maps = phase_map(latest_spans(pair_spans(_log(spark, d))))
+    return maps.select(
+        "run", F.array_join(F.map_keys("phases"), ",").alias("phases"),
+        F.size("phases").cast("long").alias("n_phases"),
+        *[F.round(F.try_element_at("phases", F.lit(p)), 6).alias(p) for p in ("draft", "verify", "sampling")])
+
+
 def _send(rows, path):
     """One more file of a log."""
     rows.coalesce(1).write.mode("append").parquet(path)

@@ -50,9 +50,19 @@ def events(spark, folder):
 
 
 def test_ranks_share_the_value_counts(spark, events):
+    """Counts are written once; both readers take them from there, and no one reads the log again."""
     df = events.select("event_type", "value")
     text = plan(ranked.exact_percentiles(df, ["event_type"], "value", {"p50": 0.5}), run=True)
-    assert "ReusedExchange" in text
+    assert "_part" in text and "value" not in text.replace("_v", "")
+    assert "BroadcastHashJoin" in text
+
+
+def test_speedup_joins_one_baseline_a_group(spark, folder):
+    from runlens.functions.metrics import with_metrics
+    from runlens.operators.reports import measured_speedup
+    text = plan(measured_speedup(with_metrics(views.records(spark, folder))))
+    # no window, so no task has all the runs of a prompt
+    assert "Window" not in text and "Join" in text
 
 
 def test_span_slices_share_one_shuffle(spark, events):
