@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -24,6 +26,8 @@ _SETTINGS = {
 
 
 _shipped: set[str] = set()
+#: paths handed out in each open ``scratch_scope``
+_scopes: list[list[str]] = []
 
 
 def build_session(app_name: str = "runlens", master: str | None = None,
@@ -78,7 +82,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new, unused path below the shared folder."""
-    return f"{shared_dir(spark)}/runlens/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/runlens/{label}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -94,6 +101,23 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Remove what the shared folder got in this block, when the block ends.
+
+    Results made in it must have been written or counted by then. Blocks may be
+    nested, each removes its own.
+    """
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for path in _scopes.pop():
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
+
+
 def small_table(spark: SparkSession, rows: list[dict],
                 schema: pa.Schema | None = None) -> DataFrame:
     """A fixed dimension as a local relation, whose size the planner knows."""

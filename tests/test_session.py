@@ -43,3 +43,20 @@ def test_a_local_master_may_use_a_temporary_folder():
     fake = FakeSession("local[2]")
     first = session.shared_dir(fake)
     assert first and session.shared_dir(fake) == first
+
+
+def test_a_scope_removes_what_was_written_in_it(spark):
+    import os
+    from runlens.session import materialize, scratch_scope
+
+    def there(df):
+        return os.path.exists(df.inputFiles()[0].removeprefix("file://"))
+    before = materialize(spark.range(3), "kept")
+    with scratch_scope(spark):
+        outer = materialize(spark.range(4), "outer")
+        with scratch_scope(spark):
+            inner = materialize(spark.range(5), "inner")
+            files = [df.inputFiles()[0].removeprefix("file://") for df in (outer, inner)]
+            assert inner.count() == 5
+        assert not os.path.exists(files[1]) and os.path.exists(files[0])
+    assert not os.path.exists(files[0]) and there(before)
