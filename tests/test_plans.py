@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,3 +98,19 @@ def test_written_tables_lie_in_the_shared_folder(spark):
     df = materialize(spark.range(5).withColumn("x", F.lit("a")), "test-where")
     assert all(shared_dir(spark) in f for f in df.inputFiles())
     assert df.count() == 5
+
+
+def test_runs_of_a_hundred_days_keep_apart(spark, tmp_path):
+    """A user's events of every day, also before the first day that is counted from, are a run each."""
+    days = list(range(-20, 100))
+    spark.range(len(days)).selectExpr(
+        "id AS event_id", "timestamp'2023-12-12 08:00:00' + make_interval(0, 0, 0, cast(id AS int)) AS ts",
+        "7L AS user_id", "'view' AS event_type", "cast(id AS double) AS value", "'' AS props") \
+        .write.parquet(f"{tmp_path}/events.parquet")
+    runs = views.rounds(spark, str(tmp_path)).groupBy(*views.RUN_KEYS).count().collect()
+    assert sorted(r["run_idx"] for r in runs) == days and {r["count"] for r in runs} == {1}
+    assert {r["kslot"] for r in runs} == set(range(5))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    want = con.execute(f"WITH {views.ROUNDS_SQL} SELECT kslot, run_idx FROM rounds").fetchall()
+    assert sorted(want) == sorted((r["kslot"], r["run_idx"]) for r in runs)
