@@ -84,7 +84,9 @@ def source_fallback(spark, d):
     sources["code"] = opened("code", "pages_of_another_day", "pages")
     sources["summarization"] = opened("summarization", "articles_of_another_day")
     primary = pr.build_prompts(sources, None)
-    bank = pr.default_bank(spark).select("prompt_id", "domain", "raw_text")
+    # the domain as a value of the row: a literal would turn the lookup into a loop
+    bank = pr.default_bank(spark).select(
+        "prompt_id", F.split("prompt_id", "_")[0].alias("domain"), "raw_text")
     return pr.with_fallback(primary.select(*bank.columns), bank).select(
         "prompt_id", "domain", F.md5("raw_text").alias("text_md5"))
 
