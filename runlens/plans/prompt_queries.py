@@ -93,9 +93,9 @@ def source_fallback(spark, d):
 
 @query("prompts_array", f"{_P} SELECT {_ALL} FROM prompts")
 def prompts_array(spark, d):
-    """All prompts as one JSON array, read again in ranges of bytes."""
+    """All prompts as JSON arrays, one a file and task, read again in ranges of bytes."""
     path = scratch_path(spark, "prompt-array")
-    save_prompt_arrays(views.prompts(spark, d).coalesce(1), path)
+    save_prompt_arrays(views.prompts(spark, d), path)
     return _digest(load_prompt_arrays(spark, path, 1 << 20))
 
 

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from runlens.operators import token_rows as tr
+from runlens.plans import prompt_queries as pq
 from runlens.sources import json_array as ja, result_store as rs
 
 TEXTS = ['plain', '},{"prompt_id":"x"', 'ends with {', '{"', '\\', '\\"{"a', '}\n, {\t"domain"', 'é日本"', '',
@@ -56,6 +57,18 @@ def test_anything_else_raises(text):
         ja.objects_in_range(io.BytesIO(text.encode()), 0, len(text), len(text))
 
 
+def test_no_task_writes_all_prompts(spark, folder, monkeypatch):
+    """The query's arrays are written by many tasks, and not all rows go through one."""
+    sizes, save = [], pq.save_prompt_arrays
+
+    def seen(prompts, path):
+        sizes.append([n for n in prompts.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n])
+        save(prompts, path)
+    monkeypatch.setattr(pq, "save_prompt_arrays", seen)
+    total = pq.prompts_array(spark, folder).count()
+    assert sum(sizes[0]) == total and max(sizes[0]) < total
+
+
 def test_empty_array():
     assert ja.objects_in_range(io.BytesIO(b" [ ] ".replace(b" ] ", b"]")), 0, 3, 3) == []
 
