@@ -59,8 +59,8 @@ def phase_maps(spark, d):
 
 
 def _send(rows, path):
-    """One more file of a log."""
-    rows.coalesce(1).write.mode("append").parquet(path)
+    """One more file of a log; only its own rows come to one task."""
+    rows.repartition(1).write.mode("append").parquet(path)
 
 
 def _send_by_time(rows, time, key, path, files=6):

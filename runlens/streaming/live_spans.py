@@ -2,8 +2,8 @@
 
 Two stateful queries, so that a run with very many events is not one task:
 
-* ``slice_spans`` keeps the events of each (key, time slice) as a list until the
-  watermark has passed the slice, then pairs them and lets the list go. What
+* ``slice_spans`` collects the events of each (key, time slice) until the watermark
+  has passed the slice, then pairs the lists of many slices a call and lets them go. What
   depends on earlier slices (the first start and the first stop) stays open.
 * ``settle_slices`` keeps one start at most per key, the one still running. It
   reads three rows a slice at most, settles what was open, and a timer ends a
@@ -15,11 +15,14 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 MICROS = 1_000_000
+#: groups of keys that share a state when slices are settled; part of the stored state
+SETTLE_GROUPS = 256
 
 _EVENT = T.StructType([
     T.StructField("slice_end", T.TimestampType()), T.StructField("event_id", T.LongType()),
@@ -29,6 +32,9 @@ _EVENT = T.StructType([
     T.StructField("open_id", T.LongType()), T.StructField("open_us", T.LongType())])
 
 
+_ARROW = {T.LongType(): pa.int64(), T.StringType(): pa.string(), T.DoubleType(): pa.float64()}
+
+
 def pair_in_slice(events: list[tuple[int, int, str]]) -> list[tuple]:
     """(event_id, us, op, status, elapsed_ms, open_id, open_us) of ordered events (us, event_id, op).
 
@@ -57,13 +63,10 @@ def pair_in_slice(events: list[tuple[int, int, str]]) -> list[tuple]:
     return rows
 
 
-def _frame(key: tuple, keys: Sequence[str], rows: list[tuple], columns: Sequence[str]) -> pd.DataFrame:
+def _frame(rows: list[tuple], columns: Sequence[str]) -> pd.DataFrame:
     out = pd.DataFrame(rows, columns=list(columns))
-    for c in ("event_id", "us", "open_id", "open_us"):
-        if c in out:
-            out[c] = out[c].astype("Int64")
-    for name, value in reversed(list(zip(keys, key))):
-        out.insert(0, name, value)
+    for c in ("event_id", "us"):
+        out[c] = out[c].astype("Int64")
     return out
 
 
@@ -73,43 +76,39 @@ def slice_spans(log: DataFrame, keys: Sequence[str] = ("run", "phase"), delay: s
 
     ``log`` needs ``keys``, ts, event_id and op. An event may arrive ``delay`` of
     event time after a later one; what comes later still is dropped by the
-    watermark (``numRowsDroppedByWatermark`` of the progress counts it). Events
+    watermark if its slice is over (``numRowsDroppedByWatermark`` of the progress counts it). Events
     without a time have no place in the order and are left out. An op other than
     start and stop moves the time on and has no row of its own.
     """
     keys = list(keys)
-    width = slice_seconds * MICROS
     fields = [f for f in log.schema.fields if f.name in keys]
     fields.sort(key=lambda f: keys.index(f.name))
     out = T.StructType([*fields, *_EVENT.fields])
-    state_type = "us array<long>, ids array<long>, ops array<string>"
 
-    def gather(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        end = (int(key[-1]) + 1) * width
-        us, ids, ops = map(list, state.get) if state.exists else ([], [], [])
-        if not state.hasTimedOut:
-            for batch in batches:
-                us += batch["_us"].tolist()
-                ids += batch["event_id"].tolist()
-                ops += batch["op"].tolist()
-            # events are let in up to the watermark before, so this slice may be over now
-            if end // 1000 > state.getCurrentWatermarkMs():
-                state.update((us, ids, ops))
-                state.setTimeoutTimestamp(end // 1000 - 1)
-                return
-        rows = pair_in_slice(sorted(zip(us, ids, ops), key=lambda e: e[:2]))
-        state.remove()
-        yield _frame(key[:-1], keys, [(pd.Timestamp(end, unit="us"), *r) for r in rows],
-                     _EVENT.fieldNames())
-
-    return (
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            group, columns = [], [[] for _ in _EVENT.fields[1:]]
+            for i, events in enumerate(batch.column("_events").to_pylist()):
+                rows = pair_in_slice([(e["us"], e["event_id"], e["op"]) for e in events])
+                group += [i] * len(rows)
+                for column, values in zip(columns, zip(*rows)):
+                    column += values
+            at = pa.array(group, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c).take(at) for c in (*keys, "slice_end")]
+                + [pa.array(c, _ARROW[f.dataType]) for f, c in zip(_EVENT.fields[1:], columns)],
+                names=out.fieldNames())
+
+    event = F.struct(F.unix_micros("ts").alias("us"), "event_id", "op")
+    # the slices that a micro-batch touches change by one row each; only those that are over leave
+    slices = (
         log.where(F.col("ts").isNotNull())
-        .select(*keys, F.col("ts").cast("timestamp").alias("ts"), "event_id", "op",
-                F.unix_micros(F.col("ts").cast("timestamp")).alias("_us"))
+        .select(*keys, F.col("ts").cast("timestamp").alias("ts"), "event_id", "op")
         .withWatermark("ts", delay)
-        .withColumn("_slice", F.floor(F.col("_us") / width).cast("long"))
-        .groupBy(*keys, "_slice")
-        .applyInPandasWithState(gather, out, state_type, "append", GroupStateTimeout.EventTimeTimeout))
+        .groupBy(*keys, F.window("ts", f"{slice_seconds} seconds").alias("_slice"))
+        .agg(F.collect_list(event).alias("_events")))
+    return slices.select(*keys, F.col("_slice.end").alias("slice_end"), F.sort_array("_events").alias("_events")) \
+        .mapInArrow(pair, out)
 
 
 def settle_slices(slices: DataFrame, keys: Sequence[str] = ("run", "phase"),
@@ -119,7 +118,8 @@ def settle_slices(slices: DataFrame, keys: Sequence[str] = ("run", "phase"),
     With ``expire`` (a whole number of seconds, minutes, hours or days) a start that
     is still running at the first slice border at least that much after it gets
     one more row with the status ``open`` and is forgotten: a stop that comes later
-    was never started. The state of a key is one start, or nothing.
+    was never started. The state of a key is one start, or nothing; the keys are dealt
+    into ``SETTLE_GROUPS`` states by hash.
 
     Batches of ``slice_spans`` must not be split over batches of this query, so
     its source takes no limit of files.
@@ -128,61 +128,65 @@ def settle_slices(slices: DataFrame, keys: Sequence[str] = ("run", "phase"),
     width = slice_seconds * MICROS
     wait = None if expire is None else _micros(expire)
     fields = sorted((f for f in slices.schema.fields if f.name in keys), key=lambda f: keys.index(f.name))
-    columns = ["event_id", "us", "status", "elapsed_ms"]
-    out = T.StructType([*fields, *[f for f in _EVENT.fields if f.name in columns]])
+    kept = [f for f in _EVENT.fields if f.name in ("event_id", "us", "status", "elapsed_ms")]
 
     def deadline(since: int) -> int:
         return -(-(since + wait) // width) * width
 
     def settle(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        running = tuple(state.get) if state.exists else None
+        # of each key the start that is running: time and event_id
+        running = {k: (us, i) for k, us, i in zip(*state.get)} if state.exists else {}
         rows: list[tuple] = []
 
-        def ended_by(border: int) -> None:
-            nonlocal running
-            if wait is not None and running is not None and deadline(running[0]) <= border:
-                rows.append((running[1], running[0], "open", None))
-                running = None
+        def ended_by(name: str, border: int) -> None:
+            if wait is not None and name in running and deadline(running[name][0]) <= border:
+                us, event = running.pop(name)
+                rows.append((name, event, us, "open", None))
 
-        if state.hasTimedOut:
-            ended_by(1 << 62)
-        else:
+        if not state.hasTimedOut:
             table = pd.concat(list(batches))
             table["open_id"] = table["open_id"].astype("Int64")
-            for end, part in table.groupby("border", sort=True):
-                end = int(end)
-                ended_by(end - width)
-                # the end row has the time of the last event, so it is sorted by its op, too
-                part = part.sort_values(["last", "us", "event_id"], na_position="last")
-                for r in part.itertuples(index=False):
-                    if r.op == "start":
-                        start = int(r.us), int(r.event_id)
-                        rows.append((start[1], start[0], "started" if running is None
-                                     else "already_running", None))
-                        running = running or start
-                    elif r.op == "stop":
-                        since = running
-                        rows.append((int(r.event_id), int(r.us), "completed" if since else "never_started",
-                                     (int(r.us) - since[0]) / 1000.0 if since else None))
-                        running = None
-                    elif not pd.isna(r.open_id):
-                        running = int(r.open_us), int(r.open_id)
-                ended_by(end)
-        if running is None:
+            # the end row has the time of the last event, so it is sorted by its op, too
+            table = table.sort_values(["border", "last", "us", "event_id"], na_position="last")
+            # ends come last in a slice, and every key has one in each of its slices
+            for r in table.itertuples(index=False):
+                ended_by(r.key, int(r.border) - width)
+                since = running.get(r.key)
+                if r.op == "start":
+                    rows.append((r.key, int(r.event_id), int(r.us), "already_running" if since else "started", None))
+                    running.setdefault(r.key, (int(r.us), int(r.event_id)))
+                elif r.op == "stop":
+                    rows.append((r.key, int(r.event_id), int(r.us), "completed" if since else "never_started",
+                                 (int(r.us) - since[0]) / 1000.0 if since else None))
+                    running.pop(r.key, None)
+                else:
+                    if not pd.isna(r.open_id):
+                        running[r.key] = int(r.open_us), int(r.open_id)
+                    ended_by(r.key, int(r.border))
+        # what a stop could still end lies beyond the watermark
+        for name in list(running):
+            ended_by(name, state.getCurrentWatermarkMs() * 1000)
+        if not running:
             state.remove()
         else:
-            state.update(running)
+            state.update((list(running), [us for us, _ in running.values()], [i for _, i in running.values()]))
             if wait is not None:
-                state.setTimeoutTimestamp(max(deadline(running[0]) // 1000,
+                state.setTimeoutTimestamp(max(min(deadline(us) for us, _ in running.values()) // 1000,
                                               state.getCurrentWatermarkMs() + 1))
         if rows:
-            yield _frame(key, keys, rows, columns)
+            yield _frame(rows, ["key", *[f.name for f in kept]])
 
+    # one state and one call of Python for many keys; the key goes along as JSON
+    key = F.struct(*keys)
     open_rows = slices.where(F.col("status").isNull()).select(
-        *keys, "slice_end", F.unix_micros("slice_end").alias("border"), "us", "event_id", "op",
+        F.pmod(F.xxhash64(*keys), F.lit(SETTLE_GROUPS)).alias("_group"), F.to_json(key).alias("key"),
+        "slice_end", F.unix_micros("slice_end").alias("border"), "us", "event_id", "op",
         (F.col("op") == "end").alias("last"), "open_id", "open_us")
-    return open_rows.withWatermark("slice_end", "0 seconds").groupBy(*keys).applyInPandasWithState(
-        settle, out, "since long, id long", "append", GroupStateTimeout.EventTimeTimeout)
+    settled = open_rows.withWatermark("slice_end", "0 seconds").groupBy("_group").applyInPandasWithState(
+        settle, T.StructType([T.StructField("key", T.StringType()), *kept]),
+        "names array<string>, since array<long>, ids array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    return settled.withColumn("key", F.from_json("key", T.StructType(fields))).select(
+        "key.*", *[f.name for f in kept])
 
 
 def _micros(interval: str) -> int:

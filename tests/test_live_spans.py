@@ -138,3 +138,23 @@ def test_empty_stream_and_events_without_a_time(spark, tmp_path):
     close(spark, tmp_path / "log", 40, 80)
     got = ls.pair_spans_live(stream(spark, tmp_path / "log"), str(tmp_path / "o2"))
     assert as_rows(got) == [("a", "draft", 2, "started", None)]
+
+
+def test_python_is_called_for_many_slices_and_keys_at_once(spark, tmp_path):
+    """Slices are gathered without Python, and keys share the states that settle them."""
+    rows = [(f"r{i}", "draft", op, at(1 + (op == "stop")), 2 * i + (op == "stop"))
+            for i in range(1_000) for op in ("start", "stop")]
+    log = tmp_path / "log"
+    send(spark, log, rows)
+    close(spark, log, 40, 80)
+    parts = ls.slice_spans(stream(spark, log))
+    assert "FlatMapGroupsInPandasWithState" not in parts._jdf.queryExecution().logical().toString()
+    out = tmp_path / "out"
+    got = ls.pair_spans_live(stream(spark, log), str(out))
+    assert as_rows(got) == as_rows(pair_spans(spark.createDataFrame(rows, SCHEMA)))
+    again = ls.settle_slices(spark.readStream.schema(parts.schema).parquet(f"{out}/slices/data"))
+    query = (again.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "again"))
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+    held = [o["numRowsUpdated"] for p in query.recentProgress for o in p["stateOperators"]]
+    assert max(held) <= ls.SETTLE_GROUPS
