@@ -35,8 +35,8 @@ SELECT conv_id, turn, continuation, coalesce(n, 0) AS n
 FROM prompts LEFT JOIN paths ON start = last""")
 def ngram_continue(spark, d):
     turns = text_table(spark, d, "conversations").where(F.col("role") == "user")
-    paths = ngram.greedy_paths(ngram.bigram_counts(text_table(spark, d, "documents"), "text"),
-                               MAX_NEW_TOKENS, ngram.last_words(turns, "text"))
+    paths = ngram.greedy_paths_of(text_table(spark, d, "documents"), "text",
+                                  MAX_NEW_TOKENS, ngram.last_words(turns, "text"))
     return ngram.continue_prompts(turns, "text", paths).select(
         "conv_id", "turn", F.array_join("path", " ").alias("continuation"),
         F.coalesce(F.size("path"), F.lit(0)).cast("long").alias("n"))

@@ -112,3 +112,43 @@ def test_numbers_differ_and_do_not_depend_on_place():
     assert len(set(ids)) == len(words) and set(ids).isdisjoint(wp.word_ids(words, 1))
     assert list(wp.word_ids(words.slice(3, 5), 0)) == list(ids[3:8])
     assert list(wp.word_ids(words.take(pa.array([7, 1])), 0)) == [ids[7], ids[1]]
+
+
+@pytest.mark.parametrize("cap", [1, 5, 8])
+def test_greedy_paths_of_texts_equal_a_plain_walk(spark, cap, monkeypatch):
+    rows = corpus(3)
+    texts = spark.createDataFrame(rows, "lang string, part int, text string")
+    monkeypatch.setattr(wp, "LEAST_TOKENS", 64)  # several shards, with frequent words in many
+    table = counted([(t,) for *_, t in rows])[()]
+    best = {a: min(c, key=lambda b: (-c[b], b.encode())) for a, c in table.items()}
+    want = {}
+    for start in ["the", "w1", "w2", "w3", "w4", "é", "averyveryverylongword", "</s>"]:
+        path = [best[start]]
+        while len(path) < cap and path[-1] != wp.EOS:
+            path.append(best[path[-1]])
+        want[start] = path
+    starts = spark.createDataFrame([(t,) for t in [*want, "the", "unknown"]], "token string")
+    got = ngram.greedy_paths_of(texts, "text", cap, starts).collect()
+    assert len(got) == len(want) and {r.token: list(r.path) for r in got} == want
+    plain = ngram.greedy_paths(ngram.bigram_counts(texts, "text"), cap, starts).collect()
+    assert {r.token: list(r.path) for r in plain} == want
+
+
+def test_continuation_writes_no_row_per_pair(spark, monkeypatch):
+    """Pairs travel packed, and jumps are doubled over the words that a word leads to alone."""
+    rows = [(" ".join(f"v{i} v{j}" for j in range(1, 30)),) for i in range(1, 30)]
+    rows += [(f"u{i} v1",) for i in range(50)]
+    texts = spark.createDataFrame(rows, "text string").coalesce(1)
+    sizes = []
+
+    def seen(df, label, write=ngram.materialize):
+        out = write(df, label)
+        sizes.append((label, out.count()))
+        return out
+    monkeypatch.setattr(ngram, "materialize", seen)
+    counts = wp.count_words(texts, "text")
+    starts = spark.createDataFrame([("u7",)], "token string")
+    assert ngram.greedy_paths_of(texts, "text", 8, starts).count() == 1
+    jumps = [n for label, n in sizes if label == "jumps"]
+    assert jumps[0] == 79 and max(jumps[1:]) <= 29
+    assert wp._pairs(counts, "prev", wp.CHUNK_BYTES).count() == 1
