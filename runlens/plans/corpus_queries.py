@@ -82,11 +82,10 @@ walk(id, step, token) AS (
 SELECT id, string_agg(token, ' ' ORDER BY step) AS continuation, count(*) AS n
 FROM walk WHERE step > 0 GROUP BY id""")
 def ngram_sample(spark, d):
-    bigrams = ngram.bigram_counts(text_table(spark, d, "documents"), "text")
     turns = text_table(spark, d, "conversations").where(F.col("role") == "user").select(
         F.concat_ws(":", "conv_id", "turn").alias("id"), "text")
-    walked = ngram.sample_continuations(turns, "id", "text", bigrams, MAX_NEW_TOKENS,
-                                        SAMPLE_TEMPERATURE, SEED)
+    walked = ngram.sample_continuations_of(text_table(spark, d, "documents"), "text", turns, "id", "text",
+                                           MAX_NEW_TOKENS, SAMPLE_TEMPERATURE, SEED)
     return walked.select("id", F.array_join("path", " ").alias("continuation"),
                          F.size("path").cast("long").alias("n"))
 
