@@ -24,8 +24,11 @@ from runlens.session import materialize
 
 #: shares of a cell are whole numbers of which this many make it full
 FULL = 1_000_000_000
-#: words dealt at a time, pairs of one row, and words whose tables share a page
-_WORDS_AT_A_TIME, _PAIRS_PER_ROW, PAGE_WORDS = 1 << 20, 1 << 18, 32
+#: words dealt at a time, pairs of one row, words whose tables share a page, and cells of a
+#: page of a wide table
+_WORDS_AT_A_TIME, _PAIRS_PER_ROW, PAGE_WORDS, PAGE_CELLS = 1 << 20, 1 << 18, 32, 1024
+#: pages of wide tables have numbers from here down, this many for a table
+_WIDE, _WIDE_PAGES = -(1 << 40), 1 << 20
 _PAIR_ROWS = "kid long, shard int, prev binary, next binary, n binary, hash binary"
 _WEIGHT_ROWS = "kid long, shard int, address binary, next binary, weight binary"
 
@@ -145,27 +148,35 @@ def _number_next(everywhere: np.ndarray, split: np.ndarray, end: int, shards: in
     return pa.concat_tables(out)
 
 
-def _tables(address: np.ndarray, following: np.ndarray, weights: np.ndarray) -> pa.Table:
-    """One row a table of items that are in order: its cells, and the sum of its weights.
+def _tables(address: np.ndarray, following: np.ndarray, weights: np.ndarray, page_cells: int) -> pa.Table:
+    """One row a table of items that are in order, and more where it is wide.
 
-    Where all cells are full, there is neither ``keep`` nor ``other``.
+    Result: address, chunk (place among these rows), n (cells of the table), its cells, with
+    the items that ``next`` and ``other`` give, and the sum of its weights. Where all cells
+    are full, there is neither ``keep`` nor ``other``.
     """
     begins, sizes = _groups(address)
     order, keep, other = alias_cells(begins, weights)
-    bounds = pa.array(np.append(begins, len(address)).astype(np.int32))
+    following = following[order]
     plain = np.minimum.reduceat(keep, begins) == FULL
-    short = np.append(0, np.cumsum(np.where(plain, 0, sizes))).astype(np.int32)
+    rows = -(-sizes // page_cells)
+    table = np.repeat(np.arange(len(begins)), rows)
+    chunk = np.arange(len(table)) - np.repeat(np.cumsum(rows) - rows, rows)
+    bounds = np.append(begins[table] + chunk * page_cells, len(address))
+    short = np.append(0, np.cumsum(np.where(plain[table], 0, np.diff(bounds))))
     parts = np.repeat(~plain, sizes)
+    others = following[np.repeat(begins, sizes) + other]
 
-    def partial_lists(values):
-        return pa.ListArray.from_arrays(pa.array(short), pa.array(values[parts]), mask=pa.array(plain))
+    def lists(offsets, values, mask=None):
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values), mask=mask)
     return pa.table({
-        "address": address[begins], "next": pa.ListArray.from_arrays(bounds, pa.array(following[order])),
-        "keep": partial_lists(keep), "other": partial_lists(other),
-        "weight": np.add.reduceat(weights, begins)})
+        "address": address[begins][table], "chunk": chunk, "n": sizes[table], "next": lists(bounds, following),
+        "keep": lists(short, keep[parts], pa.array(plain[table])),
+        "other": lists(short, others[parts], pa.array(plain[table])),
+        "weight": np.add.reduceat(weights, begins)[table]})
 
 
-def _build(temperature: float, kind: type, table: pa.Table) -> pa.Table:
+def _build(temperature: float, kind: type, page_cells: int, table: pa.Table) -> pa.Table:
     """The tables of words all of whose pairs are in this shard."""
     pairs, names = _named(table)
     prev, following, n = _arrays(pairs, prev=np.int64, next=kind, n=np.int32)
@@ -177,20 +188,20 @@ def _build(temperature: float, kind: type, table: pa.Table) -> pa.Table:
     address, following, n = address[order], following[order], n[order]
     begins, sizes = _groups(address)
     top = np.repeat(np.maximum.reduceat(n, begins), sizes)
-    return _tables(address, following, (n / top) ** (1 / temperature))
+    return _tables(address, following, (n / top) ** (1 / temperature), page_cells)
 
 
-def _build_apart(kind: type, table: pa.Table) -> pa.Table:
+def _build_apart(kind: type, page_cells: int, table: pa.Table) -> pa.Table:
     address, following, weights = _arrays(table, address=np.int64, next=kind, weight=np.float64)
     order = np.lexsort((following, address))
-    return _tables(address[order], following[order], weights[order])
+    return _tables(address[order], following[order], weights[order], page_cells)
 
 
 def _no_tables(kind: type) -> pa.Table:
     none = np.empty(0, np.int64)
     lists = pa.ListArray.from_arrays(pa.array([0], pa.int32()), pa.array([], pa.int32()))
     following = pa.ListArray.from_arrays(pa.array([0], pa.int32()), pa.array(none.astype(kind)))
-    return pa.table({"address": none, "next": following, "keep": lists, "other": lists,
+    return pa.table({"address": none, "chunk": none, "n": none, "next": following, "keep": lists, "other": following,
                      "weight": none.astype(np.float64)})
 
 
@@ -244,7 +255,7 @@ def _bound(rows: pa.Table) -> Iterator[pa.RecordBatch]:
     begins, lengths = _groups(pages)
     page = np.repeat(np.arange(len(begins)), lengths)
     full = pc.is_null(keep).to_numpy(zero_copy_only=False)
-    keeps, others = np.full(ends[-1], FULL, np.int32), np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)
+    keeps, others = np.full(ends[-1], FULL, np.int32), following.flatten().to_numpy().copy()
     own = np.repeat(~full, sizes)
     keeps[own], others[own] = keep.flatten().to_numpy(), other.flatten().to_numpy()
     starts = np.zeros((len(begins), PAGE_WORDS + 1), np.int32)
@@ -260,7 +271,7 @@ def _bound(rows: pa.Table) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays(
         [pa.array(pages[begins]), lists(np.arange(len(begins) + 1) * (PAGE_WORDS + 1), starts.ravel()),
          lists(bounds, following.flatten().to_numpy()), lists(short, keeps[parts], pa.array(plain)),
-         lists(short, others[parts].astype(np.int32), pa.array(plain)), pa.array(np.diff(bounds))],
+         lists(short, others[parts], pa.array(plain)), pa.array(np.diff(bounds))],
         names=["page", "starts", "next", "keep", "other", "n"])
 
 
@@ -271,12 +282,14 @@ class AliasTables:
     ``pages``: page, and of all its tables one behind the other starts (where that of each
     place begins, and where the last one ends), next, keep and other (arrays, by cell) and
     n (cells). A page of full cells only has neither keep nor other. Numbers in turn share a
-    page; a block has its own.
+    page; a block has its own, and a wide table has many, so that draws from it are spread.
+    ``wide``: address and cells of the wide tables.
     ``blocks``: of words in many blocks number, first (address of a block), and the alias
     table of their blocks: blocks, keep_block and other_block.
     """
 
     pages: DataFrame
+    wide: DataFrame
     blocks: DataFrame | None
     names: DataFrame  # kid, id, word, n (pairs that it begins) and number
     n_words: int
@@ -292,6 +305,11 @@ class AliasTables:
         """The place of an address in its page, in SQL."""
         return f"CAST(IF({address} < {self.n_words}, {address} % {PAGE_WORDS}, 0) AS INT)"
 
+    @staticmethod
+    def wide_page(address: str, chunk: str) -> str:
+        """The page of a chunk of a wide table, in SQL."""
+        return f"{_WIDE}L - {address} * {_WIDE_PAGES}L - {chunk}"
+
 
 def _everywhere(names: DataFrame, ids: np.ndarray) -> np.ndarray:
     """(ids, numbers, hashes) of a few words."""
@@ -299,8 +317,8 @@ def _everywhere(names: DataFrame, ids: np.ndarray) -> np.ndarray:
     return np.array([tuple(r) for r in rows], np.int64).reshape(-1, 3).T
 
 
-def alias_tables(words: Words, temperature: float, most: int, chunk_bytes: int = CHUNK_BYTES,
-                 table_cells: int = SHARD_TOKENS) -> AliasTables:
+def alias_tables(words: Words, temperature: float, most: int, page_cells: int = PAGE_CELLS,
+                 chunk_bytes: int = CHUNK_BYTES, table_cells: int = SHARD_TOKENS) -> AliasTables:
     """Alias tables of the successors of all words but the end, as ``ngram.alias_table`` has them."""
     spark = words.table.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -310,7 +328,8 @@ def alias_tables(words: Words, temperature: float, most: int, chunk_bytes: int =
     end = end[0] if end else -1
     n_words = words.table.count()
     kind, number = (np.int32, "int") if n_words < 1 << 31 else (np.int64, "bigint")
-    schema = f"address long, next array<{number}>, keep array<int>, other array<int>, weight double"
+    cells = f"next array<{number}>, keep array<int>, other array<{number}>"
+    schema = f"address long, chunk long, n long, {cells}, weight double"
 
     split = np.sort(np.array([r[0] for r in words.table.where(
         (F.col("n") > most) & (F.col("word") != EOS)).select("id").collect()], np.int64))
@@ -321,20 +340,26 @@ def alias_tables(words: Words, temperature: float, most: int, chunk_bytes: int =
     pairs = materialize(_in_shards(by_next.unionByName(dealt_names), partial(
         _number_next, _everywhere(names, second), split, words.end, words.shards, kind), _PAIR_ROWS), "pairs")
     whole = pairs.where("shard >= 0").withColumn("named", F.lit(False)).unionByName(dealt_names)
-    tables = _in_shards(whole, partial(_build, temperature, kind), schema)
+    tables = _in_shards(whole, partial(_build, temperature, kind, page_cells), schema)
     blocks = None
     if len(split):
-        apart, blocks = _apart(pairs.where("shard < 0"), names, temperature, most, table_cells, n_words, number, schema)
+        apart, blocks = _apart(
+            pairs.where("shard < 0"), names, temperature, most, page_cells, table_cells, n_words, number, schema)
         tables = tables.unionByName(apart)
-    made = AliasTables(None, blocks, names, n_words, end, number)
-    paged = tables.select(F.expr(made.page("address")).alias("page"), F.expr(made.place("address")).alias("place"),
-                          "next", "keep", "other").repartition(max(parts, words.shards), "page")
-    return replace(made, pages=materialize(paged.sortWithinPartitions("page", "place").mapInArrow(
-        _pages, f"page long, starts array<int>, next array<{number}>, keep array<int>, other array<int>, n long"), "alias"))
-
-
-def _apart(pairs: DataFrame, names: DataFrame, temperature: float, most: int, table_cells: int, n_words: int,
-           number: str, schema: str) -> tuple[DataFrame, DataFrame | None]:
+    made = AliasTables(None, None, blocks, names, n_words, end, number)
+    wide = f"n > {page_cells}"
+    paged = tables.selectExpr(
+        f"IF({wide}, {made.wide_page('address', 'chunk')}, {made.page('address')}) AS page",
+        f"IF({wide}, 0, {made.place('address')}) AS place", "next", "keep", "other").repartition(
+        max(parts, words.shards), "page").sortWithinPartitions("page", "place")
+    pages = materialize(paged.mapInArrow(_pages, f"page long, starts array<int>, {cells}, n long"), "alias")
+    found = pages.where(F.col("page") <= _WIDE).groupBy(F.expr(f"({_WIDE}L - page) div {_WIDE_PAGES}").alias(
+        "address")).agg(F.sum("n").cast("int").alias("cells"))
+    return replace(made, pages=pages, wide=materialize(found, "wide"))
+
+
+def _apart(pairs: DataFrame, names: DataFrame, temperature: float, most: int, page_cells: int, table_cells: int,
+           n_words: int, number: str, schema: str) -> tuple[DataFrame, DataFrame | None]:
     """The tables of words that may have many blocks, and the alias tables of these blocks."""
     kind = np.int32 if number == "int" else np.int64
     sizes = pairs.select("prev", "n").mapInArrow(_sizes, "id long, cells long, top long").groupBy("id").agg(
@@ -349,7 +374,7 @@ def _apart(pairs: DataFrame, names: DataFrame, temperature: float, most: int, ta
     shards = max(1, -(-int(cells.sum()) // table_cells), min(4 * parts, int(blocks.sum())))
     weights = pairs.mapInArrow(partial(
         _deal_tables, np.stack([ids, top, blocks, first]), temperature, kind, shards), _WEIGHT_ROWS)
-    tables = materialize(_in_shards(weights, partial(_build_apart, kind), schema), "apart")
+    tables = materialize(_in_shards(weights, partial(_build_apart, kind, page_cells), schema), "apart")
     return tables, _of_blocks(tables, n_words, own, blocks, first, number)
 
 
@@ -361,13 +386,13 @@ def _of_blocks(tables: DataFrame, n_words: int, own: np.ndarray, blocks: np.ndar
         return None
     weight = np.zeros(blocks[many].sum())
     # a block that no successor came to has no table, and is not drawn
-    for r in tables.where(F.col("address") >= n_words).select("address", "weight").collect():
+    for r in tables.where((F.col("address") >= n_words) & (F.col("chunk") == 0)).select("address", "weight").collect():
         weight[r.address - n_words] = r.weight
     rows = []
     for word, address, n in zip(own[many].tolist(), first[many].tolist(), blocks[many].tolist()):
         of = weight[address - n_words:][:n]
         filled = np.flatnonzero(of)
         order, keep, other = alias_cells(np.zeros(1, np.int64), of[filled])
-        rows.append((word, address, filled[order].tolist(), keep.tolist(), other.tolist()))
+        rows.append((word, address, filled[order].tolist(), keep.tolist(), filled[order][other].tolist()))
     return tables.sparkSession.createDataFrame(
         rows, f"number {number}, first long, blocks array<int>, keep_block array<int>, other_block array<int>")

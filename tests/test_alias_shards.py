@@ -20,20 +20,18 @@ def prompts_of(spark, words, n=300):
                                  "id string, text string")
 
 
-@pytest.mark.parametrize("most, page", [(1 << 16, 32), (5, 32), (5, 4)])
-def test_draws_are_those_of_the_table_of_pairs(spark, monkeypatch, most, page):
+@pytest.mark.parametrize("most, page_cells", [(1 << 16, 1024), (5, 3), (1 << 16, 3)])
+def test_draws_are_those_of_the_table_of_pairs(spark, monkeypatch, most, page_cells):
     """Through blocks, shards and pages too; from words with a hash of any kind, and past the end."""
     monkeypatch.setattr(wp, "LEAST_TOKENS", 64)
-    monkeypatch.setattr(alias_shards, "PAGE_WORDS", page)
-    monkeypatch.setattr(alias_shards, "_WORDS_AT_A_TIME", 20)
-    monkeypatch.setattr(alias_shards, "_PAIRS_PER_ROW", 7)
     rows = corpus(5, 150)
     texts = spark.createDataFrame(rows, "lang string, part int, text string")
     table = counted([(t,) for *_, t in rows])[()]
     assert any(len(c) > 5 for c in table.values())
     prompts = prompts_of(spark, ["the", "of", "w1", "w2", "é", "averyveryverylongword"])
     got = {r.id: list(r.path) for r in ngram.sample_continuations_of(
-        texts, "text", prompts, "id", "text", 6, 0.6, 42, steps=4, most=most).collect()}
+        texts, "text", prompts, "id", "text", 6, 0.6, 42, steps=4, most=most,
+        page_cells=page_cells).collect()}
     want = {r.id: list(r.path) for r in ngram.sample_continuations(
         prompts, "id", "text", ngram.bigram_counts(texts, "text"), 6, 0.6, 42, most=most).collect()}
     assert len(got) == 300 and got == want
@@ -53,9 +51,9 @@ def test_tables_are_those_of_the_table_of_pairs(spark, monkeypatch):
     for r in made.pages.collect():
         for i, (a, b) in enumerate(zip(r.starts, r.starts[1:])):
             for c in range(b - a):
-                keep, other = (r.keep[a + c], r.other[a + c]) if r.keep else (alias_shards.FULL, c)
+                keep, other = (r.keep[a + c], r.other[a + c]) if r.keep else (alias_shards.FULL, r.next[a + c])
                 got[words[r.page * alias_shards.PAGE_WORDS + i], c] = (
-                    words[r.next[a + c]], words[r.next[a + other]], keep / alias_shards.FULL)
+                    words[r.next[a + c]], words[other], keep / alias_shards.FULL)
     assert set(got) == set(want)
     for k, (item, other, keep) in got.items():
         assert item == want[k][0] and keep == pytest.approx(want[k][2], abs=1e-8)
@@ -108,11 +106,19 @@ def test_without_any_word(spark):
         texts, "text", prompts_of(spark, ["a"]), "id", "text", 3, 1.0, 42).collect() == []
 
 
-def test_prompts_at_one_word_read_its_cells_in_place(spark):
-    """Very many successors and prompts, over more than one block of successors."""
+def test_draws_from_one_word_are_spread(spark, monkeypatch):
+    """Very many successors and prompts, over blocks whose tables are wide: a page has few of the cells."""
+    sizes, moved = [], ngram._moved
+
+    def seen(state, made, laid, *rest):
+        sizes.append(laid.agg(F.max(F.size("next"))).first()[0])
+        return moved(state, made, laid, *rest)
+    monkeypatch.setattr(ngram, "_moved", seen)
     texts = spark.range(3_000).select(F.concat(F.lit("hub s"), "id", F.lit(" hub")).alias("text"))
     prompts = spark.range(20_000).select(F.col("id").alias("k"), F.lit("hub").alias("text"))
-    got = ngram.sample_continuations_of(texts, "text", prompts, "k", "text", 2, 1.0, 7, most=1_000).collect()
+    got = ngram.sample_continuations_of(texts, "text", prompts, "k", "text", 2, 1.0, 7, most=1_000,
+                                        page_cells=64).collect()
     first = Counter(r.path[0] for r in got)
     assert len(got) == 20_000 and first[wp.EOS] / 20_000 == pytest.approx(0.5, abs=0.02)
+    assert sizes and max(sizes) <= 64
     assert len(first) > 2_500 and all(len(r.path) == 1 or r.path[1] == "hub" for r in got)
